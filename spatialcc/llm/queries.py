@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialcc.llm import exact_dedup, licenses, line_dedup, secrets
+from spatialcc.llm import exact_dedup, licenses, line_dedup, ngram_join, secrets, token_counts
 from spatialcc.llm.common import documents
 
+#: The tokenizer of the registered queries; every operator takes the path as a parameter.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that each document declares."""
@@ -32,11 +36,23 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of each document."""
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each document, through a cache that starts empty."""
+    return token_counts.contract_columns(token_counts.count_tokens(documents(spark, sf_dir), TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
