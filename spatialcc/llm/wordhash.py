@@ -6,7 +6,7 @@ Hashes are 64 bits and the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Word starts and ends (absolute), slice by slice; words are runs of non-blank bytes within one text."""
+def solid_bytes(piece: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words: all that aren't blank."""
+    return ~BLANK[piece]
+
+
+def word_bounds(data: np.ndarray, at: np.ndarray, solid_of: Callable[[np.ndarray], np.ndarray] = solid_bytes) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Word starts and ends (absolute), slice by slice; words are runs of solid bytes within one text."""
     first, last = int(at[0]), int(at[-1])
     lo = first
     while lo < last:
@@ -61,7 +66,7 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray,
                 hi = int(inside[-1])
                 break
             hi = min(hi + SLICE, last)
-        solid = ~BLANK[data[lo:hi]]
+        solid = solid_of(data[lo:hi])
         edge = np.zeros(hi - lo + 1, bool)
         texts = at[(at >= lo) & (at <= hi)] - lo
         edge[texts] = True
@@ -76,22 +81,25 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray,
         lo = hi
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (bytes mapped by `fold`; bytes in `skip` don't count) and the number of words of each text."""
+def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run the mixed sum of its values, each times a factor for its place in the run."""
+    place = np.arange(len(values), dtype=np.int64) - np.repeat(starts, sizes)
+    values = values * _PLACE[place & 1023]
+    if (long := place > 1023).any():
+        values[long] *= _FAR[(place[long] >> 10) & 1023]
+    return mixed(np.add.reduceat(values, starts))
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (bytes mapped by `fold`) and the number of words of each text."""
     hashes, first = [], []
     weight = _BYTE[fold]
     weight[BLANK] = 0
-    if skip is not None:
-        weight[skip] = 0
-    for starts, ends, lo, hi in word_bounds(data, at):
+    for starts, _, _, hi in word_bounds(data, at):
         if not len(starts):
             continue
         sizes = np.diff(np.append(starts, hi))
-        place = np.arange(int(starts[0]), hi, dtype=np.int64) - np.repeat(starts, sizes)
-        values = weight[data[starts[0] : hi]] * _PLACE[place & 1023]
-        if (long := place > 1023).any():
-            values[long] *= _FAR[(place[long] >> 10) & 1023]
-        hashes.append(mixed(np.add.reduceat(values, starts - starts[0])))
+        hashes.append(_sums(weight[data[starts[0] : hi]], starts - starts[0], sizes))
         first.append(starts)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
@@ -100,6 +108,18 @@ def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER, skip
     return np.concatenate(hashes), np.diff(edges)
 
 
+def bounded_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """Hash of each run of bytes given by its bounds; runs must not overlap and ascend."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lo, hi = int(starts[0]), int(ends[-1])
+    inside = np.zeros(hi - lo + 1, np.int8)
+    inside[starts - lo] += 1
+    inside[ends - lo] -= 1
+    weight = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, _BYTE[fold][data[lo:hi]], np.uint64(0))
+    return _sums(weight, starts - lo, np.diff(np.append(starts, hi)))
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of `size` words of one sequence, in order."""
     if len(words) < size:
