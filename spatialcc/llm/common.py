@@ -61,6 +61,14 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -82,9 +90,8 @@ def visit_once(docs: DataFrame, versions: DataFrame, wanted: DataFrame, doc_id:
     counts = {row["_visit"]: row["count"] for row in marked.groupBy("_visit").count().collect()}
     visit = marked.filter("_visit").select("_id").distinct()
     skip = marked.filter("not _visit").select("_id").join(visit, "_id", "left_anti").distinct()
-    same = docs[doc_id].eqNullSafe(F.col("_id"))
     if counts.get(False, 0) <= BROADCAST_ROWS:
-        return docs.join(F.broadcast(skip), same, "left_anti")
+        return docs.join(F.broadcast(skip), docs[doc_id].eqNullSafe(skip["_id"]), "left_anti")
     if counts.get(True, 0) <= BROADCAST_ROWS:
-        return docs.join(F.broadcast(visit), same, "left_semi")
-    return docs.join(visit, same, "left_semi")
+        visit = F.broadcast(visit)
+    return docs.join(visit, docs[doc_id].eqNullSafe(visit["_id"]), "left_semi")

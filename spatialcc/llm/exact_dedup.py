@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import BLANKS, content_digest, land, sized, text_or_empty, work_dir
+from spatialcc.llm.common import BLANKS, content_digest, fresh, land, sized, text_or_empty, work_dir
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -110,13 +110,14 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     found = land(exact_duplicates(docs, doc_id, text).select("doc_id", "digest", "kept"), work_dir(spark, "kept"))
     keys = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     odd = land(keys.filter("n > 1 or not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept"), work_dir(spark, "odd"))
-    marked = docs.withColumn("_own", content_digest(normalised(text_or_empty(text))))
-    same = marked[doc_id].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    plain = marked.join(sized(odd.select("_id", "_digest")), same, "left_anti")
+    own = fresh(docs, "_own")
+    marked = docs.withColumn(own, content_digest(normalised(text_or_empty(text))))
+    same = lambda keys: marked[doc_id].eqNullSafe(keys["_id"]) & (marked[own] == keys["_digest"])
+    plain = marked.join(keys := sized(odd.select("_id", "_digest")), same(keys), "left_anti")
     again = odd.filter("kept").select("_id", "_digest")
     if not again.isEmpty():
-        rows = marked.join(sized(again), same, "left_semi")
-        first = rows.groupBy(F.col(doc_id).alias("_id"), F.col("_own").alias("_digest")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+        rows = marked.join(keys := sized(again), same(keys), "left_semi")
+        first = rows.groupBy(rows[doc_id].alias("_id"), rows[own].alias("_digest")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
         plain = plain.select(*docs.columns).unionByName(first.select("_row.*"))
     return plain.select(*docs.columns)
 

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import text_or_empty
+from spatialcc.llm.common import fresh, text_or_empty
 
 # Known licence sentences, normalised (ASCII letters and digits in lower case, one space between words).
 SENTENCES = {
@@ -101,14 +101,14 @@ def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str]
     rule took). Null and empty texts have no sentences. Repeated rows are scanned each on its own. A column of `docs`
     with one of the added names is replaced. Custom sentences must contain one of KEYWORDS.
     """
-    seq, names = F.col("sentence_seq"), []
-    df = docs.withColumn("sentence_seq", sentence_ids(text_or_empty(text), sentences)).withColumn("_left", seq)
-    # Each rule takes what it matches; `_left` is what remains for the next.
+    seq, names, left = F.col("sentence_seq"), [], fresh(docs, "_left")
+    df = docs.withColumn("sentence_seq", sentence_ids(text_or_empty(text), sentences)).withColumn(left, seq)
+    # Each rule takes what it matches; `left` is what remains for the next.
     for i, (name, pattern) in enumerate(RULES if rules is None else rules):
         whole = rf"(?:^|(?<= ))(?:{pattern})"
-        df = df.withColumn(f"_hit{i}", F.when(F.col("_left").rlike(whole), F.lit(name)))
-        df = df.withColumn("_left", F.when(F.col(f"_hit{i}").isNotNull(), F.regexp_replace("_left", whole, "- ")).otherwise(F.col("_left")))
-        names.append(f"_hit{i}")
+        names.append(fresh(docs, f"_hit{i}"))
+        df = df.withColumn(names[-1], F.when(F.col(left).rlike(whole), F.lit(name)))
+        df = df.withColumn(left, F.when(F.col(names[-1]).isNotNull(), F.regexp_replace(left, whole, "- ")).otherwise(F.col(left)))
     found = F.array_distinct(F.array_compact(F.array(*names)))
     words = lambda c: F.size(F.filter(F.split(c, " "), lambda x: (x != "") & (x != "-")))
     return (
@@ -116,9 +116,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str]
         .withColumn("n_licenses", F.size(found).cast("int"))
         .withColumn("primary_license", F.get(found, F.lit(0)))
         .withColumn("n_sentences", words(seq).cast("int"))
-        .withColumn("unclaimed", words(F.col("_left")).cast("int"))
+        .withColumn("unclaimed", words(F.col(left)).cast("int"))
         .withColumn("sentence_seq", F.rtrim(seq))
-        .drop("_left", *names)
+        .drop(left, *names)
     )
 
 

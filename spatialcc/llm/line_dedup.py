@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import BROADCAST_ROWS, land, sized, text_or_empty, work_dir
+from spatialcc.llm.common import BROADCAST_ROWS, fresh, land, sized, text_or_empty, work_dir
 
 #: A line on at least this many sites is boilerplate.
 MIN_SITES = 6
@@ -66,15 +66,17 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str =
     named = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text"))
     held = named.select("_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), line_hash))).alias("line")).join(sized(spread), "line", "left_semi")
     held = land(held.groupBy("_id").agg(F.collect_set("line").alias("_bad")), work_dir(spark, "held"))
-    both = docs.join(sized(held, BROADCAST_ROWS // 4), docs[doc_id].eqNullSafe(F.col("_id")), "left")
+    key, bad, left = fresh(docs, "_id"), fresh(docs, "_bad"), fresh(docs, "_left")
+    held = sized(held.select(F.col("_id").alias(key), F.col("_bad").alias(bad)), BROADCAST_ROWS // 4)
+    both = docs.join(held, docs[doc_id].eqNullSafe(held[key]), "left")
     lines = F.split(text_or_empty(text), "\n")
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_bad", line_hash(line_key(x)))))
+    kept = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(bad, line_hash(line_key(x)))))
     return (
         both.withColumn("n_lines", F.size(lines).cast("bigint"))
-        .withColumn("_kept", kept)
-        .withColumn("n_removed", F.col("n_lines") - F.size("_kept"))
-        .withColumn(text, F.array_join("_kept", "\n"))
-        .drop("_id", "_bad", "_kept")
+        .withColumn(left, kept)
+        .withColumn("n_removed", F.col("n_lines") - F.size(left))
+        .withColumn(text, F.array_join(left, "\n"))
+        .drop(key, bad, left)
     )
 
 

@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     domain = F.when(F.col("quality") == 1, 0).otherwise(2) + F.when(F.col("toxic") == 1, 1).otherwise(0)
     usable = labels.filter("quality is not null and toxic is not null").select(F.col("doc_id").alias("_id"), domain.alias("_domain"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_id", "_domain", text_or_empty().alias("_text")).collect()
+    chosen = F.broadcast(chosen)
+    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select(chosen["_id"], chosen["_domain"], text_or_empty().alias("_text")).collect()
     rows.sort(key=lambda r: (r["_id"], r["_text"]))
     if not rows:
         rows = [{"_text": "", "_domain": c} for c in range(len(DOMAINS))]

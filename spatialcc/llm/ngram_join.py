@@ -166,7 +166,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     named = land(named, work_dir(spark, "candidates"))
-    texts = docs.join(sized(named), docs["doc_id"] == F.col("_id"), "left_semi")
+    named = sized(named)
+    texts = docs.join(named, docs["doc_id"] == named["_id"], "left_semi")
     sets = land(shingle_table(texts).dropDuplicates(["doc_id"]), work_dir(spark, "sets"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -254,4 +255,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """The rows of `docs` that stay: of each component the document with the smallest id; rows without an id stay."""
     found = near_duplicates(docs, doc_id, text)
     gone = land(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), work_dir(docs.sparkSession, "near"))
-    return docs.join(sized(gone), docs[doc_id] == F.col("_id"), "left_anti")
+    gone = sized(gone)
+    return docs.join(gone, docs[doc_id] == gone["_id"], "left_anti")

@@ -248,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     """
     usable = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("_label", text_or_empty(text).alias("_text"), F.col("_id"))
+    chosen = F.broadcast(chosen)
+    rows = docs.join(chosen, docs[doc_id] == chosen["_id"]).select(chosen["_label"], text_or_empty(text).alias("_text"), chosen["_id"])
     rows = sorted(rows.collect(), key=lambda r: (r["_id"], r["_text"]))
     kinds = {r["_label"] for r in rows}
     if len(kinds) < 2:
