@@ -82,7 +82,7 @@ def visit_once(docs: DataFrame, versions: DataFrame, wanted: DataFrame, doc_id:
     skip, or else of the rows to visit, are broadcast if a count shows that they are few; else the rows are shuffled
     by id.
     """
-    chosen = versions.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min(doc_id).alias("_chosen"))
+    chosen = versions.groupBy("digest").agg(F.min(doc_id).alias("_chosen")).join(wanted, "digest", "left_semi")
     marked = versions.join(chosen, "digest", "left").select(
         F.col(doc_id).alias("_id"), (F.col("_chosen").isNotNull() & F.col(doc_id).eqNullSafe(F.col("_chosen"))).alias("_visit")
     )
