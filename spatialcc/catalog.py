@@ -39,6 +39,11 @@ def r6(column: str, name: str | None = None):
     return F.round(F.col(column).cast("double"), 6).alias(name or column)
 
 
+def r9(column: str, name: str | None = None):
+    """Nine decimals, for means of few amounts in cents, which can end in an exact half at the sixth."""
+    return F.round(F.col(column).cast("double"), 9).alias(name or column)
+
+
 W_MOL = f"WITH {P.MOL}"
 W_BASE = f"WITH {P.BASE}"
 _COUNTS = f"WITH {P.MOL}, cnt AS (SELECT cell, target, count(*) AS n FROM mol GROUP BY ALL)"
@@ -553,40 +558,40 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return res, means, diff.differential(means, "TN", "ER", 0.2, 0.1)
 
 
-@query(f"WITH {_RES} SELECT cond, feat_1, feat_2, round(mean, 6) AS mean FROM mean")
+@query(f"WITH {_RES} SELECT cond, feat_1, feat_2, round(mean, 9) AS mean FROM mean")
 def slide_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir)[1].select("cond", "feat_1", "feat_2", r6("mean"))
+    return _results(spark, sf_dir)[1].select("cond", "feat_1", "feat_2", r9("mean"))
 
 
-@query(f"WITH {_RES} SELECT feat_1, feat_2, round(mean_comp, 6) AS mean_comp, round(mean_ref, 6) AS mean_ref, CASE WHEN isinf(logfc) THEN 999 ELSE round(logfc, 6) END AS logfc FROM df WHERE logfc > 0.2 AND mean_comp > 0.1")
+@query(f"WITH {_RES} SELECT feat_1, feat_2, round(mean_comp, 9) AS mean_comp, round(mean_ref, 9) AS mean_ref, CASE WHEN isinf(logfc) THEN 999 ELSE round(logfc, 9) END AS logfc FROM df WHERE logfc > 0.2 AND mean_comp > 0.1")
 def diff_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _results(spark, sf_dir)[2]
-    finite = F.when(F.col("logfc") == float("inf"), 999.0).otherwise(F.round("logfc", 6))
-    return d.select("feat_1", "feat_2", r6("mean_comp"), r6("mean_ref"), finite.alias("logfc"))
+    finite = F.when(F.col("logfc") == float("inf"), 999.0).otherwise(F.round("logfc", 9))
+    return d.select("feat_1", "feat_2", r9("mean_comp"), r9("mean_ref"), finite.alias("logfc"))
 
 
-@query(f"WITH {_RES} SELECT feat_1, feat_2, round(mean_comp, 6) AS mean_comp FROM df WHERE logfc > 0.2 AND mean_comp > 0.1 ORDER BY df.mean_comp DESC, feat_1, feat_2 LIMIT 10")
+@query(f"WITH {_RES} SELECT feat_1, feat_2, round(mean_comp, 9) AS mean_comp FROM df WHERE logfc > 0.2 AND mean_comp > 0.1 ORDER BY df.mean_comp DESC, feat_1, feat_2 LIMIT 10")
 def top_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.top_by(_results(spark, sf_dir)[2], "mean_comp", 10, "feat_1", "feat_2").select("feat_1", "feat_2", r6("mean_comp"))
+    return diff.top_by(_results(spark, sf_dir)[2], "mean_comp", 10, "feat_1", "feat_2").select("feat_1", "feat_2", r9("mean_comp"))
 
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query(f"WITH {_RES} SELECT feat_1, feat_2, " + ", ".join(f"round(coalesce(max(j_comp) FILTER (WHERE grp = '{s}'), 0), 6) AS {s}" for s in _SEGMENTS) + " FROM res GROUP BY ALL")
+@query(f"WITH {_RES} SELECT feat_1, feat_2, " + ", ".join(f"round(coalesce(max(j_comp) FILTER (WHERE grp = '{s}'), 0), 9) AS {s}" for s in _SEGMENTS) + " FROM res GROUP BY ALL")
 def heatmap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.pivot_by_group(_results(spark, sf_dir)[0], _SEGMENTS).select("feat_1", "feat_2", *[r6(s) for s in _SEGMENTS])
+    return diff.pivot_by_group(_results(spark, sf_dir)[0], _SEGMENTS).select("feat_1", "feat_2", *[r9(s) for s in _SEGMENTS])
 
 
 @query(
     f"WITH {_RES}, d AS (SELECT * FROM df WHERE logfc > 0.2 AND mean_comp > 0.1), t(term, gene) AS (VALUES ('T1', 'N1'), ('T1', 'R2'), ('T1', 'N7'), ('T2', 'N3'), ('T2', 'R0'), ('T3', 'R5')), "
     "h AS (SELECT DISTINCT term, feat_1, feat_2, least(logfc, 1.5) AS heat FROM d JOIN t ON gene = feat_1 OR gene = feat_2) SELECT feat_1, feat_2, "
-    + ", ".join(f"round(coalesce(max(heat) FILTER (WHERE term = '{t}'), 0), 6) AS {t}" for t in ("T1", "T2", "T3"))
+    + ", ".join(f"round(coalesce(max(heat) FILTER (WHERE term = '{t}'), 0), 9) AS {t}" for t in ("T1", "T2", "T3"))
     + " FROM h GROUP BY feat_1, feat_2"
 )
 def lr_go_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([("T1", "N1/R2/N7"), ("T2", "N3/R0"), ("T3", "R5")], "term string, genes string")
-    return diff.term_heat(terms, _results(spark, sf_dir)[2], 1.5, ["T1", "T2", "T3"]).select("feat_1", "feat_2", r6("T1"), r6("T2"), r6("T3"))
+    return diff.term_heat(terms, _results(spark, sf_dir)[2], 1.5, ["T1", "T2", "T3"]).select("feat_1", "feat_2", r9("T1"), r9("T2"), r9("T3"))
 
 
 @query(
@@ -594,13 +599,13 @@ def lr_go_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     "c AS (SELECT term, count(*) AS m, count(h.gene) AS k FROM s LEFT JOIN h USING (gene) GROUP BY term), p AS (SELECT c.*, (SELECT count(*) FROM h) AS n, (SELECT count(*) FROM u) AS big FROM c WHERE k > 0), "
     "tail AS (SELECT term, k, m, n, big, least(1.0, (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(big - m + 1) - lgamma(n - i + 1) - lgamma(big - m - n + i + 1) - lgamma(big + 1) + lgamma(n + 1) + lgamma(big - n + 1))) "
     "FROM (SELECT unnest(range(p.k, least(p.n, p.m) + 1)) AS i) WHERE big - m - n + i >= 0)) AS pv FROM p) "
-    "SELECT term, k, m, n, big AS \"N\", round(pv, 6) AS p_value, round(min(least(1.0, pv * t / r)) OVER (ORDER BY pv, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS p_adjust FROM (SELECT *, row_number() OVER (ORDER BY pv, term) AS r, count(*) OVER () AS t FROM tail)"
+    "SELECT term, k, m, n AS drawn, big AS universe, round(pv, 6) AS p_value, round(min(least(1.0, pv * t / r)) OVER (ORDER BY pv, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS p_adjust FROM (SELECT *, row_number() OVER (ORDER BY pv, term) AS r, count(*) OVER () AS t FROM tail)"
 )
 def over_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = P.table(spark, sf_dir, "part")
     genes = part.select(F.col("p_partkey").alias("gene"))
     found = diff.over_representation(part.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene")), part.filter("p_size > 30 and p_partkey % 3 = 0").select(F.col("p_partkey").alias("gene")), genes)
-    return found.select("term", "k", "m", "n", "N", r6("p_value"), r6("p_adjust"))
+    return found.select("term", "k", "m", "drawn", "universe", r6("p_value"), r6("p_adjust"))
 
 
 # Annotation

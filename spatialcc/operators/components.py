@@ -92,7 +92,9 @@ def label_means(labels: DataFrame, values: DataFrame, spots: DataFrame) -> DataF
         .filter("n_spots > n_in")
         .select("grp", "feature", F.lit(0).alias("cc_label"), (F.col("s_all") - F.col("s_in")).alias("s"), (F.col("n_spots") - F.col("n_in")).alias("n"))
     )
-    return inside.unionByName(outside).select("grp", "feature", "cc_label", (F.col("s") / F.col("n")).alias("mean"), "n")
+    # Dealt anew: a union of equally partitioned sides claims their partitioning, which coalescing can break.
+    both = inside.unionByName(outside).repartition("grp", "feature")
+    return both.select("grp", "feature", "cc_label", (F.col("s") / F.col("n")).alias("mean"), "n")
 
 
 def filter_components(labels: DataFrame, values: DataFrame, spots: DataFrame, thres_per: float = 30) -> DataFrame:

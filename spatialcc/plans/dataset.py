@@ -83,7 +83,7 @@ class SpatialDataset:
 
     def averages(self) -> DataFrame:
         genes = pairs.feature_average(self.expr, self.spots)
-        return genes if self.obs is None else genes.unionByName(pairs.feature_average(self.obs, self.spots, "obs"))
+        return genes if self.obs is None else genes.unionByName(pairs.feature_average(self.obs, self.spots, "obs")).repartition("grp", "feature")
 
     def similarity(self, feature_pairs: DataFrame, jaccard_type: str = "default", on_empty: str = "raise") -> DataFrame:
         """(grp, feat_1, feat_2, avg_1, avg_2, j_comp): the pairwise pipeline (OP-T16).
