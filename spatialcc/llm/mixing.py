@@ -27,8 +27,8 @@ TARGETS = (0.94, 0.03, 0.02, 0.01)
 SAMPLE = 2000
 #: Log2 of the number of hashed word features.
 BITS = 16
-#: Steps of the fit, at most, and the residual (as a share of all tokens) at which it ends.
-STEPS, TOLERANCE = 60, 1e-6
+#: Looks at all rows that the fit takes, at most; the residual, as a share of all tokens, at which it ends; its ridge.
+LOOKS, TOLERANCE, RIDGE = 60, 1e-6, 1e-8
 
 
 @dataclass
@@ -132,62 +132,52 @@ def domain_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, p array<double>")
 
 
-def _rate(history: list[np.ndarray], k: int) -> Column:
-    """The rate after all steps so far, from a row's own posteriors: each step moves along them and is cut at zero."""
-    rate = F.lit(1.0)
-    if history:
-        steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
-        rate = F.aggregate(steps, rate, lambda r, g: F.greatest(F.lit(0.0), r - sum(((F.col("p")[i] * g[i]) for i in range(1, k)), F.col("p")[0] * g[0])))
-    return rate
+def _rate(steps: np.ndarray) -> Column:
+    """The rate of a document: 1 less the accumulated steps along its posteriors, projected onto what isn't negative."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("p")[i] * float(x) for i, x in enumerate(steps)), F.lit(0.0)))
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
-    """Steps that take all rates from 1 to a least-squares fit of the targets.
+def fit_rates(members: DataFrame, targets: np.ndarray, looks: int = LOOKS) -> np.ndarray:
+    """The accumulated steps that take all rates from 1 to a least-squares fit of the targets.
 
-    The objective is the squared distance of the domains' expected tokens from the targets. A step is the projected
-    gradient, in the metric of a document's tokens and preconditioned by the second moments of the posteriors of the
-    documents whose rate isn't zero (a matrix of one row for each domain). A step that doesn't lower the objective is
-    halved. Each step is one aggregation of a few sums over all rows.
+    The gradient of the squared distance between the domains' expected tokens and the targets moves a document's rate
+    along its posteriors (in the metric of its tokens), by the same few numbers for all documents. The projected
+    gradient method with lazy projection therefore keeps only the sum of its steps: rates are projected from 1 less
+    that sum. A step is preconditioned by the second moments of the posteriors of documents with a rate above zero,
+    and halved until the residual falls; a small ridge keeps steps finite where targets are out of reach. Each look is
+    one aggregation of a few sums over all rows.
     """
-    k, scale = len(targets), max(float(targets.sum()), 1.0)
-    history: list[np.ndarray] = []
+    k, total = len(targets), max(float(targets.sum()), 1.0)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    ridge = RIDGE * total
 
-    def look() -> tuple[np.ndarray, np.ndarray]:
+    def look(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, p, rate = F.col("n_tokens"), F.col("p"), F.col("rate")
         free = F.when(rate > 0, n).otherwise(F.lit(0))
-        row = (
-            members.withColumn("rate", _rate(history, k))
-            .agg(*[F.sum(n * rate * p[i]) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs])
-            .first()
-        )
-        values = np.array([float(x or 0) for x in row])
+        sums = [F.sum(n * rate * p[i]) for i in range(k)] + [F.sum(free * p[i] * p[j]) for i, j in pairs]
+        values = np.array([float(x or 0) for x in members.withColumn("rate", _rate(steps)).agg(*sums).first()])
         second = np.zeros((k, k))
         for (i, j), x in zip(pairs, values[k:], strict=True):
             second[i, j] = second[j, i] = x
-        return values[:k], second
-
-    totals, second = look()
-    best = float((((totals - targets) / scale) ** 2).sum())
-    for _ in range(steps):
-        if np.sqrt(best) < TOLERANCE:
-            break
-        ridge = 1e-9 * max(np.trace(second), 1.0)
-        step = np.linalg.solve(second + ridge * np.eye(k), totals - targets)
-        for _ in range(12):
-            history.append(step)
-            new, moments = look()
-            value = float((((new - targets) / scale) ** 2).sum())
-            if value < best:
+        return values[:k] - targets - ridge * steps, second
+
+    steps = np.zeros(k)
+    gap, second = look(steps)
+    used = 1
+    while used < looks and np.abs(gap).max() > TOLERANCE * total:
+        move, size = np.linalg.solve(second + ridge * np.eye(k), gap), 1.0
+        while used < looks:
+            new, moments = look(steps + size * move)
+            used += 1
+            if (new**2).sum() < (gap**2).sum():
+                steps, gap, second = steps + size * move, new, moments
                 break
-            history.pop()
-            step = step / 2
+            size /= 2
         else:
             break
-        gain, totals, second, best = best - value, new, moments, value
-        if gain < 1e-6 * best:
+        if size < 1e-6:
             break
-    return history
+    return steps
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = TARGETS, total: float | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -202,9 +192,9 @@ def mix(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = TARGETS,
     if total is None:
         total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     wanted = np.asarray(shares, float) / sum(shares) * total
-    history = fit_rates(members, wanted) if total else []
+    steps = fit_rates(members, wanted) if total else np.zeros(len(shares))
     best = F.array_position("p", F.array_max("p")).cast("int")
-    return members.withColumn("rate", _rate(history, len(shares))).select(
+    return members.withColumn("rate", _rate(steps)).select(
         "doc_id",
         "n_tokens",
         F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), best).alias("domain"),
