@@ -81,18 +81,19 @@ def visit_once(docs: DataFrame, versions: DataFrame, wanted: DataFrame, doc_id:
     """The rows of `docs` that stand for the content in `wanted`.
 
     versions: (doc_id, digest) of all rows, landed; wanted: (digest). Of the rows of a wanted digest the one with the
-    smallest id is visited (all of them, if an id is repeated, so callers drop repeated digests). Ids of the rows to
+    smallest id is visited (all of them, if an id is repeated, so callers drop repeated digests); without any id, all are. Ids of the rows to
     skip, or else of the rows to visit, are broadcast if a count shows that they are few; else the rows are shuffled
     by id.
     """
-    chosen = versions.groupBy("digest").agg(F.min(doc_id).alias("_chosen")).join(wanted, "digest", "left_semi")
+    chosen = versions.groupBy("digest").agg(F.min(doc_id).alias("_chosen")).join(wanted, "digest", "left_semi").withColumn("_wanted", F.lit(True))
     marked = versions.join(chosen, "digest", "left").select(
-        F.col(doc_id).alias("_id"), (F.col("_chosen").isNotNull() & F.col(doc_id).eqNullSafe(F.col("_chosen"))).alias("_visit")
+        F.col(doc_id).alias("_id"), (F.coalesce("_wanted", F.lit(False)) & F.col(doc_id).eqNullSafe(F.col("_chosen"))).alias("_visit")
     )
     marked = land(marked, work_dir(docs.sparkSession, "visits"))
     counts = {row["_visit"]: row["count"] for row in marked.groupBy("_visit").count().collect()}
     visit = marked.filter("_visit").select("_id").distinct()
-    skip = marked.filter("not _visit").select("_id").join(visit, "_id", "left_anti").distinct()
+    others = marked.filter("not _visit").select(F.col("_id").alias("_other")).distinct()
+    skip = others.join(visit, others["_other"].eqNullSafe(visit["_id"]), "left_anti").select(F.col("_other").alias("_id"))
     if counts.get(False, 0) <= BROADCAST_ROWS:
         return docs.join(F.broadcast(skip), docs[doc_id].eqNullSafe(skip["_id"]), "left_anti")
     if counts.get(True, 0) <= BROADCAST_ROWS:

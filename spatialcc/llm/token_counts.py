@@ -132,7 +132,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, doc_id: s
     if exists(spark, place):
         misses = misses.join(spark.read.schema(schema).parquet(place), "digest", "left_anti")
     rows = visit_once(docs, versions.select("doc_id", "digest"), misses)
-    encode_counts(rows.select(content_digest(F.col("text")).alias("digest"), "text"), path).write.mode("append").parquet(place)
+    fresh = encode_counts(rows.select(content_digest(F.col("text")).alias("digest"), "text"), path).dropDuplicates(["digest"])
+    fresh.write.mode("append").parquet(place)
     stored = spark.read.schema(schema).parquet(place).dropDuplicates(["digest"])  # a run that was cut short may have been repeated
     return versions.join(stored, "digest", "left")
 

@@ -62,9 +62,10 @@ SECRETS = [
 
 
 def test_secrets_equal_brute_force(spark):
-    rows = [(10 + i, t, "s") for i, t in enumerate(SECRETS)] + ODD + [(10, SECRETS[0], "again")]
+    rows = [(10 + i, t, "s") for i, t in enumerate(SECRETS)] + ODD + [(10, SECRETS[0], "again"), (None, "secret=abcdefgh", "s"), (None, "secret=12345678", "s")]
     found = secrets.scan_secrets(table(spark, rows)).collect()
     assert len(found) == len(rows)
+    # Rows without an id are visited, too.
     texts = {(i, hashlib.sha256((t or "").encode()).digest()): t for i, t, _ in rows}
     for r in found:
         assert [(s.start, s.rank, s.kind, s.end) for s in r.spans] == brute_spans(texts[r.doc_id, bytes(r.digest)])
