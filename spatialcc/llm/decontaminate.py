@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import text_or_empty
+from spatialcc.llm.common import land, text_or_empty, work_dir
 from spatialcc.llm.wordhash import SLICE, bounded_hashes, buffers, windows, word_bounds
 
 #: Template tokens of a window; a shorter item is one window of its own length.
@@ -214,6 +214,18 @@ def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[
         yield rows
 
 
+def _matched(found: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+    """(row, items) for the rows (row, text), searched for one block of the benchmark, which is broadcast."""
+    index = found.sparkSession.sparkContext.broadcast(benchmark_index(block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pa.array(_search(batch.column("text"), index.value), pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("changed", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), held], ["row", "items"])
+
+    return found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, {_FOUND}")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, contaminated, n_items, items, coverage, n_reparameterised.
 
@@ -224,18 +236,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc
     Empty tables give no matches. The search runs where the texts are; nothing is shuffled. Repeated ids in a benchmark
     of several blocks are kept apart by block.
     """
-    found = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
-    indexes = [spark.sparkContext.broadcast(benchmark_index(rows)) for rows in benchmark_blocks(benchmark.filter("item_id is not null"), block)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [_search(batch.column("text"), index.value) for index in indexes] or [[[] for _ in range(batch.num_rows)]]
-            items = [sum(x, []) for x in zip(*each, strict=True)]
-            held = pa.array(items, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("changed", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held], ["doc_id", "items"])
-
-    rows = found.mapInArrow(run, f"doc_id {kind}, {_FOUND}")
+    # A row is told by its id and text; rows that agree in both have the same matches.
+    found = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("hash")).alias("row"), text_or_empty(text).alias("text"))
+    blocks = benchmark_blocks(benchmark.filter("item_id is not null"), block)
+    rows = _matched(found, next(blocks, []))
+    for more in blocks:  # a further pass for each further block, of which only rows with a match are kept
+        hits = land(_matched(found, more).filter(F.size("items") > 0).distinct(), work_dir(docs.sparkSession, "block"))
+        both = rows.join(hits.select(F.col("row").alias("_row"), F.col("items").alias("_more")), F.col("row").eqNullSafe(F.col("_row")), "left")
+        rows = land(both.select("row", F.concat("items", F.coalesce("_more", F.array().cast(_FOUND.split(" ", 1)[1]))).alias("items")), work_dir(docs.sparkSession, "blocks"))
+    rows = rows.select(F.col("row.id").alias("doc_id"), "items")
     ids = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item_id"])))
     return rows.select(
         "doc_id",
@@ -248,15 +257,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` without a match, with all their columns; matched where the rows are, so nothing is joined."""
-    spark, fields = docs.sparkSession, docs.schema
-    indexes = [spark.sparkContext.broadcast(benchmark_index(rows)) for rows in benchmark_blocks(benchmark.filter("item_id is not null"))]
+    """The rows of `docs` without a match, with all their columns; matched where the rows are, so nothing is joined.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for index in indexes:
-                keep &= np.array([not x for x in _search(batch.column(fields.names.index(text)), index.value)], bool)
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, fields)
+    A benchmark of several blocks takes a pass for each; what a pass leaves is written to the shared folder.
+    """
+    spark, fields, left, passes = docs.sparkSession, docs.schema, docs, 0
+    for block in benchmark_blocks(benchmark.filter("item_id is not null")):
+        index = spark.sparkContext.broadcast(benchmark_index(block))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not x for x in _search(batch.column(fields.names.index(text)), index.value)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        left = (land(left, work_dir(spark, "passes")) if passes else left).mapInArrow(run, fields)
+        passes += 1
+    return left
