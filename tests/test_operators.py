@@ -28,7 +28,7 @@ def test_smoothing_keeps_totals_and_spreads_evenly(spark):
 
 def test_pair_pipeline_invariants(spark):
     spots, expr = square(spark)
-    data = SpatialDataset(spots, expr, Params(min_size=4)).kept()
+    data = SpatialDataset(spots, expr, Params(min_size=4, thres_per=0)).kept()
     asked = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a")], "feat_1 string, feat_2 string")
     for kind in ("default", "weighted"):
         j = {(r.feat_1, r.feat_2): r.j_comp for r in data.similarity(asked, kind).collect()}
