@@ -30,7 +30,7 @@ PERCENT = 80
 #: Log2 of the commonness table's entries, half a byte each: 32 MB, whatever the input.
 TABLE_BITS = 26
 #: Shingles that a task gathers before it sends them on.
-GATHER = 2_000_000
+GATHER = 1_000_000
 
 
 def _buckets(spark) -> int:
@@ -161,6 +161,12 @@ def _fits(a: str = "l", b: str = "r"):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (rest * (100 + PERCENT) >= PERCENT * (na + nb))
 
 
+def _may_fit():
+    """Whether an entry can pass _fits() with the smallest set of its list that its size allows."""
+    other = F.greatest(F.col("least_n").cast("double"), F.col("n") * (PERCENT / 100))
+    return (F.col("n") - F.col("place")) * (100 + PERCENT) >= PERCENT * (F.col("n") + other) - 1e-6
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives whose whole sets link."""
     spark = docs.sparkSession
@@ -219,8 +225,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     heads = reps.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi")
     entries = heads.select(F.col("doc_id").alias("gid"), "n", F.explode(F.arrays_zip("shared", "places")).alias("e"))
     entries = entries.select("gid", "n", F.col("e.shared").alias("shingle"), F.col("e.places").alias("place"))
-    firsts = entries.groupBy("shingle").agg(F.min(F.struct("gid", "n", "place")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    index = land(entries.join(firsts, "shingle"), f"{place}/index")
+    firsts = entries.groupBy("shingle").agg(F.min(F.struct("gid", "n", "place")).alias("first"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    index = land(entries.join(firsts, "shingle").filter(_may_fit()), f"{place}/index")
 
     # Round 1: each entry against the smallest group of its list, and each member against its group's smallest.
     starred = index.filter("gid <> first.gid").select(F.col("first").alias("l"), F.struct("gid", "n", "place").alias("r")).filter(_fits())
