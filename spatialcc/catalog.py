@@ -318,18 +318,18 @@ def common_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {P.BASE}, {P.GEXPR}, {P.SMOOTH}, {P.LABELS},
-m AS (SELECT l.grp, l.feature, l.spot_id, s.array_col * 100 + s.array_row AS id, s.array_col AS c, s.array_row AS r FROM lab l JOIN spots s USING (grp, spot_id) WHERE l.grp = 'BUILDING'),
-e AS (SELECT a.feature, a.id AS a, b.id AS b FROM m a JOIN m b ON a.feature = b.feature AND abs(a.c - b.c) + abs(a.r - b.r) = 1),
-reach(feature, id, root) AS (SELECT feature, id, id FROM m UNION SELECT e.feature, e.b, reach.root FROM reach JOIN e ON e.feature = reach.feature AND e.a = reach.id)
-SELECT feature, root, count(*) AS size FROM (SELECT feature, id, min(root) AS root FROM reach GROUP BY ALL) GROUP BY feature, root"""
+m AS (SELECT l.grp, l.feature, l.spot_id, s.array_col * 100 + s.array_row AS id, s.array_col AS c, s.array_row AS r FROM lab l JOIN spots s USING (grp, spot_id)),
+e AS (SELECT a.grp, a.feature, a.id AS a, b.id AS b FROM m a JOIN m b ON a.grp = b.grp AND a.feature = b.feature AND abs(a.c - b.c) + abs(a.r - b.r) = 1),
+reach(grp, feature, id, root) AS (SELECT grp, feature, id, id FROM m UNION SELECT e.grp, e.feature, e.b, reach.root FROM reach JOIN e ON e.grp = reach.grp AND e.feature = reach.feature AND e.a = reach.id)
+SELECT grp, feature, root, count(*) AS size FROM (SELECT grp, feature, id, min(root) AS root FROM reach GROUP BY ALL) GROUP BY grp, feature, root"""
 )
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of a mask at a fixed threshold: the tree's kernel on a single plateau."""
     places = P.slides(spark, sf_dir).spots
-    mask = P.mask_labels(spark, sf_dir).filter("grp = 'BUILDING'").join(places, ["grp", "spot_id"]).withColumn("smoothed", F.lit(1.0))
+    mask = P.mask_labels(spark, sf_dir).join(places, ["grp", "spot_id"]).withColumn("smoothed", F.lit(1.0))
     found = components.connected_components(mask.select("grp", "feature", "spot_id", "array_col", "array_row", "smoothed"), 1).join(places, ["grp", "spot_id"])
-    sized = found.groupBy("feature", "cc_label").agg(F.min(F.col("array_col") * 100 + F.col("array_row")).alias("root"), F.count(F.lit(1)).alias("size"))
-    return sized.select("feature", "root", "size")
+    sized = found.groupBy("grp", "feature", "cc_label").agg(F.min(F.col("array_col") * 100 + F.col("array_row")).alias("root"), F.count(F.lit(1)).alias("size"))
+    return sized.select("grp", "feature", "root", "size")
 
 
 @query()
@@ -379,18 +379,13 @@ def pair_similarity_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def celltype_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
-
-    data = P.slides(spark, sf_dir)
-    one = data.where(F.col("grp") == "BUILDING")
-    one = replace(one, tx_grid=data.tx_grid.filter("grp = 'BUILDING'")).kept()
-    return one.celltype_pair_similarity(P.pairs(spark).limit(3), "1-URGENT", "5-LOW", on_empty="keep")
+    return P.slides(spark, sf_dir).celltype_pair_similarity(P.pairs(spark), "1-URGENT", "5-LOW", on_empty="keep")
 
 
 @query()
 def permutation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = P.slides(spark, sf_dir)
-    wanted = P.pairs(spark).filter("feat_1 = 'AF'")
+    wanted = P.pairs(spark)
     results = land(data.similarity(wanted, on_empty="keep"), "results")
     return data.significance(results, wanted, n_perm=5, seed=1234)
 
@@ -612,13 +607,13 @@ def over_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM e WHERE vec_id % 2 = 0 GROUP BY ALL), "
-    "d AS (SELECT e.vec_id AS cell, c.label AS label, sum((v - m) ** 2) AS d FROM e JOIN c USING (i) WHERE vec_id % 2 = 1 GROUP BY ALL), w AS (SELECT cell, label, exp(-(d - min(d) OVER (PARTITION BY cell))) AS w FROM d) "
+    "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM e GROUP BY ALL), "
+    "d AS (SELECT e.vec_id AS cell, c.label AS label, sum((v - m) ** 2) AS d FROM e JOIN c USING (i) GROUP BY ALL), w AS (SELECT cell, label, exp(-(d - min(d) OVER (PARTITION BY cell))) AS w FROM d) "
     "SELECT cell, label, round(w / sum(w) OVER (PARTITION BY cell), 6) AS probability FROM w"
 )
 def celltype_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.table(spark, sf_dir, "embeddings")
-    return annotate.annotate(e.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "cell"), e.filter("vec_id % 2 = 0"), return_prob=True).select("cell", "label", r6("probability"))
+    return annotate.annotate(e.withColumnRenamed("vec_id", "cell"), e, return_prob=True).select("cell", "label", r6("probability"))
 
 
 @query(
@@ -631,13 +626,13 @@ def argmax_celltype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT a.vec_id AS cell, b.vec_id AS ref, b.label AS label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 1 AND b.vec_id % 10 <> 1), "
+    "WITH p AS (SELECT a.vec_id AS cell, b.vec_id AS ref, b.label AS label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d FROM embeddings a CROSS JOIN embeddings b), "
     "k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY cell ORDER BY d, ref) <= 5), v AS (SELECT cell, label, count(*) AS votes FROM k GROUP BY ALL) "
     "SELECT cell, label, votes FROM v QUALIFY row_number() OVER (PARTITION BY cell ORDER BY votes DESC, label) = 1"
 )
 def label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.table(spark, sf_dir, "embeddings")
-    return annotate.nearest_label(e.filter("vec_id % 10 = 1").withColumnRenamed("vec_id", "cell"), e.filter("vec_id % 10 <> 1").withColumnRenamed("vec_id", "ref"))
+    return annotate.nearest_label(e.withColumnRenamed("vec_id", "cell"), e.withColumnRenamed("vec_id", "ref"))
 
 
 @query(

@@ -73,12 +73,12 @@ def with_all_spots(spots: DataFrame, rows: DataFrame, value: str, fill: float =
     return spots.join(rows, ["array_col", "array_row"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
-def celltype_specific(tx_grid: DataFrame, spots: DataFrame, celltype: str, norm_total: float = 1e3) -> DataFrame:
+def celltype_specific(tx_grid: DataFrame, spots: DataFrame, celltype: str, norm_total: float = 1e3, keys: tuple[str, ...] = ()) -> DataFrame:
     """The grid matrix of one cell type over all spots; spots without the type are zero (OP-P10, A07)."""
-    own = grid_matrix(tx_grid.filter(F.col("celltype") == celltype), norm_total)
+    own = grid_matrix(tx_grid.filter(F.col("celltype") == celltype), norm_total, keys)
     targets = own.select("target").distinct()
-    every = spots.select("array_col", "array_row").crossJoin(targets)  # the matrix itself: spots times targets
-    return every.join(own, ["array_col", "array_row", "target"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    every = spots.select(*keys, "array_col", "array_row").crossJoin(targets)  # the matrix itself: spots times targets
+    return every.join(own, [*keys, "array_col", "array_row", "target"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def pivot_wide(grid: DataFrame, targets: list[str], value: str = "value") -> DataFrame:

@@ -112,8 +112,10 @@ class SpatialDataset:
         """The long matrix of one cell type over the dataset's spots (OP-A07); needs tx_grid with celltype."""
         if self.tx_grid is None:
             raise ValueError("the dataset has no molecules by cell and grid")
-        own = grid.celltype_specific(self.tx_grid, self.spots.select("array_col", "array_row").distinct(), celltype_name, self.params.sc_norm_total)
-        return own.join(self.spots, ["array_col", "array_row"]).select("grp", "spot_id", F.col("target").alias("feature"), "value")
+        keys = ("grp",) if "grp" in self.tx_grid.columns else ()
+        places = self.spots.select(*keys, "array_col", "array_row").distinct()
+        own = grid.celltype_specific(self.tx_grid, places, celltype_name, self.params.sc_norm_total, keys)
+        return own.join(self.spots, [*keys, "array_col", "array_row"]).select("grp", "spot_id", F.col("target").alias("feature"), "value")
 
     def celltype_pair_similarity(self, feature_pairs: DataFrame, type_1: str, type_2: str, **options) -> DataFrame:
         """The pairwise pipeline with the first sides in one cell type and the second in another (OP-T22)."""

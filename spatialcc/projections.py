@@ -83,7 +83,7 @@ def hex_spots(spark: SparkSession, sf_dir: str, width: int = 20) -> DataFrame:
     """part as spots on a hexagonal lattice: row = k div width, column = 2 * (k mod width) + row mod 2."""
     k = F.col("p_partkey")
     row = F.floor(k / width)
-    spots = table(spark, sf_dir, "part").filter(F.col("p_partkey") < 400)
+    spots = table(spark, sf_dir, "part")
     spots = spots.select(F.lit("0").alias("grp"), F.col("p_partkey").cast("string").alias("spot_id"), (2 * (k % width) + row % 2).cast("int").alias("array_col"), row.cast("int").alias("array_row"), F.col("p_size").cast("double").alias("value"))
     return spots.withColumn("x", F.col("array_col") * 0.5).withColumn("y", F.col("array_row") * (F.sqrt(F.lit(3.0)) / 2))
 
@@ -122,7 +122,7 @@ LABELS = "lab AS (SELECT grp, feature, spot_id, (array_col // 5 + 1)::INT AS cc_
 PAIRS = "pairs(feat_1, feat_2) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for i, a in enumerate(TARGETS) for b in TARGETS[i + 1 :]) + ")"
 MASKED = f"WITH {BASE}, {GEXPR}, {SMOOTH}, {LABELS}, {PAIRS}"
 HEX = (
-    "hx AS (SELECT p_partkey::VARCHAR AS spot_id, (2 * (p_partkey % 20) + (p_partkey // 20) % 2)::INT AS array_col, (p_partkey // 20)::INT AS array_row, p_size::DOUBLE AS value FROM part WHERE p_partkey < 400), "
+    "hx AS (SELECT p_partkey::VARCHAR AS spot_id, (2 * (p_partkey % 20) + (p_partkey // 20) % 2)::INT AS array_col, (p_partkey // 20)::INT AS array_row, p_size::DOUBLE AS value FROM part), "
     "hp AS (SELECT *, array_col * 0.5 AS x, array_row * (sqrt(3.0) / 2) AS y FROM hx), "
     "near AS (SELECT a.spot_id AS src, b.spot_id AS dst, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 4) AS d FROM hp a, hp b WHERE round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 4) <= 2.5)"
 )
