@@ -67,7 +67,13 @@ def fit_classifier(texts: list[str], domains: list[int], rounds: int = 120) -> C
     """Multinomial logistic regression, full gradients with momentum, a small ridge."""
     k = len(DOMAINS)
     data, at = buffers(pa.array(texts, pa.large_string()))
-    owner, slot, value, dense, _ = _features(data, at)
+    parts, lo = [], 0
+    while lo < len(at) - 1:  # a few texts at a time
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
+        owner, slot, value, dense, _ = _features(data, at[lo : hi + 1])
+        parts.append((owner + lo, slot.astype(np.int32), value, dense))
+        lo = hi
+    owner, slot, value, dense = (np.concatenate([p[i] for p in parts]) for i in range(4))
     center, spread = dense.mean(0), dense.std(0) + 1e-3
     z = (dense - center) / spread
     y = np.eye(k)[domains]

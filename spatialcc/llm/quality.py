@@ -183,10 +183,15 @@ def fit_field(texts: list[str], labels: list[int], rounds: int = 300) -> Field:
     With whole documents of one label, a line's neighbours carry its label; the node weights are therefore fitted with
     the neighbours' features and the edge weights at the value that makes a change of label cost one nat.
     """
-    column = pa.array(texts, pa.large_string())
-    data, at = buffers(column)
-    own, size, first = line_features(data, at)
-    x = node_features(own, first)
+    data, at = buffers(pa.array(texts, pa.large_string()))
+    parts, lo = [], 0
+    while lo < len(at) - 1:  # a few texts at a time: only the lines' features are held for all
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
+        own, size, first = line_features(data, at[lo : hi + 1])
+        parts.append((node_features(own, first), size, np.diff(first)))
+        lo = hi
+    x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))])
     y = np.repeat(np.asarray(labels, float), np.diff(first))
     weight = np.sqrt(np.maximum(size, 1))
     # Each text counts alike, each class too.

@@ -1,6 +1,6 @@
 """Vectorised hashing of words and shingles over Arrow string buffers.
 
-Texts are read as bytes, a slice of about a megabyte at a time, so memory doesn't grow with the batch or with a text.
+Texts are read as bytes, a slice of a quarter of a megabyte at a time, so memory doesn't grow with the batch or with a text.
 Hashes are 64 bits and the same in every process.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _SEEDED = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _SEEDED.integers(1 << 62, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _SEEDED.integers(1 << 62, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
@@ -37,11 +37,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
