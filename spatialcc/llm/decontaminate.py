@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same template.
 Windows of template tokens are hashed and looked up among the benchmark's windows; matched windows of one alignment
 must fill the placeholders consistently (equal values stay equal, different ones different), which catches
-re-parameterised questions and leaves chance matches of templates alone.
+re-parameterised questions and leaves chance matches of templates alone. Windows of plain lower-cased tokens find
+verbatim copies whatever their length, place in a sentence, or share of names and numbers.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from spatialcc.llm.wordhash import SLICE, bounded_hashes, buffers, windows, word
 
 #: Template tokens of a window; a shorter item is one window of its own length.
 WINDOW = 8
-#: Items with fewer tokens than this can't be told from chance and are not searched.
+#: Templates with fewer tokens than this can't be told from chance; items with fewer plain tokens must occur whole and exactly.
 LEAST = 4
 #: Share of an item's tokens, or else number of tokens, that a document must cover to count as contaminated.
 COVER_SHARE, COVER_TOKENS = 0.5, 25
@@ -68,29 +69,63 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
+def _characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of tokens with each Chinese or Japanese character as a token of its own, without their punctuation."""
+    lo, hi = int(starts[0]), int(ends[-1])
+    lead = np.flatnonzero(data[lo:hi] >= 0xE3) + lo
+    if not len(lead):
+        return starts, ends
+    first, second, third = data[lead], data[np.minimum(lead + 1, hi - 1)], data[np.minimum(lead + 2, hi - 1)]
+    wide = (first <= 0xE9) | ((first == 0xEF) & (((second >= 0xA4) & (second <= 0xAB)) | (second >= 0xBC))) | ((first == 0xF0) & (second >= 0xA0))
+    marks = (first == 0xE3) & (second == 0x80) & ((third <= 0x84) | (third >= 0x88))
+    marks |= (first == 0xEF) & (second == 0xBC) & ((third <= 0x8F) | ((third >= 0x9A) & (third <= 0xA0)) | (third >= 0xBB))
+    marks |= (first == 0xEF) & (second == 0xBD) & ((third == 0x80) | ((third >= 0x9B) & (third <= 0xA5)))
+    at = lead[wide]
+    cuts = np.unique(np.concatenate([at, at + np.where(data[at] == 0xF0, 4, 3)]))
+    k = np.searchsorted(starts, cuts, "left") - 1
+    cuts = cuts[(k >= 0) & (cuts < ends[np.maximum(k, 0)])]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    keep = ~np.isin(starts, lead[wide & marks])
+    return starts[keep], ends[keep]
+
+
 @dataclass
 class Templates:
-    """Tokens of some texts: what a window sees, the values that fill placeholders, kinds, and the first token of each text."""
+    """Tokens of some texts: what a window sees, the values that fill placeholders, kinds, and the first token of each text.
+
+    plain: the tokens in lower case, without placeholders; plain_first: the first of each text; of: the first plain
+    token of each template token, and the number of plain tokens; starts, ends: bounds of plain tokens.
+    """
 
     seen: np.ndarray
     value: np.ndarray
     kind: np.ndarray
     first: np.ndarray
+    plain: np.ndarray
+    plain_first: np.ndarray
+    of: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
 
 def templates(data: np.ndarray, at: np.ndarray) -> Templates:
     """Canonical tokens of texts.
 
     A token that begins with a digit is a number; a listed unit right after a number is a unit; a run of capitalised
-    words that doesn't open a sentence or the text is one name. All else is a word, in lower case.
+    words that doesn't open a sentence or the text is one name. All else is a word, in lower case; each Chinese or
+    Japanese character is one.
     """
     bounds = [b[:2] for b in word_bounds(data, at, _solid)]
     starts = np.concatenate([b[0] for b in bounds]) if bounds else np.zeros(0, np.int64)
     ends = np.concatenate([b[1] for b in bounds]) if bounds else np.zeros(0, np.int64)
+    if len(starts):
+        starts, ends = _characters(data, starts, ends)
     if not len(starts):
-        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(at), np.int64))
-    value = bounded_hashes(data, starts, ends)
+        none, zeros = np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+        return Templates(none.astype(np.uint64), none.astype(np.uint64), none.astype(np.int8), zeros, none.astype(np.uint64), zeros, zeros[:1], none, none)
+    plain = bounded_hashes(data, starts, ends)
     text = np.searchsorted(at, starts, side="right") - 1
+    plain_first = np.searchsorted(text, np.arange(len(at)))
     opens = np.append(True, text[1:] != text[:-1])
     lo = int(at[0])
     stops = np.concatenate([[0], np.cumsum(_STOP[data[lo : int(at[-1])]], dtype=np.int64)])
@@ -99,91 +134,162 @@ def templates(data: np.ndarray, at: np.ndarray) -> Templates:
     kind = np.zeros(len(starts), np.int8)
     kind[_DIGIT[data[starts]]] = NUMBER
     after_number = np.append(False, kind[:-1] == NUMBER) & ~opens
-    kind[after_number & (kind == WORD) & np.isin(value, _UNITS)] = UNIT
+    kind[after_number & (kind == WORD) & np.isin(plain, _UNITS)] = UNIT
     kind[_CAPITAL[data[starts]] & ~sentence & (kind == WORD)] = NAME
     joined = np.append(False, (kind[1:] == NAME) & (kind[:-1] == NAME)) & ~opens & ~sentence
     keep = np.flatnonzero(~joined)
-    value = np.add.reduceat(value, keep)
+    value = np.add.reduceat(plain, keep)
     kind, text = kind[keep], text[keep]
     seen = np.where(kind == WORD, value, _HOLDER[kind])
-    return Templates(seen, value, kind, np.searchsorted(text, np.arange(len(at))))
+    return Templates(seen, value, kind, np.searchsorted(text, np.arange(len(at))), plain, plain_first, np.append(keep, len(starts)), starts, ends)
+
+
+def _exact(data: np.ndarray, a: int, b: int) -> bytes:
+    """Bytes a to b in lower case, with one space for each run of blanks."""
+    return b" ".join(data[a:b].tobytes().lower().split())
+
+
+@dataclass
+class Item:
+    """An item's template tokens and plain tokens; the whole text if it has too few tokens for a window to tell them from chance."""
+
+    id: int
+    value: np.ndarray
+    kind: np.ndarray
+    of: np.ndarray
+    plain: int
+    opener: int
+    exact: bytes | None
 
 
 @dataclass
 class Index:
-    """Benchmark windows by hash, for one window size, with the items' tokens."""
+    """Benchmark windows by hash, for each window size: of templates, of templates whose first word a document has inside a sentence, of plain tokens."""
 
-    items: dict[int, tuple[np.ndarray, np.ndarray]]
+    items: list[Item]
     by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    inside: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    plain: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _sorted_entries(found: dict[int, list[tuple[int, int, int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, owner, place) entries of each size as arrays, by hash."""
+    out = {}
+    for size, entries in found.items():
+        if not entries:
+            continue
+        entries.sort()
+        out[size] = (np.array([e[0] for e in entries], np.uint64), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64))
+    return out
 
 
 def benchmark_index(rows: list[tuple[int, str]], window: int = WINDOW) -> Index:
-    """The index of (item_id, text) rows; windows that are mostly placeholders are left out."""
-    items, found = {}, defaultdict(list)
-    for item, text in rows:
+    """The index of (item_id, text) rows.
+
+    Every item has windows of plain tokens, whatever its length. Template windows that are mostly placeholders are left
+    out, as are those of items with under LEAST template tokens: only the plain windows can tell them from chance.
+    """
+    items, found, inside, plain = [], defaultdict(list), defaultdict(list), defaultdict(list)
+    for item, text in dict.fromkeys(rows):
         data, at = buffers(pa.array([text or ""], pa.large_string()))
         t = templates(data, at)
-        if len(t.seen) < LEAST:
+        if not len(t.plain):
             continue
-        items[item] = (t.value, t.kind)
-        size = min(window, len(t.seen))
+        k, n = len(items), len(t.seen)
+        exact = _exact(data, t.starts[0], t.ends[-1]) if len(t.plain) < LEAST else None
+        items.append(Item(item, t.value, t.kind, t.of, len(t.plain), int(t.plain[0]), exact))
+        size = min(window, len(t.plain))
+        plain[size] += [(int(h), k, p) for p, h in enumerate(windows(t.plain, size))]
+        if n < LEAST:
+            continue
+        size = min(window, n)
         hashes = windows(t.seen, size)
         literal = np.convolve(t.kind == WORD, np.ones(size, int), "valid")
-        for p in np.flatnonzero(2 * literal >= size):
-            found[size].append((int(hashes[p]), item, int(p)))
-    by_size = {}
-    for size, entries in found.items():
-        entries.sort()
-        by_size[size] = (np.array([e[0] for e in entries], np.uint64), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64))
-    return Index(items, by_size)
-
-
-def _consistent(item: tuple[np.ndarray, np.ndarray], t: Templates, spans: list[tuple[int, int]], shift: int) -> tuple[bool, bool]:
+        found[size] += [(int(hashes[p]), k, int(p)) for p in np.flatnonzero(2 * literal >= size)]
+        joined = int(t.kind[1] == NAME)  # inside a sentence the opening word is one name with a name after it
+        if t.kind[0] == WORD and n - joined >= LEAST:
+            size = min(window, n - joined)
+            if 2 * (1 + int((t.kind[1 : size + joined] == WORD).sum())) >= size:
+                seen = np.append(_HOLDER[NAME], t.seen[1 + joined : size + joined])
+                inside[size].append((int(windows(seen, size)[0]), k, joined))
+    return Index(items, _sorted_entries(found), _sorted_entries(inside), _sorted_entries(plain))
+
+
+def _lookup(by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], tokens: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, texts, positions, owners, places) of the windows that are indexed."""
+    for size, (hashes, owners, places) in by_size.items():
+        own = windows(tokens, size)
+        if not len(own):
+            continue
+        lo = np.searchsorted(hashes, own, "left")
+        p = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == own)
+        text = np.searchsorted(first, p, "right") - 1
+        fits = p + size <= first[text + 1]
+        p, text = p[fits], text[fits]
+        lo = lo[p]
+        many = np.searchsorted(hashes, own[p], "right") - lo
+        k = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum())) if len(p) else lo
+        yield size, np.repeat(text, many), np.repeat(p, many), owners[k], places[k]
+
+
+def _consistent(item: Item, t: Templates, spans: list[tuple[int, int, dict[int, int]]], shift: int) -> tuple[bool, bool]:
     """Whether the covered placeholders map one to one, and whether any value has changed."""
     there, back, changed = {}, {}, False
-    for a, b in spans:
+    for a, b, other in spans:
         for p in range(a, b):
-            if item[1][p] != WORD:
-                x, y = (int(item[1][p]), int(item[0][p])), int(t.value[p + shift])
+            if item.kind[p] != WORD:
+                x, y = (int(item.kind[p]), int(item.value[p])), other[p] if p in other else int(t.value[p + shift])
                 if there.setdefault(x, y) != y or back.setdefault((x[0], y), x) != x:
                     return False, False
                 changed |= x[1] != y
     return True, changed
 
 
-def matches(index: Index, t: Templates) -> dict[int, list[tuple[int, float, bool]]]:
+def _inside_name(item: Item, t: Templates, p: int, joined: int) -> dict[int, int] | None:
+    """Values of the item's second token where the name at p is the item's opening word and what joins it; None if it isn't."""
+    run = t.plain[t.of[p] : t.of[p + 1]]
+    at = np.flatnonzero(run[: len(run) - joined] == np.uint64(item.opener))
+    if not len(at) or (not joined and at[-1] != len(run) - 1):
+        return None
+    return {1: int(run[at[-1] + 1 :].sum(dtype=np.uint64))} if joined else {}
+
+
+def matches(index: Index, t: Templates, data: np.ndarray) -> dict[int, list[tuple[int, float, bool]]]:
     """For each text (by position) with any: items with the covered share and whether values were changed."""
-    hits = defaultdict(list)  # (text, item, size, shift) -> item positions
-    for size, (hashes, owners, places) in index.by_size.items():
-        own = windows(t.seen, size)
-        if not len(own):
-            continue
-        lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-        for p in np.flatnonzero(hi > lo):
-            text = int(np.searchsorted(t.first, p, "right")) - 1
-            if p + size <= t.first[text + 1]:
-                for k in range(int(lo[p]), int(hi[p])):
-                    hits[text, int(owners[k]), size, int(p - places[k])].append(int(places[k]))
-    covered: dict[tuple[int, int], tuple[set[int], bool]] = {}
-    for (text, item, size, shift), places in hits.items():
-        spans: list[tuple[int, int]] = []
-        for p in sorted(places):
-            if spans and p <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], p + size)
-            else:
-                spans.append((p, p + size))
-        fits, changed = _consistent(index.items[item], t, spans, shift)
+    hits = defaultdict(set)  # (text, owner, shift) -> item windows
+    others = {}  # of these, values of tokens that a name of the document hides
+    for size, *found in _lookup(index.by_size, t.seen, t.first):
+        for text, p, k, place in zip(*(x.tolist() for x in found), strict=True):
+            hits[text, k, p - place].add((place, place + size))
+    for size, *found in _lookup(index.inside, t.seen, t.first):
+        for text, p, k, joined in zip(*(x.tolist() for x in found), strict=True):
+            if (other := _inside_name(index.items[k], t, p, joined)) is not None:
+                hits[text, k, p - joined].add((0, size + joined))
+                others[text, k, p - joined] = other
+    covered = defaultdict(lambda: (set(), set(), False))  # (text, owner) -> template tokens, plain tokens, changed
+    for (text, k, shift), places in hits.items():
+        item, other = index.items[k], others.get((text, k, shift), {})
+        fits, changed = _consistent(item, t, [(a, b, other) for a, b in sorted(places)], shift)
         if fits:
-            had, was = covered.get((text, item), (set(), False))
-            for a, b in spans:
+            had, plain, was = covered[text, k]
+            for a, b in places:
                 had.update(range(a, b))
-            covered[text, item] = (had, was or changed)
-    out = defaultdict(list)
-    for (text, item), (had, changed) in sorted(covered.items(), key=lambda x: x[0]):
-        size = len(index.items[item][0])
-        if len(had) >= min(COVER_SHARE * size, COVER_TOKENS):
-            out[text].append((item, len(had) / size, changed))
-    return out
+                plain.update(range(item.of[a], item.of[b]))
+            covered[text, k] = (had, plain, was or changed)
+    for size, text, p, k, place in _lookup(index.plain, t.plain, t.plain_first):
+        good = np.ones(len(p), bool)
+        for j in range(len(p) if 1 < size < LEAST else 0):  # one token has nothing between
+            good[j] = _exact(data, t.starts[p[j]], t.ends[p[j] + size - 1]) == index.items[k[j]].exact
+        for x, owner, a in np.unique(np.stack([text[good], k[good], place[good]], 1), axis=0).tolist():
+            covered[x, owner][1].update(range(a, a + size))
+    out: dict[int, dict[int, tuple[float, bool]]] = defaultdict(dict)
+    for (text, k), (had, plain, changed) in sorted(covered.items(), key=lambda x: x[0]):
+        item = index.items[k]
+        shares = [len(x) / n for x, n in ((had, len(item.value)), (plain, item.plain)) if len(x) >= min(COVER_SHARE * n, COVER_TOKENS)]
+        if shares:
+            share, was = out[text].get(item.id, (0.0, False))
+            out[text][item.id] = (max(share, *shares), was or changed)
+    return {text: [(i, share, changed) for i, (share, changed) in found.items()] for text, found in out.items()}
 
 
 _FOUND = "items array<struct<item_id:bigint,coverage:double,changed:boolean>>"
@@ -195,7 +301,7 @@ def _search(column: pa.Array, index: Index) -> list[list[dict]]:
     out, lo = [], 0
     while lo < len(at) - 1:
         hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
-        found = matches(index, templates(data, at[lo : hi + 1]))
+        found = matches(index, templates(data, at[lo : hi + 1]), data)
         out += [[{"item_id": i, "coverage": c, "changed": ch} for i, c, ch in found.get(k, [])] for k in range(hi - lo)]
         lo = hi
     return out
@@ -206,7 +312,7 @@ def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[
     rows, size = [], 0
     for row in benchmark.select("item_id", text_or_empty().alias("text")).toLocalIterator():
         rows.append((row["item_id"], row["text"]))
-        size += len(row["text"].split()) + 1
+        size += 2 * (len(row["text"].split()) + sum(c > "\u2fff" for c in row["text"]) + 1)  # windows of templates and of plain tokens
         if size >= block:
             yield rows
             rows, size = [], 0
@@ -229,10 +335,13 @@ def _matched(found: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, contaminated, n_items, items, coverage, n_reparameterised.
 
-    An item counts if aligned windows with consistent placeholders cover at least half of its tokens, or 25 of them.
+    An item counts if aligned windows with consistent placeholders cover at least half of its template tokens, or 25 of
+    them, or if these and verbatim windows cover as much of its plain tokens. Template windows that are mostly
+    placeholders are left out (so such passages are found with their own values only), and an item's opening word is
+    never a placeholder. An item with under 4 tokens counts where its whole text occurs, but for case and the width of blanks.
     items lists the ids, ascending, joined by a comma; coverage is the largest covered share (0 without items);
     n_reparameterised counts items whose placeholders have other values. Null and empty texts match nothing, nor do
-    items with a null id or under 4 tokens; repeated rows of either table count each on their own (repeated items once).
+    items with a null id or without letters and digits; repeated rows of either table count each on their own (repeated items once).
     Empty tables give no matches. The search runs where the texts are; nothing is shuffled. Repeated ids in a benchmark
     of several blocks are kept apart by block.
     """

@@ -215,6 +215,27 @@ def test_decontamination(spark):
     assert decontaminate.contamination(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_copies_without_templates(spark):
+    items = [
+        "What Is The Capital Of France", "HOW MANY PLANETS, MOONS AND STARS ARE THERE?", "法国的首都是哪里？它有12座桥吗", "12 + 35 * 7 = 257, 8 + 9 - 3 = 14", "Alice, Bob, Carol, Dave, Erin, Frank",
+        "Who is the king", "Does Alice have 12 apples in the box", "What is love?", "3 + 4 = ?",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id bigint, text string")
+    rng = np.random.default_rng(6)
+    rows = [(i, f"{words(rng, 20)} Q: {t} {words(rng, 20)}" if t[0] < "\x80" else "甲乙" + t + "丙丁") for i, t in enumerate(items, 1)]
+    rows += [
+        (11, "Q: Does Carol have 30 apples in the box"), (12, "so does Carol have 30 apples in the box"),  # other values, opening word inside a sentence
+        (21, "what is, love"), (22, "13 + 4 and 3 4"), (23, "What are The Capitals Of France"), (24, "12 + 35 * 8 = 292, 7 + 9 - 4 = 12"),
+        (25, "法国的首都在哪儿？它有很多桥"), (26, "London is the king"), (27, "Q: Can Alice have 12 plums in her box"), *ODD,
+    ]
+    for block in (1_000_000, 10):
+        found = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench, block).collect() if r.doc_id is not None}
+        assert {k: r["items"] for k, r in found.items() if r.contaminated} == {**{i: str(i) for i in range(1, len(items) + 1)}, 11: "7", 12: "7"}
+        assert all(found[i].coverage == 1 and not found[i].n_reparameterised for i in range(1, len(items) + 1)) and found[11].n_reparameterised == 1
+    left = decontaminate.drop_contaminated(table(spark, rows), bench)
+    assert sorted(r.doc_id for r in left.collect() if 0 < (r.doc_id or 0) < 900) == list(range(21, 28))
+
+
 # Chat
 
 
