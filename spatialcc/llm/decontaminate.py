@@ -232,17 +232,31 @@ def _lookup(by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], token
         yield size, np.repeat(text, many), np.repeat(p, many), owners[k], places[k]
 
 
-def _consistent(item: Item, t: Templates, spans: list[tuple[int, int, dict[int, int]]], shift: int) -> tuple[bool, bool]:
-    """Whether the covered placeholders map one to one, and whether any value has changed."""
-    there, back, changed = {}, {}, False
-    for a, b, other in spans:
-        for p in range(a, b):
-            if item.kind[p] != WORD:
-                x, y = (int(item.kind[p]), int(item.value[p])), other[p] if p in other else int(t.value[p + shift])
-                if there.setdefault(x, y) != y or back.setdefault((x[0], y), x) != x:
-                    return False, False
-                changed |= x[1] != y
-    return True, changed
+def _agreed(item: Item, t: Templates, spans: set[tuple[int, int]], other: dict[int, int], shift: int) -> Iterator[tuple[int, int, bool]]:
+    """The windows (a, b, changed) of one alignment that fill their placeholders consistently.
+
+    A value's most frequent counterpart is its mapping, its own value first; windows with another one are left out. Where
+    two new values are as frequent, the alignment has no mapping, and only windows without new values count.
+    """
+    votes: dict[tuple, tuple[int, bool]] = {}
+    pair = {}
+    for p in sorted({p for a, b in spans for p in range(a, b)}):
+        if item.kind[p] != WORD:
+            kind, x, y = int(item.kind[p]), int(item.value[p]), other[p] if p in other else int(t.value[p + shift])
+            pair[p] = (kind, x, y)
+            votes[kind, x, y] = (votes.get((kind, x, y), (0, False))[0] + 1, x == y)
+    sides = defaultdict(list)
+    for (kind, x, y), rank in votes.items():
+        sides["item", kind, x].append(rank)
+        sides["text", kind, y].append(rank)
+    best = {side: max(ranks) for side, ranks in sides.items()}
+    tied = any(ranks.count(best[side]) > 1 for side, ranks in sides.items())
+    fits = {(k, x, y): not tied and rank == best["item", k, x] == best["text", k, y] for (k, x, y), rank in votes.items()}
+    for a, b in spans:
+        slots = {pair[p] for p in range(a, b) if p in pair}
+        changed = any(x != y for _, x, y in slots)
+        if not changed or all(fits[s] for s in slots):
+            yield a, b, changed
 
 
 def _inside_name(item: Item, t: Templates, p: int, joined: int) -> dict[int, int] | None:
@@ -269,12 +283,10 @@ def matches(index: Index, t: Templates, data: np.ndarray) -> dict[int, list[tupl
     covered = defaultdict(lambda: (set(), set(), False))  # (text, owner) -> template tokens, plain tokens, changed
     for (text, k, shift), places in hits.items():
         item, other = index.items[k], others.get((text, k, shift), {})
-        fits, changed = _consistent(item, t, [(a, b, other) for a, b in sorted(places)], shift)
-        if fits:
+        for a, b, changed in _agreed(item, t, places, other, shift):
             had, plain, was = covered[text, k]
-            for a, b in places:
-                had.update(range(a, b))
-                plain.update(range(item.of[a], item.of[b]))
+            had.update(range(a, b))
+            plain.update(range(item.of[a], item.of[b]))
             covered[text, k] = (had, plain, was or changed)
     for size, text, p, k, place in _lookup(index.plain, t.plain, t.plain_first):
         good = np.ones(len(p), bool)
@@ -338,7 +350,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc
     An item counts if aligned windows with consistent placeholders cover at least half of its template tokens, or 25 of
     them, or if these and verbatim windows cover as much of its plain tokens. Template windows that are mostly
     placeholders are left out (so such passages are found with their own values only), and an item's opening word is
-    never a placeholder. An item with under 4 tokens counts where its whole text occurs, but for case and the width of blanks.
+    never a placeholder. A window that contradicts the alignment's most frequent mapping of values is left out alone;
+    where two new values are as frequent, windows without new values still count. An item with under 4 tokens counts where its whole text occurs, but for case and the width of blanks.
     items lists the ids, ascending, joined by a comma; coverage is the largest covered share (0 without items);
     n_reparameterised counts items whose placeholders have other values. Null and empty texts match nothing, nor do
     items with a null id or without letters and digits; repeated rows of either table count each on their own (repeated items once).

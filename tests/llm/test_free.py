@@ -236,6 +236,28 @@ def test_decontamination_finds_copies_without_templates(spark):
     assert sorted(r.doc_id for r in left.collect() if 0 < (r.doc_id or 0) < 900) == list(range(21, 28))
 
 
+def test_one_conflict_does_not_hide_a_copy():
+    rng = np.random.default_rng(8)
+    parts = [words(rng, 15) for _ in range(4)]
+    item = f"{parts[0]} Alice {parts[1]} Alice {parts[2]} Alice {parts[3]}"
+
+    def found(text):
+        data, at = wordhash.buffers(pa.array([text], pa.large_string()))
+        t = decontaminate.templates(data, at)
+        index = decontaminate.benchmark_index([(1, item)])
+        index.plain.clear()  # templates alone
+        return decontaminate.matches(index, t, data).get(0, [])
+
+    assert found(item) == [(1, 1.0, False)]
+    # The third name is another one: of 63 tokens it alone is in no window that counts.
+    [(_, share, changed)] = found(item[::-1].replace("ecilA", "aicilA", 1)[::-1])
+    assert share == pytest.approx(62 / 63) and not changed
+    [(_, share, changed)] = found(item.replace("Alice", "Carol", 2))
+    assert changed and share == 1  # Carol is most frequent; the third name is the item's own
+    [(_, share, changed)] = found(item.replace("Alice", "Carol", 1).replace("Alice", "Erin", 1).replace("Alice", "Gina"))
+    assert share == pytest.approx(60 / 63) and not changed  # no mapping: what is literal counts
+
+
 # Chat
 
 
