@@ -71,8 +71,10 @@ RULES = [
 
 #: Every known sentence has one of these words, whatever its case; a text without them needs no cutting.
 KEYWORDS = "licen[sc]e|copyright|permission|redistribut|warrant|rights|spdx"
-#: Where a sentence ends: marks followed by white space or the text's end, or a line's end.
-SENTENCE_END = r"[.!?]+(?:[\x20\x09-\x0D]|\z)|\n"
+#: Where a sentence ends: marks followed by white space or the text's end. It may also begin and end with a line.
+SENTENCE_END, STOP = r"[.!?]+(?=[\x20\x09-\x0D]|\z)", "\x01"
+#: What isn't of a wrapped sentence at a line's start, beside marks without letters and digits.
+LIST_MARK = r"(?:\A|\n)[^A-Za-z0-9\n\x01]*(?:[0-9]{1,2}\)|[A-Za-z]\)|[ivxIVX]{2,4}\)|(?:dnl|rem|REM)[\x20\x09])"
 
 assert all(re.search(KEYWORDS, s) for s in SENTENCES)
 
@@ -83,11 +85,20 @@ def _any_case(pattern: str) -> str:
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
-    """Identifiers of the known sentences of a text, in order, each followed by a space; unknown sentences give none."""
+    """Identifiers of the known sentences of a text, in order, each followed by a space; unknown sentences give none.
+
+    A sentence begins and ends at an end mark or a line's edge, and may run over several lines, with comment or list
+    marks and blank lines between them. Of several that begin at one place the longest counts.
+    """
     known = SENTENCES if sentences is None else sentences
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "\n"), "\n")
-    plain = F.transform(cut, lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
-    found = F.filter(plain, lambda s: s.isin(list(known)))
+    longest = sorted((k for k in known if re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", k)), key=len, reverse=True)
+    if not longest:
+        return F.lit("")
+    # A line feed stays as a mark: a sentence may begin and end at it, and may run over it.
+    marked = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, STOP), LIST_MARK, "\n")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(marked, f"[^A-Za-z0-9\n{STOP}]+", " "), " ?([\n\\x01])[\n ]*", "$1"))
+    whole = rf"(?<=\A ?|[\n{STOP}])(?:" + "|".join(k.replace(" ", "[ \n]") for k in longest) + rf")(?= ?\z|[\n{STOP}])"
+    found = F.transform(F.regexp_extract_all(plain, F.lit(whole), F.lit(0)), lambda s: F.translate(s, "\n", " "))
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     ids = F.transform(found, lambda s: F.concat(F.element_at(lookup, s), F.lit(" ")))
     return F.when(text.rlike(_any_case(KEYWORDS)), F.array_join(ids, "")).otherwise(F.lit(""))
@@ -126,7 +137,7 @@ COLUMNS = ["doc_id", "sentence_seq", "n_sentences", "licenses", "n_licenses", "p
 
 
 def oracle() -> str:
-    """DuckDB SQL of the query."""
+    """DuckDB SQL of the query, for texts whose known sentences are not wrapped."""
     ids = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     known = ", ".join(f"'{k}'" for k in SENTENCES)
     ctes, at = [], "s0"

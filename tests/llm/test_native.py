@@ -41,6 +41,62 @@ def test_licences(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+APACHE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,"""
+MIT = """MIT License
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+
+
+def test_published_licences(spark):
+    want = {
+        APACHE: ("Apache-2.0", "apache2_notice apache2_link"), BSD: ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"),
+        GPL: ("GPL-3.0", "gpl3_grant"), MIT: ("MIT", "mit_title mit_grant mit_condition mit_warranty"),
+        BSD.replace("1. ", "a) ").replace("2. ", "(b) "): ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"),
+        "Terms:\nAll rights\nreserved, says\nthe MIT\nLicense": ("MIT", "mit_title"),
+        "Released under the MIT License": ("MIT", "mit_notice"), " MIT License ": ("MIT", "mit_title"), "not the MIT License": ("", ""),
+    }
+    for mark in ("// ", "# ", " * ", "dnl "):
+        want |= {"\n".join(mark + line for line in t.split("\n")): want[t] for t in (APACHE, BSD, GPL, MIT)}
+        want |= {"\r\n".join(mark + line for line in t.split("\n")): want[t] for t in (APACHE, BSD, GPL, MIT)}
+    found = licenses.scan_licenses(table(spark, [(i, t, "s") for i, t in enumerate(want)])).collect()
+    assert {r.text: (r.licenses, r.sentence_seq) for r in found} == want
+    assert all(r.unclaimed == 0 and r.n_sentences == len(r.sentence_seq.split()) for r in found)
+
+
 def brute_spans(text):
     """The base contract, with Python's re on code points."""
     out = []
