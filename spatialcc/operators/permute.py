@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spatialcc.functions.scalars import hex_x, hex_y
 from spatialcc.operators.components import connected_components, filter_components
 from spatialcc.operators.jaccard import jaccard_composite
+from spatialcc.operators.smooth import neighbour_weights, smooth_over
 from spatialcc.plans.landing import land
 
 
@@ -36,13 +38,33 @@ def permuted(smoothed: DataFrame, spots: DataFrame, n_perm: int, seed: int = 0)
     )
 
 
-def permutation_draws(smoothed: DataFrame, spots: DataFrame, pairs: DataFrame, n_perm: int, seed: int = 0, min_size: int = 20, thres_per: float = 30) -> DataFrame:
-    """(grp, perm, feat_1, feat_2, j_perm) of every permutation."""
-    moved = land(permuted(smoothed, spots, n_perm, seed), "permuted")
+def permuted_raw(values: DataFrame, spots: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
+    """Raw values (grp, slide, feature, spot_id, value) moved to permuted spots; `grp` becomes grp and number.
+
+    As on hexagonal lattices: raw values are shuffled, to be smoothed afterwards.
+    """
+    moved = values.select("grp", "feature", F.col("spot_id").alias("from_spot"), "value").join(shuffles(spots, n_perm, seed), ["grp", "from_spot"])
+    return moved.select(F.concat_ws("#", F.col("grp").cast("string"), F.col("perm").cast("string")).alias("grp"), F.col("grp").alias("slide"), "feature", "spot_id", "value")
+
+
+def permutation_draws(
+    smoothed: DataFrame, spots: DataFrame, pairs: DataFrame, n_perm: int, seed: int = 0, min_size: int = 20, thres_per: float = 30, lattice: str = "grid", fwhm: float = 2.5
+) -> DataFrame:
+    """(grp, perm, feat_1, feat_2, j_perm) of every permutation. On a 'hex' lattice `smoothed` holds raw values (grp, feature, spot_id, value)."""
+    if lattice == "grid":
+        moved = land(permuted(smoothed, spots, n_perm, seed), "permuted")
+        weights = moved.select("grp", "feature", "spot_id", F.col("smoothed").alias("value"))
+    else:
+        raw = land(permuted_raw(smoothed, spots, n_perm, seed), "shuffled")
+        weights = raw.select("grp", "feature", "spot_id", "value")
+        near = land(neighbour_weights(spots.select("grp", "spot_id", hex_x().alias("x"), hex_y().alias("y")), fwhm), "near")
+        at = spots.select(F.col("grp").alias("slide"), "spot_id", "array_col", "array_row")
+        moved = smooth_over(raw, near, "slide").withColumn("slide", F.regexp_replace("grp", "#[0-9]+$", ""))
+        moved = land(moved.join(at.withColumn("slide", F.col("slide").cast("string")), ["slide", "spot_id"]).drop("slide"), "permuted")
     perms = spots.sparkSession.range(n_perm).select(F.col("id").cast("string").alias("perm"))
     places = spots.crossJoin(F.broadcast(perms)).select(F.concat_ws("#", F.col("grp").cast("string"), "perm").alias("grp"), "spot_id")
-    labels = land(connected_components(moved, min_size), "components")
-    kept = filter_components(labels, moved.select("grp", "feature", "spot_id", F.col("smoothed").alias("value")), places, thres_per)
+    labels = land(connected_components(moved, min_size, lattice, fwhm), "components")
+    kept = filter_components(labels, weights, places, thres_per)
     found = jaccard_composite(pairs, kept, places)
     parts = F.split("grp", "#")
     return found.select(F.element_at(parts, 1).alias("grp"), F.element_at(parts, 2).cast("int").alias("perm"), "feat_1", "feat_2", F.col("j_comp").alias("j_perm"))
@@ -55,10 +77,12 @@ def p_values(observed: DataFrame, draws: DataFrame) -> DataFrame:
     return observed.join(hits, keys, "left")
 
 
-def significance(results: DataFrame, wanted: DataFrame, smoothed: DataFrame, spots: DataFrame, n_perm: int = 1000, seed: int = 0, min_size: int = 20, thres_per: float = 30) -> DataFrame:
-    """p-values of the wanted pairs among earlier results (OP-J06, T19)."""
+def significance(
+    results: DataFrame, wanted: DataFrame, smoothed: DataFrame, spots: DataFrame, n_perm: int = 1000, seed: int = 0, min_size: int = 20, thres_per: float = 30, lattice: str = "grid", fwhm: float = 2.5
+) -> DataFrame:
+    """p-values of the wanted pairs among earlier results (OP-J06, T19); see permutation_draws for `smoothed`."""
     chosen = results.join(wanted.select("feat_1", "feat_2").distinct(), ["feat_1", "feat_2"])
     names = chosen.select(F.col("feat_1").alias("feature")).union(chosen.select(F.col("feat_2").alias("feature"))).distinct()
     values = smoothed.join(names, "feature", "left_semi")
-    draws = permutation_draws(values, spots, chosen.select("feat_1", "feat_2").distinct(), n_perm, seed, min_size, thres_per)
+    draws = permutation_draws(values, spots, chosen.select("feat_1", "feat_2").distinct(), n_perm, seed, min_size, thres_per, lattice, fwhm)
     return p_values(chosen, draws)

@@ -63,8 +63,17 @@ def smooth_points(expr: DataFrame, spots: DataFrame, fwhm: float = 2.5) -> DataF
 
     expr: grp, feature, spot_id, value. spots: grp, spot_id, x, y. Totals over a group's spots are preserved.
     """
-    near = distance_join(spots, fwhm).withColumn("w", gaussian_weight(fwhm, F.col("d"))).select("grp", F.col("src").alias("spot_id"), "dst", "w")
-    spread = expr.filter("value <> 0").join(near, ["grp", "spot_id"])
+    return smooth_over(expr, neighbour_weights(spots, fwhm))
+
+
+def neighbour_weights(spots: DataFrame, fwhm: float = 2.5) -> DataFrame:
+    """(grp, spot_id, dst, w): weights of the spots within fwhm of each spot at x, y."""
+    return distance_join(spots, fwhm).withColumn("w", gaussian_weight(fwhm, F.col("d"))).select("grp", F.col("src").alias("spot_id"), "dst", "w")
+
+
+def smooth_over(expr: DataFrame, near: DataFrame, slide: str = "grp") -> DataFrame:
+    """Values spread by weights of neighbours; `slide` is the column of expr that near calls grp, totals are kept by grp."""
+    spread = expr.filter("value <> 0").join(near.withColumnRenamed("grp", slide), [slide, "spot_id"])
     summed = spread.groupBy("grp", "feature", "dst").agg(F.sum(F.col("w") * F.col("value")).alias("s"))
     totals = expr.groupBy("grp", "feature").agg(F.sum("value").alias("total"))
     whole = summed.groupBy("grp", "feature").agg(F.sum("s").alias("whole"))

@@ -104,9 +104,14 @@ class SpatialDataset:
         return live.join(found, ["grp", "feat_1", "feat_2"])
 
     def significance(self, results: DataFrame, wanted: DataFrame, n_perm: int = 1000, seed: int = 0) -> DataFrame:
-        """Results of the wanted pairs with permutation p-values (OP-T19; square grids)."""
+        """Results of the wanted pairs with permutation p-values (OP-T19, T20).
+
+        Square grids shuffle smoothed values; hexagonal lattices shuffle raw values, then smooth.
+        """
+        p = self.params
         names = wanted.select(F.col("feat_1").alias("feature")).union(wanted.select(F.col("feat_2").alias("feature"))).distinct()
-        return permute.significance(results, wanted, land(self.smoothed(names), "smoothed"), self.spots, n_perm, seed, self.params.min_size, self.params.thres_per)
+        values = land(self.smoothed(names), "smoothed") if p.lattice == "grid" else self.values()
+        return permute.significance(results, wanted, values, self.spots, n_perm, seed, p.min_size, p.thres_per, p.lattice, p.fwhm)
 
     def celltype_specific(self, celltype_name: str) -> DataFrame:
         """The long matrix of one cell type over the dataset's spots (OP-A07); needs tx_grid with celltype."""

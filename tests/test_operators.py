@@ -68,6 +68,26 @@ def test_permutations(spark):
     assert permute.p_values(observed, draws).first().p_value == 0.5
 
 
+def test_permutations_on_a_hexagonal_lattice(spark):
+    places = [("s", f"{c}_{r}", c, r) for r in range(12) for c in range(r % 2, 24, 2)]
+    spots = spark.createDataFrame(places, "grp string, spot_id string, array_col int, array_row int")
+    rows = [(g, i, f, math.exp(-((c / 2 - 4 - 2 * k) ** 2 + (r - 6) ** 2) / 6.0) * 5) for g, i, c, r in places for k, f in enumerate("ab")]
+    expr = spark.createDataFrame(rows, "grp string, spot_id string, feature string, value double")
+    data = SpatialDataset(spots, expr, Params(min_size=4, lattice="hex"))
+    wanted = spark.createDataFrame([("a", "b")], "feat_1 string, feat_2 string")
+    draws = permute.permutation_draws(data.values(), data.spots, wanted, 3, 1, 4, 30, "hex", 2.5).collect()
+    moves = permute.shuffles(data.spots, 3, 1)
+    want = []
+    for p in range(3):  # each permutation as a dataset of its own: raw values are moved, then smoothed and filtered by raw means
+        moved = data.expr.withColumnRenamed("spot_id", "from_spot").join(moves.filter(F.col("perm") == p), ["grp", "from_spot"]).select("grp", "spot_id", "feature", "value")
+        want.append(SpatialDataset(data.spots, moved.localCheckpoint(), data.params).similarity(wanted).first().j_comp)
+    got = [r.j_perm for r in sorted(draws, key=lambda r: r.perm)]
+    assert got == pytest.approx(want) and max(want) > 0.05
+    observed = data.similarity(wanted)
+    [found] = data.significance(observed, wanted, n_perm=3, seed=1).collect()
+    assert found.p_value == pytest.approx(sum(j >= found.j_comp for j in want) / 3)
+
+
 def test_names_and_pairs(spark):
     cellchat = spark.createDataFrame([("A - (B+C)",), ("D - E",)], "interaction_name_2 string")
     assert sorted(tuple(r) for r in pairs.lr_cellchat(cellchat).collect()) == [("A", "B"), ("A", "C"), ("D", "E")]
