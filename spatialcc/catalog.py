@@ -387,7 +387,7 @@ def permutation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = P.slides(spark, sf_dir)
     wanted = P.pairs(spark)
     results = land(data.similarity(wanted, on_empty="keep"), "results")
-    return data.significance(results, wanted, n_perm=5, seed=1234)
+    return data.significance(results, wanted, seed=1234)
 
 
 # Overlap, on masks

@@ -1,10 +1,12 @@
 """Relational operators of the spatial engine on small hand-made tables; guards; sources, sinks and the stream."""
 
+import inspect
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from spatialcc import catalog
 from spatialcc.operators import annotate, diff, grid, jaccard, pairs, permute, qc, smooth
 from spatialcc.plans.dataset import Params, SpatialDataset, from_molecules
 from spatialcc.sources import readers, sinks
@@ -88,6 +90,21 @@ def test_permutations_on_a_hexagonal_lattice(spark):
     assert found.p_value == pytest.approx(sum(j >= found.j_comp for j in want) / 3)
 
 
+def test_registered_permutations_are_the_whole_test(spark, monkeypatch):
+    asked = {}
+
+    class Data:
+        def similarity(self, wanted, **options):
+            return wanted
+
+        def significance(self, *args, **options):
+            asked.update(inspect.signature(SpatialDataset.significance).bind(self, *args, **options).arguments)
+
+    monkeypatch.setattr(catalog.P, "slides", lambda spark, sf_dir: Data())
+    catalog.permutation_pvalue(spark, "")
+    assert asked.get("n_perm", inspect.signature(SpatialDataset.significance).parameters["n_perm"].default) == 1000
+
+
 def test_names_and_pairs(spark):
     cellchat = spark.createDataFrame([("A - (B+C)",), ("D - E",)], "interaction_name_2 string")
     assert sorted(tuple(r) for r in pairs.lr_cellchat(cellchat).collect()) == [("A", "B"), ("A", "C"), ("D", "E")]
