@@ -3,7 +3,7 @@
 Every line of a text is a node with two states, bad (0) and good (1). Node scores come from features of the line and of
 its neighbours; edge scores tie neighbouring labels. Forward-backward gives each line's marginal, and the marginals,
 weighted by line length, give the document's quality. The field is fitted on a bounded sample of labelled documents by
-the likelihood of their labels (a document's lines all carry its label); a two-number calibration maps the weighted
+the likelihood of their labels, line by line without the chain (a document's lines all carry its label); a two-number calibration maps the weighted
 marginal to a probability.
 """
 
@@ -178,7 +178,7 @@ def _weighted(good: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarr
 
 
 def fit_field(texts: list[str], labels: list[int], rounds: int = 300) -> Field:
-    """Fit by gradient ascent on the mean pseudo-likelihood of the line labels, then calibrate on document level.
+    """Fit node weights by logistic regression of single lines (training ignores the chain), then calibrate on document level.
 
     With whole documents of one label, a line's neighbours carry its label; the node weights are therefore fitted with
     the neighbours' features and the edge weights at the value that makes a change of label cost one nat.
