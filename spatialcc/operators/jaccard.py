@@ -31,23 +31,19 @@ def jaccard_composite(pairs: DataFrame, labels: DataFrame, spots: DataFrame) ->
     return _every(pairs, spots, found, "j_comp").select("grp", "feat_1", "feat_2", "j_comp")
 
 
-def unit_values(values: DataFrame, spots: DataFrame) -> DataFrame:
-    """(grp, feature, spot_id, unit, zero): values scaled to 0..1 over all spots of the group; a constant feature is null.
-
-    Spots without a value are zero; `zero` is what a zero is scaled to.
-    """
+def unit_span(values: DataFrame, spots: DataFrame) -> DataFrame:
+    """(grp, feature, lo, width): the least value over all spots of the group and the span; spots without a value are zero, a constant feature has no width."""
     n = spots.groupBy("grp").agg(F.count(F.lit(1)).alias("n_spots"))
     span = values.groupBy("grp", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")).join(n, "grp")
     lo = F.when(F.col("n") < F.col("n_spots"), F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
     hi = F.when(F.col("n") < F.col("n_spots"), F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))
-    span = span.select("grp", "feature", lo.alias("lo"), hi.alias("hi"))
-    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
-    return values.join(span, ["grp", "feature"]).select("grp", "feature", "spot_id", ((F.col("value") - F.col("lo")) / width).alias("unit"))
+    return span.select("grp", "feature", lo.alias("lo"), F.when(hi > lo, hi - lo).alias("width"))
 
 
 def _weights(pairs: DataFrame, labels: DataFrame, values: DataFrame, spots: DataFrame) -> DataFrame:
-    """Labelled spots with their scaled value."""
-    return labels.join(unit_values(values, spots), ["grp", "feature", "spot_id"], "left")
+    """Labelled spots with their value scaled to 0..1 over all spots of the group, null for a constant feature."""
+    held = labels.join(values, ["grp", "feature", "spot_id"], "left").join(unit_span(values, spots), ["grp", "feature"], "left")
+    return held.withColumn("unit", (F.coalesce("value", F.lit(0.0)) - F.col("lo")) / F.col("width")).drop("value", "lo", "width")
 
 
 def jaccard_weighted(pairs: DataFrame, labels: DataFrame, values: DataFrame, spots: DataFrame) -> DataFrame:
@@ -87,7 +83,7 @@ def local_jaccard(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def local_jaccard_weighted(pairs: DataFrame, labels: DataFrame, values: DataFrame, spots: DataFrame) -> DataFrame:
     """As local_jaccard(), with sums of the smaller over sums of the larger scaled value."""
-    held = _weights(pairs, labels, values, spots).withColumn("unit", F.col("unit"))
+    held = _weights(pairs, labels, values, spots)
     sums = held.groupBy("grp", "feature", "cc_label").agg(F.sum("unit").alias("s"))
     x = held.select("grp", F.col("feature").alias("feat_1"), "spot_id", F.col("cc_label").alias("ccx"), F.col("unit").alias("ux"))
     y = held.select("grp", F.col("feature").alias("feat_2"), "spot_id", F.col("cc_label").alias("ccy"), F.col("unit").alias("uy"))
