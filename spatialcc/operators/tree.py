@@ -87,7 +87,7 @@ def build(values: Sequence[float], neighbours: Sequence[Sequence[int]]) -> Merge
     positive = np.flatnonzero(values > 0)
     order = positive[np.argsort(-values[positive], kind="stable")]
     tree = MergeTree()
-    node_of = np.full(len(values), -1)  # the node at which a spot joined
+    node_of = [-1] * len(values)  # the node at which a spot joined
     top: list[int] = []  # towards the node that holds a node now
 
     def holder(node: int) -> int:
@@ -96,13 +96,27 @@ def build(values: Sequence[float], neighbours: Sequence[Sequence[int]]) -> Merge
             node = top[node]
         return node
 
+    levels, order = values[order].tolist(), order.tolist()
     start = 0
     while start < len(order):
-        level = values[order[start]]
-        stop = start
-        while stop < len(order) and values[order[stop]] == level:
+        level = levels[start]
+        stop = start + 1
+        while stop < len(order) and levels[stop] == level:
             stop += 1
-        plateau = order[start:stop].tolist()
+        plateau = order[start:stop]
+        if stop == start + 1:  # most plateaus are one spot
+            spot = plateau[0]
+            held = sorted({holder(node_of[other]) for other in neighbours[spot] if node_of[other] >= 0})
+            if len(held) == 1:
+                tree.own[held[0]].append(spot)
+                node_of[spot] = held[0]
+            else:
+                node_of[spot] = len(top)
+                top.append(tree.add(level, held, plateau))
+                for child in held:
+                    top[child] = node_of[spot]
+            start = stop
+            continue
         inside = set(plateau)
         # Keys: (0, node) for components, (1, spot) for the plateau; components name a cluster before spots do.
         sets = _Sets()
@@ -112,7 +126,7 @@ def build(values: Sequence[float], neighbours: Sequence[Sequence[int]]) -> Merge
                 if other in inside:
                     sets.join((1, spot), (1, other))
                 elif node_of[other] >= 0:
-                    sets.join((1, spot), (0, holder(int(node_of[other]))))
+                    sets.join((1, spot), (0, holder(node_of[other])))
         clusters: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
         for key in sets.up:
             held, spots = clusters.setdefault(sets.find(key), ([], []))
@@ -122,11 +136,12 @@ def build(values: Sequence[float], neighbours: Sequence[Sequence[int]]) -> Merge
                 node = held[0]
                 tree.own[node] += spots
             else:
-                node = tree.add(float(level), sorted(held), spots)
+                node = tree.add(level, sorted(held), spots)
                 top.append(node)
                 for child in held:
                     top[child] = node
-            node_of[spots] = node
+            for spot in spots:
+                node_of[spot] = node
         start = stop
     return tree
 

@@ -103,15 +103,19 @@ class SpatialDataset:
             found = jaccard.jaccard_weighted(wanted, labels, self.weights(smoothed), self.spots)
         return live.join(found, ["grp", "feat_1", "feat_2"])
 
-    def significance(self, results: DataFrame, wanted: DataFrame, n_perm: int = 1000, seed: int = 0) -> DataFrame:
-        """Results of the wanted pairs with permutation p-values (OP-T19, T20).
+    def significance(self, results: DataFrame, wanted: DataFrame, n_perm: int = 1000, seed: int = 0, jaccard_type: str = "default") -> DataFrame:
+        """Results of the wanted pairs with permutation p-values (OP-T19, T20); jaccard_type is the one of the results.
 
         Square grids shuffle smoothed values; hexagonal lattices shuffle raw values, then smooth.
         """
         p = self.params
+        if jaccard_type not in ("default", "weighted"):
+            raise ValueError("jaccard_type must be 'default' or 'weighted'")
         names = wanted.select(F.col("feat_1").alias("feature")).union(wanted.select(F.col("feat_2").alias("feature"))).distinct()
-        values = land(self.smoothed(names), "smoothed") if p.lattice == "grid" else self.values()
-        return permute.significance(results, wanted, values, self.spots, n_perm, seed, p.min_size, p.thres_per, p.lattice, p.fwhm)
+        values = self.weights(self.smoothed(names)) if p.lattice == "grid" else self.values()
+        return permute.significance(
+            results, wanted, values, self.spots, n_perm, seed, min_size=p.min_size, thres_per=p.thres_per, lattice=p.lattice, fwhm=p.fwhm, jaccard_type=jaccard_type
+        )
 
     def celltype_specific(self, celltype_name: str) -> DataFrame:
         """The long matrix of one cell type over the dataset's spots (OP-A07); needs tx_grid with celltype."""

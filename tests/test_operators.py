@@ -70,24 +70,48 @@ def test_permutations(spark):
     assert permute.p_values(observed, draws).first().p_value == 0.5
 
 
-def test_permutations_on_a_hexagonal_lattice(spark):
-    places = [("s", f"{c}_{r}", c, r) for r in range(12) for c in range(r % 2, 24, 2)]
+@pytest.mark.parametrize("kind", ["default", "weighted"])
+@pytest.mark.parametrize("lattice", ["grid", "hex"])
+def test_draws_equal_datasets_of_permuted_values(spark, lattice, kind):
+    """Each permutation as a dataset of its own, through the batch pipeline."""
+    wide = 24 if lattice == "hex" else 12
+    places = [("s", f"{c}_{r}", c, r) for r in range(12) for c in range((r % 2) * (lattice == "hex"), wide, 1 + (lattice == "hex"))]
     spots = spark.createDataFrame(places, "grp string, spot_id string, array_col int, array_row int")
-    rows = [(g, i, f, math.exp(-((c / 2 - 4 - 2 * k) ** 2 + (r - 6) ** 2) / 6.0) * 5) for g, i, c, r in places for k, f in enumerate("ab")]
+    scale = 2 if lattice == "hex" else 1
+    rows = [(g, i, f, v) for g, i, c, r in places for k, f in enumerate("ab") if (v := math.exp(-((c / scale - 4 - 2 * k) ** 2 + (r - 6) ** 2) / 6.0) * 5) > 1e-3]
     expr = spark.createDataFrame(rows, "grp string, spot_id string, feature string, value double")
-    data = SpatialDataset(spots, expr, Params(min_size=4, lattice="hex"))
-    wanted = spark.createDataFrame([("a", "b")], "feat_1 string, feat_2 string")
-    draws = permute.permutation_draws(data.values(), data.spots, wanted, 3, 1, 4, 30, "hex", 2.5).collect()
+    data = SpatialDataset(spots, expr, Params(min_size=4, lattice=lattice)).kept()
+    asked = spark.createDataFrame([("a", "b"), ("b", "b"), ("a", "none")], "feat_1 string, feat_2 string")
+    wanted = spark.createDataFrame([("a", "b"), ("b", "b")], "feat_1 string, feat_2 string")
+    smoothed = data.smoothed()
+    values = data.weights(smoothed)
+    draws = permute.permutation_draws(values, data.spots, asked, 3, 1, 4, 30, lattice, 2.5, kind).collect()
     moves = permute.shuffles(data.spots, 3, 1)
-    want = []
-    for p in range(3):  # each permutation as a dataset of its own: raw values are moved, then smoothed and filtered by raw means
-        moved = data.expr.withColumnRenamed("spot_id", "from_spot").join(moves.filter(F.col("perm") == p), ["grp", "from_spot"]).select("grp", "spot_id", "feature", "value")
-        want.append(SpatialDataset(data.spots, moved.localCheckpoint(), data.params).similarity(wanted).first().j_comp)
-    got = [r.j_perm for r in sorted(draws, key=lambda r: r.perm)]
-    assert got == pytest.approx(want) and max(want) > 0.05
-    observed = data.similarity(wanted)
-    [found] = data.significance(observed, wanted, n_perm=3, seed=1).collect()
-    assert found.p_value == pytest.approx(sum(j >= found.j_comp for j in want) / 3)
+    got = {(r.perm, r.feat_1, r.feat_2): r.j_perm for r in draws}
+    assert len(draws) == 9
+    for p in range(3):
+        moved = values.withColumnRenamed("spot_id", "from_spot").join(moves.filter(F.col("perm") == p), ["grp", "from_spot"]).select("grp", "spot_id", "feature", "value")
+        if lattice == "hex":
+            batch = SpatialDataset(data.spots, moved, data.params).similarity(wanted, kind)
+        else:
+            at = moved.withColumnRenamed("value", "smoothed").join(data.spots, ["grp", "spot_id"])
+            labels = data.components(at)
+            batch = jaccard.jaccard_composite(wanted, labels, data.spots) if kind == "default" else jaccard.jaccard_weighted(wanted, labels, moved, data.spots)
+        for r in batch.collect():
+            assert got[p, r.feat_1, r.feat_2] == pytest.approx(r.j_comp)
+    assert max(j for (_, one, two), j in got.items() if (one, two) == ("a", "b")) > 0.02
+    observed = data.similarity(wanted, kind)
+    for r in data.significance(observed, wanted, n_perm=3, seed=1, jaccard_type=kind).collect():
+        assert r.p_value == pytest.approx(sum(got[p, r.feat_1, r.feat_2] >= r.j_comp for p in range(3)) / 3)
+
+
+def test_permutations_do_not_depend_on_blocks(spark, monkeypatch):
+    spots, expr = square(spark, 8)
+    asked = spark.createDataFrame([("a", "b")], "feat_1 string, feat_2 string")
+    draw = lambda: sorted((r.perm, r.j_perm) for r in permute.permutation_draws(expr, spots, asked, 7, 5, 3).collect())
+    whole = draw()
+    monkeypatch.setattr(permute, "BLOCK", 3)
+    assert draw() == whole and [k for k, _ in whole] == list(range(7))
 
 
 def test_registered_permutations_are_the_whole_test(spark, monkeypatch):
