@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spatialcc import projections as P
@@ -332,14 +333,43 @@ def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("grp", "feature", "root", "size")
 
 
-@query()
+_TREE = f"WITH RECURSIVE {P.BASE}, {P.GEXPR}, {P.SMOOTH}, {P.TREE}"
+
+
+@query(f"{_TREE} SELECT grp, feature, round(birth, 6) AS birth, round(death, 6) AS death, size::INT AS size, n::INT AS n_children FROM nodes")
 def merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.merge_trees(P.smoothed(spark, sf_dir), P.PARAMS.min_size)
+    """All nodes before pruning."""
+    nodes = components.merge_trees(P.smoothed(spark, sf_dir), P.PARAMS.min_size)
+    return nodes.select("grp", "feature", r6("birth"), r6("death"), "size", F.size("children").alias("n_children"))
 
 
-@query()
+_NAMED = "SELECT grp, feature, spot_id, count(*) OVER (PARTITION BY grp, feature, cc) AS cc_size, min(id) OVER (PARTITION BY grp, feature, cc) AS cc_first FROM"
+_PRUNED = f"{_TREE}, {P.sql_leaves(P.PARAMS.min_size)}"
+
+
+def _named(labels: DataFrame, spots: DataFrame) -> DataFrame:
+    """Labelled spots with the size and the first spot of their component, as labels only follow the order of nodes."""
+    by = W.partitionBy("grp", "feature", "cc_label")
+    at = labels.join(spots, ["grp", "spot_id"]).withColumn("id", F.col("array_col") * 100 + F.col("array_row"))
+    return at.select("grp", "feature", "spot_id", F.count(F.lit(1)).over(by).alias("cc_size"), F.min("id").over(by).alias("cc_first"))
+
+
+@query(f"{_TREE}, {P.sql_leaves(1)} {_NAMED} leaf")
+def unpruned_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components at a least size of 1, at which nothing is pruned."""
+    return _named(components.connected_components(P.smoothed(spark, sf_dir), 1), P.slides(spark, sf_dir).spots)
+
+
+@query(f"{_PRUNED} {_NAMED} leaf")
 def pruned_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(P.smoothed(spark, sf_dir), P.PARAMS.min_size)
+    return _named(components.connected_components(P.smoothed(spark, sf_dir), P.PARAMS.min_size), P.slides(spark, sf_dir).spots)
+
+
+@query(f"{_PRUNED} SELECT grp, feature, count(DISTINCT cc) AS n_leaves FROM leaf GROUP BY ALL")
+def dendrogram_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of the last layer: one for each component."""
+    bars = components.dendrogram_bars(P.smoothed(spark, sf_dir), P.PARAMS.min_size)
+    return bars.filter("layer = 0").groupBy("grp", "feature").agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
 @query()
@@ -347,22 +377,55 @@ def dendrogram_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.dendrogram_bars(P.smoothed(spark, sf_dir), P.PARAMS.min_size)
 
 
-@query()
+@query(f"{_PRUNED} {_NAMED} cclab")
 def cc_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.split_components(P.slides(spark, sf_dir).components(P.smoothed(spark, sf_dir)))
+    data = P.slides(spark, sf_dir)
+    return _named(data.components(P.smoothed(spark, sf_dir)), data.spots)
 
 
-@query()
+@query(f"{_PRUNED} SELECT grp, feature, count(DISTINCT cc) AS n_cc, count(*) AS n_spots FROM cclab GROUP BY ALL")
+def cc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the labels that are left run from 1 without a gap."""
+    data = P.slides(spark, sf_dir)
+    found = components.split_components(data.components(P.smoothed(spark, sf_dir)))
+    return found.groupBy("grp", "feature").agg(F.max("cc").cast("bigint").alias("n_cc"), F.count(F.lit(1)).alias("n_spots"))
+
+
+_AVERAGES = "av AS (SELECT grp, feature, ln(1 + sum(exp(value) - 1) / (SELECT count(*) FROM spots s WHERE s.grp = gx.grp)) AS avg FROM gx GROUP BY grp, feature)"
+_WITH_AVERAGES = (
+    "SELECT a.grp AS grp, pairs.feat_1 AS feat_1, pairs.feat_2 AS feat_2, round(a.avg, 6) AS avg_1, round(b.avg, 6) AS avg_2, round(coalesce(j_comp, 0), 6) AS j_comp FROM pairs JOIN av a ON a.feature = feat_1 "
+    "JOIN av b ON b.feature = feat_2 AND a.grp = b.grp LEFT JOIN j ON j.grp = a.grp AND j.feat_1 = pairs.feat_1 AND j.feat_2 = pairs.feat_2 WHERE a.avg <> 0 AND b.avg <> 0"
+)
+_SET = (
+    "xs AS (SELECT l.grp, feat_1, feat_2, spot_id, 1 AS side FROM pairs JOIN cclab l ON feature = feat_1 UNION ALL SELECT l.grp, feat_1, feat_2, spot_id, 2 FROM pairs JOIN cclab l ON feature = feat_2), "
+    "mt AS (SELECT grp, feat_1, feat_2, spot_id, sum(side) AS s FROM xs GROUP BY ALL), j AS (SELECT grp, feat_1, feat_2, count(*) FILTER (WHERE s = 3) / count(*) AS j_comp FROM mt GROUP BY ALL)"
+)
+_WEIGHTED = (
+    "uv AS (SELECT grp, feature, spot_id, (smoothed - lo) / (hi - lo) AS u FROM smoothed JOIN (SELECT grp, feature, CASE WHEN count(*) < (SELECT count(*) FROM spots s WHERE s.grp = smoothed.grp) THEN least(min(smoothed), 0) "
+    "ELSE min(smoothed) END AS lo, max(smoothed) AS hi FROM smoothed GROUP BY grp, feature) USING (grp, feature)), lu AS (SELECT * FROM cclab JOIN uv USING (grp, feature, spot_id)), "
+    "xs AS (SELECT lu.grp, feat_1, feat_2, spot_id, u AS a, 0::DOUBLE AS b FROM pairs JOIN lu ON feature = feat_1 UNION ALL SELECT lu.grp, feat_1, feat_2, spot_id, 0::DOUBLE, u FROM pairs JOIN lu ON feature = feat_2), "
+    "mt AS (SELECT grp, feat_1, feat_2, spot_id, sum(xs.a) AS a, sum(xs.b) AS b FROM xs GROUP BY grp, feat_1, feat_2, spot_id), j AS (SELECT grp, feat_1, feat_2, sum(least(mt.a, mt.b)) / sum(greatest(mt.a, mt.b)) AS j_comp FROM mt GROUP BY grp, feat_1, feat_2)"
+)
+
+
+@query(f"{_PRUNED}, {P.PAIRS}, {_AVERAGES}, {_SET} {_WITH_AVERAGES}")
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: six targets, all pairs, on every slide."""
     return P.slides(spark, sf_dir).similarity(P.pairs(spark), on_empty="keep").select("grp", "feat_1", "feat_2", r6("avg_1"), r6("avg_2"), r6("j_comp"))
 
 
-@query()
+@query(f"{_PRUNED}, {P.PAIRS}, {_AVERAGES}, {_WEIGHTED} {_WITH_AVERAGES}")
 def pair_similarity_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.slides(spark, sf_dir).similarity(P.pairs(spark), "weighted", "keep").select("grp", "feat_1", "feat_2", r6("avg_1"), r6("avg_2"), r6("j_comp"))
 
 
+@query(f"{_TREE}, {P.sql_leaves(1)}, {P.PAIRS}, {_AVERAGES}, {_SET} {_WITH_AVERAGES}")
+def pair_similarity_unpruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pairwise pipeline at a least size of 1."""
+    data = P.slides(spark, sf_dir).with_params(min_size=1)
+    return data.similarity(P.pairs(spark), on_empty="keep").select("grp", "feat_1", "feat_2", r6("avg_1"), r6("avg_2"), r6("j_comp"))
+
+
 @query()
 def pair_similarity_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns of part as features on a hexagonal lattice."""
@@ -531,7 +594,7 @@ def pvalue_from_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment AS grp, 3 AS n_perm, count(*) * 3 AS n_rows, count(*) AS n_sources, count(*) AS n_spots FROM customer GROUP BY c_mktsegment")
 def permutation_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that every set of permutations satisfies: each maps all spots onto all spots."""
-    spots = P.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("spot_id"))
+    spots = P.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("spot_id"), F.col("c_custkey").alias("array_col"), F.lit(0).alias("array_row"))
     moved = permute.shuffles(spots, 3, 7).groupBy("grp").agg(F.countDistinct("perm").cast("int").alias("n_perm"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("perm", "from_spot").alias("pf"), F.countDistinct("perm", "spot_id").alias("ps"))
     return moved.select("grp", "n_perm", "n_rows", (F.col("pf") / 3).cast("bigint").alias("n_sources"), (F.col("ps") / 3).cast("bigint").alias("n_spots"))
 

@@ -119,6 +119,47 @@ sm AS (SELECT grp, feature, spot_id, array_col, array_row, s / sum(s) OVER (PART
   FROM scat JOIN tot USING (grp, feature) LEFT JOIN (SELECT * FROM spots JOIN cr USING (grp, array_col) JOIN rr USING (grp, array_row)) USING (grp, c, r)),
 smoothed AS (SELECT grp, feature, spot_id, array_col, array_row, smoothed FROM sm WHERE spot_id IS NOT NULL)"""
 LABELS = "lab AS (SELECT grp, feature, spot_id, (array_col // 5 + 1)::INT AS cc_label FROM (SELECT *, avg(smoothed) OVER (PARTITION BY grp, feature) AS mean FROM smoothed) WHERE smoothed > mean)"
+# The merge tree of every feature, from what each spot reaches through spots that are not below it. The comp of a spot is
+# what it reaches; a comp with one comp directly inside continues that one's node, any other starts a node.
+TREE = """
+tm AS (SELECT grp, feature, spot_id, array_col * 100 + array_row AS id, round(smoothed, 10) AS v FROM smoothed WHERE round(smoothed, 10) > 0),
+te AS (SELECT a.grp, a.feature, a.id AS a, b.id AS b, b.v AS vb FROM tm a JOIN tm b ON a.grp = b.grp AND a.feature = b.feature
+  AND (b.id = a.id + 1 OR b.id = a.id - 1 OR b.id = a.id + 100 OR b.id = a.id - 100)),
+reach(grp, feature, src, lvl, id) AS (SELECT grp, feature, id, v, id FROM tm UNION SELECT r.grp, r.feature, r.src, r.lvl, te.b FROM reach r JOIN te ON te.grp = r.grp AND te.feature = r.feature AND te.a = r.id AND te.vb >= r.lvl),
+named AS (SELECT grp, feature, src, lvl, min(id) AS nm, count(*) AS size FROM reach GROUP BY ALL),
+comps AS (SELECT grp, feature, lvl, nm, size, min(src) AS rep FROM named GROUP BY ALL),
+holds AS (SELECT c.grp, c.feature, c.rep, c.lvl, c.size, r.id FROM comps c JOIN reach r ON r.grp = c.grp AND r.feature = c.feature AND r.src = c.rep),
+above AS (SELECT c.grp, c.feature, c.rep AS child, arg_max(h.rep, h.lvl) AS up FROM comps c JOIN holds h ON h.grp = c.grp AND h.feature = c.feature AND h.id = c.rep AND h.lvl < c.lvl GROUP BY ALL),
+kids AS (SELECT c.grp, c.feature, c.rep, c.lvl, c.size, count(a.child) AS n FROM comps c LEFT JOIN above a ON a.grp = c.grp AND a.feature = c.feature AND a.up = c.rep GROUP BY ALL),
+starts AS (SELECT * FROM kids WHERE n <> 1),
+ends AS (SELECT s.grp, s.feature, s.rep, s.lvl AS birth, s.n, coalesce(max(h.lvl) FILTER (WHERE k.n > 1), 0) AS death FROM starts s
+  LEFT JOIN holds h ON h.grp = s.grp AND h.feature = s.feature AND h.id = s.rep AND h.lvl < s.lvl LEFT JOIN kids k ON k.grp = h.grp AND k.feature = h.feature AND k.rep = h.rep GROUP BY ALL),
+nodes AS (SELECT e.grp, e.feature, e.rep, e.birth, e.death, e.n, arg_max(h.rep, h.size) AS top, max(h.size) AS size FROM ends e
+  JOIN holds h ON h.grp = e.grp AND h.feature = e.feature AND h.id = e.rep AND h.lvl <= e.birth AND h.lvl > e.death GROUP BY ALL)"""
+# The components that pruning at a least size leaves. Node 0, the first to be born, never starts a removal: a small one
+# stays where it is a root, or no other of its siblings is small, or two of them aren't. Of the nodes that stay and have no
+# such child each grows down to the first node with two such children. Components are named by a spot of theirs.
+def sql_leaves(least: int) -> str:
+    return f"""
+up AS (SELECT n.grp, n.feature, n.rep, p.rep AS up FROM nodes n JOIN nodes p ON p.grp = n.grp AND p.feature = n.feature AND p.birth = n.death AND p.n > 1
+  JOIN holds h ON h.grp = n.grp AND h.feature = n.feature AND h.rep = p.rep AND h.id = n.rep),
+kin AS (SELECT grp, feature, up, count(*) FILTER (WHERE size < {least}) AS small, count(*) FILTER (WHERE size >= {least}) AS big FROM up JOIN nodes USING (grp, feature, rep) GROUP BY ALL),
+zero AS (SELECT grp, feature, arg_max(rep, birth) AS rep, true AS is_zero FROM nodes GROUP BY ALL),
+stay AS (SELECT n.*, up.up FROM nodes n LEFT JOIN up USING (grp, feature, rep) LEFT JOIN kin ON kin.grp = n.grp AND kin.feature = n.feature AND kin.up = up.up LEFT JOIN zero USING (grp, feature, rep)
+  WHERE n.size >= {least} OR (is_zero AND (up.up IS NULL OR kin.small = 1 OR kin.big >= 2))),
+forks AS (SELECT s.grp, s.feature, n.rep, n.birth FROM stay s JOIN nodes n ON n.grp = s.grp AND n.feature = s.feature AND n.rep = s.up GROUP BY ALL HAVING count(*) > 1),
+tips AS (SELECT s.grp, s.feature, s.rep, s.birth FROM stay s WHERE NOT EXISTS (SELECT 1 FROM stay t WHERE t.grp = s.grp AND t.feature = s.feature AND t.up = s.rep)),
+stops AS (SELECT t.grp, t.feature, t.rep, t.birth, coalesce(max(f.birth), 0) AS stop FROM tips t
+  LEFT JOIN (SELECT f.*, h.id FROM forks f JOIN holds h ON h.grp = f.grp AND h.feature = f.feature AND h.rep = f.rep) f ON f.grp = t.grp AND f.feature = t.feature AND f.id = t.rep GROUP BY ALL),
+tops AS (SELECT t.grp, t.feature, t.rep AS cc, arg_max(h.rep, h.size) AS top FROM stops t JOIN holds h ON h.grp = t.grp AND h.feature = t.feature AND h.id = t.rep AND h.lvl > t.stop AND h.lvl <= t.birth GROUP BY ALL),
+leaf AS (SELECT t.grp, t.feature, t.cc, h.id, tm.spot_id FROM tops t JOIN holds h ON h.grp = t.grp AND h.feature = t.feature AND h.rep = t.top JOIN tm ON tm.grp = t.grp AND tm.feature = t.feature AND tm.id = h.id),
+lin AS (SELECT l.grp, l.feature, cc, sum(smoothed) AS s, count(*) AS k FROM leaf l JOIN smoothed USING (grp, feature, spot_id) GROUP BY ALL),
+lout AS (SELECT grp, feature, -1 AS cc, (SELECT sum(smoothed) FROM smoothed x WHERE x.grp = t.grp AND x.feature = t.feature) - s AS s, (SELECT count(*) FROM spots WHERE spots.grp = t.grp) - k AS k
+  FROM (SELECT grp, feature, sum(s) AS s, sum(k) AS k FROM lin GROUP BY ALL) t),
+lrank AS (SELECT *, row_number() OVER (PARTITION BY grp, feature ORDER BY s / k DESC) AS pos, count(*) OVER (PARTITION BY grp, feature) AS m FROM (FROM lin UNION ALL FROM lout) WHERE k > 0),
+cclab AS (SELECT leaf.* FROM leaf JOIN lrank USING (grp, feature, cc) WHERE cc >= 0 AND pos <= floor(m * 0.7))"""
+
+
 PAIRS = "pairs(feat_1, feat_2) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for i, a in enumerate(TARGETS) for b in TARGETS[i + 1 :]) + ")"
 MASKED = f"WITH {BASE}, {GEXPR}, {SMOOTH}, {LABELS}, {PAIRS}"
 HEX = (
