@@ -17,7 +17,9 @@ from spatialcc.functions.scalars import hex_x, hex_y
 from spatialcc.operators import adjacency, annotate, celltype, components, diff, grid, jaccard, permute, qc, smooth
 from spatialcc.operators import pairs as pair_ops
 from spatialcc.plans import plotdata
-from spatialcc.plans.landing import land
+from spatialcc.plans.dataset import from_cells, from_molecules
+from spatialcc.plans.landing import land, place
+from spatialcc.sources import readers, sinks
 from spatialcc.streaming import counts as stream_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,8 +328,8 @@ SELECT grp, feature, root, count(*) AS size FROM (SELECT grp, feature, id, min(r
 )
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of a mask at a fixed threshold: the tree's kernel on a single plateau."""
-    places = P.slides(spark, sf_dir).spots
-    mask = P.mask_labels(spark, sf_dir).join(places, ["grp", "spot_id"]).withColumn("smoothed", F.lit(1.0))
+    labels, places = _masked(spark, sf_dir)
+    mask = labels.join(places, ["grp", "spot_id"]).withColumn("smoothed", F.lit(1.0))
     found = components.connected_components(mask.select("grp", "feature", "spot_id", "array_col", "array_row", "smoothed"), 1).join(places, ["grp", "spot_id"])
     sized = found.groupBy("grp", "feature", "cc_label").agg(F.min(F.col("array_col") * 100 + F.col("array_row")).alias("root"), F.count(F.lit(1)).alias("size"))
     return sized.select("grp", "feature", "root", "size")
@@ -357,12 +359,14 @@ def _named(labels: DataFrame, spots: DataFrame) -> DataFrame:
 @query(f"{_TREE}, {P.sql_leaves(1)} {_NAMED} leaf")
 def unpruned_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components at a least size of 1, at which nothing is pruned."""
-    return _named(components.connected_components(P.smoothed(spark, sf_dir), 1), P.slides(spark, sf_dir).spots)
+    data = P.slides(spark, sf_dir)
+    return _named(components.connected_components(P.smoothed(spark, sf_dir, data), 1), data.spots)
 
 
 @query(f"{_PRUNED} {_NAMED} leaf")
 def pruned_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(components.connected_components(P.smoothed(spark, sf_dir), P.PARAMS.min_size), P.slides(spark, sf_dir).spots)
+    data = P.slides(spark, sf_dir)
+    return _named(components.connected_components(P.smoothed(spark, sf_dir, data), P.PARAMS.min_size), data.spots)
 
 
 @query(f"{_PRUNED} SELECT grp, feature, count(DISTINCT cc) AS n_leaves FROM leaf GROUP BY ALL")
@@ -380,14 +384,14 @@ def dendrogram_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PRUNED} {_NAMED} cclab")
 def cc_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = P.slides(spark, sf_dir)
-    return _named(data.components(P.smoothed(spark, sf_dir)), data.spots)
+    return _named(data.components(P.smoothed(spark, sf_dir, data)), data.spots)
 
 
 @query(f"{_PRUNED} SELECT grp, feature, count(DISTINCT cc) AS n_cc, count(*) AS n_spots FROM cclab GROUP BY ALL")
 def cc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of the labels that are left run from 1 without a gap."""
     data = P.slides(spark, sf_dir)
-    found = components.split_components(data.components(P.smoothed(spark, sf_dir)))
+    found = components.split_components(data.components(P.smoothed(spark, sf_dir, data)))
     return found.groupBy("grp", "feature").agg(F.max("cc").cast("bigint").alias("n_cc"), F.count(F.lit(1)).alias("n_spots"))
 
 
@@ -456,13 +460,19 @@ def permutation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Overlap, on masks
 
 
+def _masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels of the masks, and the spots, of one dataset."""
+    data = P.slides(spark, sf_dir)
+    return P.mask_labels(spark, sf_dir, data), data.spots
+
+
 @query(
     f"{P.MASKED}, g AS (SELECT DISTINCT grp FROM spots), x AS (SELECT lab.grp, feat_1, feat_2, spot_id, 1 AS side FROM pairs JOIN lab ON feature = feat_1 UNION ALL SELECT lab.grp, feat_1, feat_2, spot_id, 2 FROM pairs JOIN lab ON feature = feat_2), "
     "m AS (SELECT grp, feat_1, feat_2, spot_id, sum(side) AS s FROM x GROUP BY ALL), j AS (SELECT grp, feat_1, feat_2, count(*) FILTER (WHERE s = 3) / count(*) AS j_comp FROM m GROUP BY ALL) "
     "SELECT grp, feat_1, feat_2, round(coalesce(j_comp, 0), 6) AS j_comp FROM pairs CROSS JOIN g LEFT JOIN j USING (grp, feat_1, feat_2)"
 )
 def jaccard_from_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_composite(P.pairs(spark), P.mask_labels(spark, sf_dir), P.slides(spark, sf_dir).spots).select("grp", "feat_1", "feat_2", r6("j_comp"))
+    return jaccard.jaccard_composite(P.pairs(spark), *_masked(spark, sf_dir)).select("grp", "feat_1", "feat_2", r6("j_comp"))
 
 
 _UNIT = (
@@ -477,8 +487,9 @@ _UNIT = (
     "m AS (SELECT grp, feat_1, feat_2, spot_id, sum(a) AS a, sum(b) AS b FROM x GROUP BY ALL) SELECT grp, feat_1, feat_2, round(sum(least(a, b)) / sum(greatest(a, b)), 6) AS j_comp FROM m GROUP BY ALL"
 )
 def jaccard_weighted_from_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = P.smoothed(spark, sf_dir).select("grp", "feature", "spot_id", F.col("smoothed").alias("value"))
-    return jaccard.jaccard_weighted(P.pairs(spark), P.mask_labels(spark, sf_dir), s, P.slides(spark, sf_dir).spots).select("grp", "feat_1", "feat_2", r6("j_comp"))
+    data = P.slides(spark, sf_dir)
+    s = P.smoothed(spark, sf_dir, data).select("grp", "feature", "spot_id", F.col("smoothed").alias("value"))
+    return jaccard.jaccard_weighted(P.pairs(spark), P.mask_labels(spark, sf_dir, data), s, data.spots).select("grp", "feat_1", "feat_2", r6("j_comp"))
 
 
 _LOCAL = (
@@ -503,8 +514,9 @@ _LJ = _LOCAL.replace("lj AS (SELECT a.grp, feat_1, feat_2", "lj AS (SELECT a.grp
     "LEFT JOIN ov ON ov.grp = a.grp AND ov.feat_1 = pairs.feat_1 AND ov.feat_2 = pairs.feat_2 AND ov.ccx = a.cc_label AND ov.ccy = b.cc_label"
 )
 def local_jaccard_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = P.smoothed(spark, sf_dir).select("grp", "feature", "spot_id", F.col("smoothed").alias("value"))
-    local = jaccard.local_jaccard_weighted(P.pairs(spark), P.mask_labels(spark, sf_dir), s, P.slides(spark, sf_dir).spots)
+    data = P.slides(spark, sf_dir)
+    s = P.smoothed(spark, sf_dir, data).select("grp", "feature", "spot_id", F.col("smoothed").alias("value"))
+    local = jaccard.local_jaccard_weighted(P.pairs(spark), P.mask_labels(spark, sf_dir, data), s, data.spots)
     return local.select("grp", "feat_1", "feat_2", "ccx", "ccy", r6("j_local"))
 
 
@@ -519,7 +531,7 @@ def top_n_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT top.grp, feat_1, feat_2, rank, spot_id, 2 FROM top JOIN lab ON lab.grp = top.grp AND feature = feat_2 AND cc_label = ccy) SELECT grp, feat_1, feat_2, rank, spot_id, sum(side)::INT AS category FROM s GROUP BY ALL"
 )
 def plot_top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plotdata.top_regions_map(P.slides(spark, sf_dir).spots, P.mask_labels(spark, sf_dir), P.pairs(spark), 2, background=False)
+    found = plotdata.top_regions_map(*_masked(spark, sf_dir)[::-1], P.pairs(spark), 2, background=False)
     return found.select("grp", "feat_1", "feat_2", "rank", "spot_id", "category")
 
 
@@ -528,7 +540,7 @@ def plot_top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM spots LEFT JOIN (SELECT * FROM lab WHERE feature = 'AF') x USING (grp, spot_id) LEFT JOIN (SELECT * FROM lab WHERE feature = 'NO') y USING (grp, spot_id)"
 )
 def overlap_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plotdata.all_components_map(P.slides(spark, sf_dir).spots, P.mask_labels(spark, sf_dir), "AF", "NO")
+    return plotdata.all_components_map(*_masked(spark, sf_dir)[::-1], "AF", "NO")
 
 
 @query(f"{W_BASE}, {P.GEXPR} SELECT s.grp AS grp, s.spot_id AS spot_id, s.array_col AS array_col, s.array_row AS array_row, round(least(7, greatest(2, coalesce(value, 0))), 6) AS value FROM spots s LEFT JOIN (SELECT * FROM gx WHERE feature = 'RF') x ON x.grp = s.grp AND x.spot_id = s.spot_id")
@@ -543,7 +555,7 @@ def plot_feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM spots LEFT JOIN lab USING (grp, spot_id) GROUP BY ALL"
 )
 def labels_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.wide_labels(P.mask_labels(spark, sf_dir), P.slides(spark, sf_dir).spots, P.TARGETS)
+    return components.wide_labels(*_masked(spark, sf_dir), P.TARGETS)
 
 
 _MEANS = (
@@ -557,7 +569,7 @@ _MEANS = (
 @query(f"{P.MASKED}, {_MEANS} SELECT grp, feature, cc_label, round(mean, 6) AS mean, n::BIGINT AS n FROM mn")
 def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = P.slides(spark, sf_dir)
-    return components.label_means(P.mask_labels(spark, sf_dir), data.expr, data.spots).select("grp", "feature", "cc_label", r6("mean"), "n")
+    return components.label_means(P.mask_labels(spark, sf_dir, data), data.expr, data.spots).select("grp", "feature", "cc_label", r6("mean"), "n")
 
 
 @query(
@@ -566,7 +578,7 @@ def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def percentile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = P.slides(spark, sf_dir)
-    return components.filter_components(P.mask_labels(spark, sf_dir), data.expr, data.spots, 30).select("grp", "feature", "cc_label", "spot_id")
+    return components.filter_components(P.mask_labels(spark, sf_dir, data), data.expr, data.spots, 30).select("grp", "feature", "cc_label", "spot_id")
 
 
 # Cell types, permutations, differential analysis
@@ -721,6 +733,197 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.clusters(annotate.principal_components(P.table(spark, sf_dir, "embeddings"), 5), 10, 1).select("vec_id", "label", "cluster")
 
 
+# Sources and sinks: what is written is read back through the library's readers
+
+
+@query("SELECT l_orderkey AS cell, l_extendedprice AS x, l_quantity AS y, l_returnflag AS target FROM lineitem WHERE l_orderkey <> 0 AND l_returnflag NOT LIKE '%NegPrb%'")
+def read_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_molecules(spark, f"{sf_dir}/lineitem.parquet", {"cell": "l_orderkey", "x": "l_extendedprice", "y": "l_quantity", "target": "l_returnflag"}).select("cell", "x", "y", "target")
+
+
+@query("SELECT c_custkey AS cell_ID, c_nationkey AS fov, target, n FROM (SELECT c_custkey, c_nationkey, unnest(['G1', 'G2', 'NegPrb1']) AS target, unnest([c_custkey % 3, c_nationkey % 4, 1])::DOUBLE AS n FROM customer) WHERE n <> 0 AND target NOT LIKE '%NegPrb%'")
+def matrix_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cells-by-genes CSV, read as long rows without controls."""
+    wide = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_ID"), F.col("c_nationkey").alias("fov"), (F.col("c_custkey") % 3).alias("G1"), (F.col("c_nationkey") % 4).alias("G2"), F.lit(1).alias("NegPrb1"))
+    path = place(spark, "csv")
+    wide.write.csv(path, header=True)
+    long = readers.read_matrix_csv(spark, path, ["fov", "cell_ID"])
+    return qc.drop_controls(long).select("cell_ID", "fov", "target", "n")
+
+
+@query("SELECT c_custkey AS cell_ID, c_acctbal AS array_col, c_nationkey::DOUBLE AS array_row FROM customer")
+def cells_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark, "csv")
+    P.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey").withColumnRenamed("c_custkey", "cell_ID").write.csv(path, header=True)
+    return readers.read_cells_csv(spark, path, ["cell_ID"], "c_acctbal", "c_nationkey")
+
+
+@query("SELECT p_brand AS feat_1, p_type AS feat_2 FROM part")
+def pairs_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark, "pairs") + ".tsv"
+    P.table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size").write.csv(path, header=True, sep="\t")
+    return readers.read_pairs(spark, path)
+
+
+@query("SELECT DISTINCT unnest(string_split(replace(p_brand, '#', '_'), '_')) AS feat_1, p_name AS feat_2 FROM (SELECT p_brand, replace(p_name, '_', '-') AS p_name FROM part)")
+def lr_database_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark, "lr") + ".csv"
+    P.table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "#", "_").alias("source_genesymbol"), F.regexp_replace("p_name", "_", "-").alias("target_genesymbol"), "p_size").write.csv(path, header=True)
+    return readers.read_lr_db(spark, path, "omnipath")
+
+
+@query("SELECT c_mktsegment AS grp, c_custkey AS spot_id, c_acctbal AS value, 'fwhm=2.5' AS params FROM customer UNION ALL SELECT 'nation', n_nationkey, n_regionkey, 'fwhm=2.5' FROM nation")
+def saved_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables and the parameters, written and read again."""
+    a = P.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").cast("bigint").alias("spot_id"), F.col("c_acctbal").cast("double").alias("value"))
+    b = P.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("spot_id"), F.col("n_regionkey").cast("double").alias("value"))
+    path = place(spark, "dataset")
+    sinks.save_dataset({"expr": a, "obs": b}, {"fwhm": "2.5"}, path)
+    tables, params = sinks.load_dataset(spark, path, ["expr", "obs"])
+    both = tables["expr"].select("grp", "spot_id", "value").unionByName(tables["obs"].withColumn("grp", F.lit("nation")))
+    return both.withColumn("params", F.lit(",".join(f"{k}={v}" for k, v in params.items())))
+
+
+@query(
+    f"{P.MASKED} SELECT grp, spot_id, " + ", ".join(f"coalesce(max(cc_label) FILTER (WHERE feature = '{t}'), 0) AS Comb_CC_{t}" for t in P.TARGETS[:2]) + " FROM spots LEFT JOIN lab USING (grp, spot_id) GROUP BY ALL"
+)
+def labels_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = P.slides(spark, sf_dir)
+    path = place(spark, "labels")
+    sinks.save_labels_csv(components.wide_labels(P.mask_labels(spark, sf_dir, data), data.spots, P.TARGETS[:2]).select("grp", "spot_id", *[f"Comb_CC_{t}" for t in P.TARGETS[:2]]), path)
+    return spark.read.csv(path, header=True, schema="grp string, spot_id string, Comb_CC_AF int, Comb_CC_AO int")
+
+
+@query("SELECT 'J_result' AS name, 2 AS run, count(*) AS n FROM customer WHERE c_nationkey < 2 UNION ALL SELECT 'kept', 0, count(*) FROM nation")
+def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two names; after a reset by pattern a new run, and the other name as it was."""
+    book = sinks.Registry(spark, place(spark, "runs"))
+    c = P.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    book.save("J_old", c)
+    book.save("kept", P.table(spark, sf_dir, "nation").select("n_nationkey"))
+    book.reset("^J_")
+    for k in range(3):
+        run = book.save("J_result", c.filter(F.col("c_nationkey") < k))
+    count = lambda name, run: book.latest(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(run).alias("run"), "n")
+    return count("J_result", run).union(count("kept", 0))
+
+
+@query("SELECT grp, j_comp FROM (SELECT c_mktsegment AS grp, round(avg(c_acctbal), 6) AS j_comp FROM customer GROUP BY 1)")
+def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.round(F.avg("c_acctbal"), 6).alias("j_comp"))
+    path = place(spark, "results")
+    sinks.save_results_csv(rows.withColumn("feat_1", F.lit("a")).withColumn("feat_2", F.lit("b")), path)
+    return spark.read.csv(path, header=True, inferSchema=True).select("grp", "j_comp")
+
+
+# Parts of the ingest and of the dataset handle
+
+
+@query(
+    f"{_COUNTS}, c AS (SELECT * FROM cnt WHERE target IN (SELECT target FROM cnt GROUP BY target HAVING count(DISTINCT cell) >= 3000)) SELECT * FROM c WHERE cell IN (SELECT cell FROM c GROUP BY cell HAVING sum(n) >= 3)"
+)
+def quality_control_genes_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.quality_control(P.counts(spark, sf_dir), 3, 3000, genes_first=True)
+
+
+@query("SELECT c_mktsegment AS grp, 'bal' AS feature, round(sum(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END) / count(*), 9) AS avg FROM customer GROUP BY 1")
+def metadata_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of metadata features over all spots of a slide; spots without a row count as zero."""
+    c = P.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("spot_id"), F.lit("bal").alias("feature"), F.col("c_acctbal").alias("value"))
+    return pair_ops.feature_average(c.filter("value > 0"), c, "obs").select("grp", "feature", r9("avg"))
+
+
+@query("SELECT l_orderkey AS cell, l_returnflag AS target, l_quantity AS value, o_orderpriority AS celltype FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority < '3'")
+def expression_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_returnflag").alias("target"), F.col("l_quantity").alias("value"))
+    cells = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell"), F.col("o_orderpriority").alias("celltype")).filter("celltype < '3'")
+    return grid.join_cells(values, cells)
+
+
+@query("SELECT l_suppkey AS cell, l_returnflag AS feature, sum(l_linenumber)::BIGINT AS value FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY ALL")
+def bins_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins summed by the cell they are labelled with; every seventh label stands for none."""
+    bins = P.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("label"), F.col("l_returnflag").alias("feature"), F.col("l_linenumber").cast("bigint").alias("value"))
+    return grid.bins_to_cells(bins)
+
+
+@query(f"{W_BASE}, {P.GEXPR} SELECT s.array_col AS array_col, s.array_row AS array_row, round(coalesce(value, 0), 6) AS value FROM (SELECT * FROM spots WHERE grp = 'BUILDING') s LEFT JOIN (SELECT * FROM gx WHERE feature = 'AF' AND grp = 'BUILDING') g ON g.spot_id = s.spot_id")
+def all_spots_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = P.slides(spark, sf_dir)
+    spots = data.spots.filter("grp = 'BUILDING'").select("spot_id", "array_col", "array_row")
+    own = data.expr.filter("grp = 'BUILDING' and feature = 'AF'").join(spots, "spot_id").select("array_col", "array_row", "value")
+    return grid.with_all_spots(spots, own, "value").select("array_col", "array_row", r6("value"))
+
+
+@query("SELECT 'a' AS side, c_nationkey AS feature, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) GROUP BY ALL UNION ALL SELECT 'b', s_nationkey, count(*) FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer) GROUP BY ALL")
+def shared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = annotate.shared_features(P.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("feature")), P.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("feature")))
+    count = lambda df, side: df.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "feature", "n")
+    return count(a, "a").union(count(b, "b"))
+
+
+@query("SELECT '1-URGENT: ' || feat_1 AS feat_1, '5-LOW: ' || feat_2 AS feat_2 FROM (" + P.PAIRS.split(" AS (", 1)[1][:-1] + ") p(feat_1, feat_2)")
+def celltype_pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return celltype.celltype_pairs(P.pairs(spark), "1-URGENT", "5-LOW")
+
+
+_OWN = ", ".join(f"o{k} AS (SELECT grp, array_col || '_' || array_row AS spot_id, target, ln(1 + 1000 * sum(fx)) AS value FROM txc WHERE celltype = '{t}' GROUP BY ALL)" for k, t in ((1, "1-URGENT"), (5, "5-LOW")))
+
+
+@query(
+    f"{W_BASE}, {P.GEXPR}, txc AS (SELECT * FROM txg JOIN cells USING (cell)), {_OWN}, "
+    + ", ".join(f"f{k} AS (SELECT s.grp, s.spot_id, '{t}: ' || g.target AS feature, coalesce(o{k}.value, 0) AS value FROM spots s CROSS JOIN (SELECT DISTINCT target FROM o{k}) g LEFT JOIN o{k} ON o{k}.grp = s.grp AND o{k}.spot_id = s.spot_id AND o{k}.target = g.target)" for k, t in ((1, "1-URGENT"), (5, "5-LOW")))
+    + " SELECT grp, spot_id, feature, round(value, 6) AS value FROM (FROM f1 UNION ALL FROM f5)"
+)
+def celltype_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrices of two cell types as one: what the analysis of a pair of types starts from."""
+    data = P.slides(spark, sf_dir)
+    both = celltype.side_by_side(data.celltype_specific("1-URGENT"), data.celltype_specific("5-LOW"), "1-URGENT", "5-LOW")
+    return both.select("grp", "spot_id", "feature", r6("value"))
+
+
+@query(f"{W_BASE}, {P.GEXPR} SELECT grp, feature, count(*) AS n, round(sum(value), 6) AS total FROM gx WHERE array_col < 8 AND grp IN ('BUILDING', 'MACHINERY') AND feature IN ('AF', 'NO') GROUP BY ALL")
+def dataset_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots by condition, groups by name, features by semi-join."""
+    data = P.slides(spark, sf_dir).where(F.col("array_col") < 8)
+    spots = pair_ops.check_groups(data.spots, ["BUILDING", "MACHINERY"])
+    held = data.expr.join(spots.select("grp", "spot_id"), ["grp", "spot_id"], "left_semi").filter(F.col("feature").isin("AF", "NO"))
+    return held.groupBy("grp", "feature").agg(F.count(F.lit(1)).alias("n"), r6_sum("value").alias("total"))
+
+
+def r6_sum(column: str):
+    return F.round(F.sum(column), 6)
+
+
+@query(
+    f"{W_BASE}, ok AS (SELECT * FROM txg WHERE array_col >= 0), ab AS (SELECT array_col || '_' || array_row AS spot_id, celltype AS feature, sum(fx) AS value, 'obs' AS kind FROM ok JOIN cells USING (cell) GROUP BY ALL), "
+    "ge AS (SELECT array_col || '_' || array_row AS spot_id, target AS feature, ln(1 + 1000 * sum(fx)) AS value, 'expr' AS kind FROM ok JOIN cells USING (cell) GROUP BY ALL) SELECT kind, feature, spot_id, round(value, 6) AS value FROM (FROM ge UNION ALL FROM ab)"
+)
+def dataset_from_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest of molecules as a whole: shares by cell, annotation, matrix and abundances."""
+    data = from_molecules(P.molecules(spark, sf_dir), P.cells(spark, sf_dir), P.PARAMS, qc_cells=False)
+    both = data.expr.withColumn("kind", F.lit("expr")).unionByName(data.obs.withColumn("kind", F.lit("obs")))
+    return both.select("kind", "feature", "spot_id", r6("value"))
+
+
+@query(f"{_CELL}, {P.CELLS} SELECT 'expr' AS kind, target AS feature, array_col || '_' || array_row AS spot_id, round(ln(1 + sum(e)), 6) AS value FROM cn JOIN cb USING (cell) JOIN cells USING (cell) GROUP BY ALL "
+    "UNION ALL SELECT 'obs', celltype, array_col || '_' || array_row, count(DISTINCT cell)::DOUBLE FROM cn JOIN cb USING (cell) JOIN cells USING (cell) GROUP BY ALL")
+def dataset_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest of cells as a whole. Bins span all cells, so cells are binned before those without a type go."""
+    data = from_cells(_cell_grid(spark, sf_dir).drop("array_col", "array_row"), P.PARAMS)
+    both = data.expr.withColumn("kind", F.lit("expr")).unionByName(data.obs.withColumn("kind", F.lit("obs")))
+    return both.select("kind", "feature", "spot_id", r6("value"))
+
+
+@query(
+    f"{P.MASKED} SELECT s.grp AS grp, s.spot_id AS spot_id, array_col, array_row, ((x.spot_id IS NOT NULL)::INT + 2 * (y.spot_id IS NOT NULL)::INT) AS category FROM spots s "
+    "LEFT JOIN (SELECT * FROM lab WHERE feature = 'AF') x USING (grp, spot_id) LEFT JOIN (SELECT * FROM lab WHERE feature = 'RO') y USING (grp, spot_id)"
+)
+def plot_components_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = P.slides(spark, sf_dir)
+    return plotdata.all_components_map(data.spots, P.mask_labels(spark, sf_dir, data), "AF", "RO")
+
+
 # Stream
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,20 @@ def log_ratio(comp: Column, ref: Column) -> Column:
 def feature_name(cell_type: Column, gene: Column, sep: str = ": ") -> Column:
     """Feature prefixed by its cell type (OP-P15)."""
     return F.concat(cell_type, F.lit(sep), gene)
+
+
+# Coefficients of Lanczos' approximation of the gamma function, for g = 7.
+_LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+
+
+def log_factorial(x: Column) -> Column:
+    """The logarithm of x!, to about 15 digits, for x of 0 or more."""
+    x = x.cast("double")
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        series = series + F.lit(c) / (x + F.lit(float(i)))
+    t = x + F.lit(7.5)
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x + F.lit(0.5)) * F.log(t) - t + F.log(series)

@@ -28,7 +28,7 @@ def min_distance_adjacency(pairs: DataFrame, keys: tuple[str, ...] = ("grp",)) -
     """Pairs at the smallest distance above zero of their group (OP-J11, A18); groups without such a pair have none."""
     apart = pairs.filter("d > 0")
     least = apart.groupBy(*keys).agg(F.min("d").alias("_least"))
-    return apart.join(F.broadcast(least), list(keys)).filter("d <= _least").drop("_least")
+    return apart.join(least, list(keys)).filter("d <= _least").drop("_least")
 
 
 #: The four neighbours on a square grid.

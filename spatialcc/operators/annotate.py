@@ -70,7 +70,7 @@ def label_probabilities(cells: DataFrame, reference: DataFrame, cell: str = "cel
 
     The join is with one row per label.
     """
-    both = cells.select(cell, F.col(vector).cast("array<double>").alias("v")).crossJoin(F.broadcast(centroids(reference, label, vector)))
+    both = cells.select(cell, F.col(vector).cast("array<double>").alias("v")).crossJoin(centroids(reference, label, vector))
     d = F.aggregate(F.zip_with("v", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     near = both.select(cell, label, d.alias("d"))
     least = F.min("d").over(W.partitionBy(cell))
@@ -84,18 +84,27 @@ def argmax_label(probabilities: DataFrame, cell: str = "cell", label: str = "lab
     return probabilities.join(best, [cell, "probability"]).groupBy(cell).agg(F.min(label).alias(label), F.first("probability").alias("probability"))
 
 
+#: Reference rows that a cell meets at once.
+BLOCK = 1000
+
+
 def nearest_label(cells: DataFrame, reference: DataFrame, k: int = 5, cell: str = "cell", ref: str = "ref", label: str = "label", vector: str = "embedding") -> DataFrame:
     """Majority label of the k nearest reference rows (OP-M05, M07), the smallest label of equals.
 
-    The stated query set meets the reference in one pass; per cell only k rows are kept.
+    The stated query set meets the reference in blocks: a cell keeps k rows of each block and then k of all, so what is
+    shuffled is k rows for each cell and block, and no task holds the reference.
     """
-    r = reference.select(F.col(ref).alias("_ref"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_r"))
-    both = cells.select(cell, F.col(vector).cast("array<double>").alias("_v")).crossJoin(r)
-    d = F.aggregate(F.zip_with("_v", "_r", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = both.select(cell, "_label", "_ref", d.alias("d")).withColumn("n", F.row_number().over(W.partitionBy(cell).orderBy("d", "_ref"))).filter(F.col("n") <= k)
-    votes = near.groupBy(cell, "_label").agg(F.count(F.lit(1)).alias("votes"))
-    first = F.row_number().over(W.partitionBy(cell).orderBy(F.desc("votes"), "_label"))
-    return votes.withColumn("n", first).filter("n = 1").select(cell, F.col("_label").alias(label), "votes")
+    n = max(1, -(-reference.count() // BLOCK))
+    point = F.struct(F.col(ref).alias("ref"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = reference.groupBy(F.pmod(F.xxhash64(ref), F.lit(n)).alias("block")).agg(F.collect_list(point).alias("points")).select("points")
+    both = cells.select(cell, F.col(vector).cast("array<double>").alias("_v")).crossJoin(blocks)
+    far = lambda p: F.aggregate(F.zip_with("_v", p["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    least = lambda points: F.slice(F.array_sort(points), 1, k)
+    near = both.select(cell, least(F.transform("points", lambda p: F.struct(far(p).alias("d"), p["ref"].alias("ref"), p["label"].alias("label")))).alias("near"))
+    kept = near.groupBy(cell).agg(least(F.flatten(F.collect_list("near"))).alias("near"))
+    votes = kept.select(cell, F.explode("near").alias("x")).groupBy(cell, F.col("x.label").alias("_label")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(cell).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col("_label").alias("label"))).alias("best"))
+    return best.select(cell, F.col("best.label").alias(label), (-F.col("best.n")).alias("votes"))
 
 
 def annotate(cells: DataFrame, reference: DataFrame, return_prob: bool = False, **names: str) -> DataFrame:

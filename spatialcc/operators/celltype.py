@@ -31,5 +31,5 @@ def constrained_jaccard(pairs: DataFrame, labels: DataFrame, type_1: str, type_2
     y = pairs.join(held.withColumnRenamed("feature", "feat_2"), "feat_2").select("grp", "feat_1", "feat_2", "spot_id", F.lit(2).alias("side"))
     met = x.unionByName(y).groupBy("grp", "feat_1", "feat_2", "spot_id").agg(F.sum("side").alias("sides"))
     found = met.groupBy("grp", "feat_1", "feat_2").agg((F.count_if(F.col("sides") == 3) / F.count(F.lit(1))).alias("j_comp"))
-    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(F.broadcast(labels.select("grp").distinct()))
+    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(labels.select("grp").distinct())
     return every.join(found, ["grp", "feat_1", "feat_2"], "left").select("grp", "feat_1", "feat_2", "j_comp")

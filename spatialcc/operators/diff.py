@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spatialcc.functions.scalars import log_ratio
+from spatialcc.functions.scalars import log_factorial, log_ratio
 
 
 def slide_means(results: DataFrame, pairs: DataFrame, slides: DataFrame) -> DataFrame:
     """(cond, feat_1, feat_2, mean): mean over all slides of a condition, slides without a result counting 0 (OP-J16, A15)."""
-    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(F.broadcast(slides.select("grp", "cond").distinct()))
+    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(slides.select("grp", "cond").distinct())
     full = every.join(results.select("grp", "feat_1", "feat_2", "j_comp"), ["grp", "feat_1", "feat_2"], "left")
     return full.groupBy("cond", "feat_1", "feat_2").agg(F.avg(F.coalesce("j_comp", F.lit(0.0))).alias("mean"))
 
@@ -52,8 +52,7 @@ def over_representation(gene_sets: DataFrame, hits: DataFrame, universe: DataFra
     """Hypergeometric over-representation of gene sets (OP-T25): term, k, m, drawn, universe, p_value, p_adjust.
 
     gene_sets: term, gene; hits and universe: gene. k of the drawn hits are among the m genes of a term, out of the universe.
-    The upper tail is summed from logarithms of gamma functions, computed once per distinct count; p-values are
-    adjusted by Benjamini and Hochberg.
+    The upper tail is summed from logarithms of factorials; p-values are adjusted by Benjamini and Hochberg.
     """
     inside = gene_sets.join(universe.select("gene").distinct(), "gene", "left_semi").distinct()
     total = universe.select("gene").distinct().agg(F.count(F.lit(1)).alias("universe"))
@@ -61,18 +60,13 @@ def over_representation(gene_sets: DataFrame, hits: DataFrame, universe: DataFra
     n = drawn.agg(F.count(F.lit(1)).alias("drawn"))
     m = inside.groupBy("term").agg(F.count(F.lit(1)).alias("m"))
     k = inside.join(drawn, "gene", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("k"))
-    counts = m.join(k, "term").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total))
-    # log of x! as a running sum of logarithms, for 0..N; one row per number
-    numbers = total.select(F.explode(F.sequence(F.lit(0), F.col("universe").cast("int"))).alias("x"))
-    logs = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.log(F.greatest(x, F.lit(1)).cast("double")))
-    run = F.aggregate(logs, F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + v)))
-    lf = numbers.agg(run.alias("lf"))
-    choose = lambda a, b: F.get("lf", a) - F.get("lf", b) - F.get("lf", a - b)
-    big, hit, size = F.col("universe").cast("int"), F.col("drawn").cast("int"), F.col("m").cast("int")
+    counts = m.join(k, "term").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total))  # a row each
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    big, hit, size = F.col("universe"), F.col("drawn"), F.col("m")
     valid = lambda i: (size - i >= 0) & (hit - i >= 0) & (big - size - hit + i >= 0)
-    term = lambda i: F.when(valid(i), F.exp(choose(size, i) + choose(big - size, hit - i) - choose(big, hit))).otherwise(0.0)
-    tail = F.aggregate(F.sequence(F.col("k").cast("int"), F.least(hit, size)), F.lit(0.0), lambda a, i: a + term(i))
-    tested = counts.crossJoin(F.broadcast(lf)).withColumn("p_value", F.least(F.lit(1.0), tail)).drop("lf")
+    term = lambda i: F.when(valid(i), F.exp(choose(size, i) + choose(big - size, hit - i) - F.col("_all"))).otherwise(0.0)
+    tail = F.aggregate(F.sequence(F.col("k"), F.least(hit, size)), F.lit(0.0), lambda a, i: a + term(i))
+    tested = counts.withColumn("_all", choose(big, hit)).withColumn("p_value", F.least(F.lit(1.0), tail)).drop("_all")
     order = W.orderBy("p_value", "term")  # as many rows as there are terms
     ranked = tested.withColumn("r", F.row_number().over(order)).withColumn("t", F.count(F.lit(1)).over(W.partitionBy()))
     adjusted = F.min(F.least(F.lit(1.0), F.col("p_value") * F.col("t") / F.col("r"))).over(order.rowsBetween(0, W.unboundedFollowing))

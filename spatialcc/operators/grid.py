@@ -53,6 +53,17 @@ def grid_matrix_cell(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return summed.withColumn("value", F.log1p("total")).drop("total")
 
 
+def join_cells(values: DataFrame, cells: DataFrame, on: str | list[str] = "cell") -> DataFrame:
+    """Values of cells with their metadata (OP-J01); cells that either side lacks are left out."""
+    return values.join(cells, on)
+
+
+def bins_to_cells(bins: DataFrame, label: str = "label", feature: str = "feature", value: str = "value") -> DataFrame:
+    """Counts of bins summed by the cell that each bin is labelled with (OP-M12); bins without a cell (null or 0) are left out."""
+    inside = bins.filter(F.col(label).isNotNull() & (F.col(label) != 0))
+    return inside.groupBy(F.col(label).alias("cell"), feature).agg(F.sum(value).alias(value))
+
+
 def attach_celltype(rows: DataFrame, cells: DataFrame, cell: str = "cell") -> DataFrame:
     """Rows of annotated cells with their type (OP-J02)."""
     return rows.join(cells.select(cell, "celltype"), cell)

@@ -20,7 +20,7 @@ def _sides(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _every(pairs: DataFrame, spots: DataFrame, found: DataFrame, value: str) -> DataFrame:
     """All pairs of all groups, 0 where neither side has a component."""
     groups = spots.select("grp").distinct()
-    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(F.broadcast(groups))  # the result itself: pairs times slides
+    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(groups)  # the result itself: pairs times slides
     return every.join(found, ["grp", "feat_1", "feat_2"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
@@ -61,7 +61,7 @@ def jaccard_weighted(pairs: DataFrame, labels: DataFrame, values: DataFrame, spo
     top = F.sum(F.greatest(x, y))
     found = met.groupBy("grp", "feat_1", "feat_2").agg(F.when(~F.max("flat"), F.when(top > 0, F.sum(F.least(x, y)) / top)).alias("j_comp"), F.lit(True).alias("seen"))
     groups = spots.select("grp").distinct()
-    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(F.broadcast(groups))
+    every = pairs.select("feat_1", "feat_2").distinct().crossJoin(groups)
     return every.join(found, ["grp", "feat_1", "feat_2"], "left").select("grp", "feat_1", "feat_2", F.when(F.col("seen"), F.col("j_comp")).otherwise(zero).alias("j_comp"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,11 @@ def _numbers(n_perm: int, n: F.Column) -> F.Column:
     return F.transform(F.sequence(F.lit(0), F.floor((n_perm - 1) / size).cast("int")), lambda k: F.struct((k * size).alias("lo"), F.least(size, n_perm - k * size).alias("size")))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Parts for rows that are small and take long: a given number is not coalesced by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def shuffles(spots: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
     """(grp, perm, spot_id, from_spot): a permutation of each group's spots for each number, the same for all features."""
     held = _ranked(spots).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "spot_id"))).alias("s"))
@@ -146,7 +151,7 @@ def permutation_draws(
 
     kinds = dict(values.dtypes)
     dealt = held.join(at, "grp").withColumn("b", F.explode(_numbers(n_perm, F.size("cols")))).select("grp", "feature", "pos", "value", "cols", "rows", "b.lo", "b.size")
-    dealt = dealt.repartition("grp", "feature", "lo")
+    dealt = dealt.repartition(_tasks(spots.sparkSession), "grp", "feature", "lo")
     found = land(dealt.mapInPandas(footprints, f"grp {kinds['grp']}, feature {kinds['feature']}, lo int, size int, n int, masks binary"), "footprints")
 
     weighted = jaccard_type == "weighted"
@@ -172,7 +177,7 @@ def permutation_draws(
             yield pd.DataFrame(out, columns=["grp", "perm", "feat_1", "feat_2", "j_perm"]).astype({"j_perm": float})
 
     sides = dict(pairs.dtypes)
-    drawn = both.select(*columns).mapInPandas(overlaps, f"grp {kinds['grp']}, perm int, feat_1 {sides['feat_1']}, feat_2 {sides['feat_2']}, j_perm double")
+    drawn = both.select(*columns).repartition(_tasks(spots.sparkSession), "grp", "lo", "feat_1", "feat_2").mapInPandas(overlaps, f"grp {kinds['grp']}, perm int, feat_1 {sides['feat_1']}, feat_2 {sides['feat_2']}, j_perm double")
     return drawn.withColumn("j_perm", F.when(~F.isnan("j_perm"), F.col("j_perm")))
 
 

@@ -67,6 +67,12 @@ def scale_clip(expr: DataFrame, n_cells: int | None = None, cap: float = 10.0, f
 
 
 def make_unique(names: DataFrame, name: str, order: str) -> DataFrame:
-    """Repeated names get -1, -2, ... in order (OP-P11)."""
+    """Repeated names get -1, -2, ... in order, numbers that make a name which is there already left out (OP-P11)."""
+    base, number = F.regexp_extract(name, "^(.*)-([1-9][0-9]*)$", 1), F.regexp_extract(name, "^(.*)-([1-9][0-9]*)$", 2)
+    taken = names.filter(F.col(name).rlike("(?s)^.*-[1-9][0-9]{0,17}$")).groupBy(base.alias(name)).agg(F.collect_set(number.cast("bigint")).alias("_taken"))
     k = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
-    return names.withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat_ws("-", F.col(name), k)))
+    held = names.withColumn("_k", k.cast("bigint")).join(taken, name, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
+    # The k-th number that isn't taken: as many are to be passed over as are taken at most.
+    free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("_k") + F.size("_taken")), F.col("_taken"))
+    made = F.concat_ws("-", F.col(name), F.get(free, (F.col("_k") - 1).cast("int")))
+    return held.withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(made)).select(*names.columns, "unique_name")

@@ -25,8 +25,8 @@ def smooth_grid(expr: DataFrame, spots: DataFrame, fwhm: float = 2.5) -> DataFra
 
     expr: grp, feature, array_col, array_row, value (zeros may be left out). spots: grp, spot_id, array_col,
     array_row. The kernel is separable, so values are scattered along rank-compressed columns, summed, scattered along
-    rows and summed again. Rows are dealt by (grp, feature) once; both sums and the normaliser keep that
-    partitioning. Totals are preserved over the whole dense grid, then real spots are kept.
+    rows and summed again. Sums are dealt by place, so a slide of any size is spread over all tasks. Totals are preserved
+    over the whole dense grid, then real spots are kept.
     """
     weights = kernel_1d(fwhm)
     r = len(weights) // 2
@@ -35,25 +35,23 @@ def smooth_grid(expr: DataFrame, spots: DataFrame, fwhm: float = 2.5) -> DataFra
     rows = spots.select("grp", "array_row").distinct().withColumn("r", (F.row_number().over(W.partitionBy("grp").orderBy("array_row")) - 1).cast("int"))
     size = cols.groupBy("grp").agg(F.max("c").alias("nc")).join(rows.groupBy("grp").agg(F.max("r").alias("nr")), "grp")
     ranked = expr.filter("value <> 0").join(cols, ["grp", "array_col"]).join(rows, ["grp", "array_row"]).join(size, "grp")
-    dealt = ranked.select("grp", "feature", "c", "r", "nc", "nr", "value").repartition("grp", "feature")
-    total = F.sum("value").over(W.partitionBy("grp", "feature"))
-    dealt = dealt.withColumn("total", total)
     over_cols = (
-        dealt.withColumn("k", F.explode(offsets))
-        .select("grp", "feature", (F.col("c") + F.col("k.o")).alias("c"), "r", "nc", "nr", "total", (F.col("value") * F.col("k.w")).alias("s"))
+        ranked.withColumn("k", F.explode(offsets))
+        .select("grp", "feature", (F.col("c") + F.col("k.o")).alias("c"), "r", "nc", "nr", (F.col("value") * F.col("k.w")).alias("s"))
         .filter("c between 0 and nc")
         .groupBy("grp", "feature", "c", "r")
-        .agg(F.sum("s").alias("s"), F.first("nr").alias("nr"), F.first("total").alias("total"))
+        .agg(F.sum("s").alias("s"), F.first("nr").alias("nr"))
     )
     over_rows = (
         over_cols.withColumn("k", F.explode(offsets))
-        .select("grp", "feature", "c", (F.col("r") + F.col("k.o")).alias("r"), "nr", "total", (F.col("s") * F.col("k.w")).alias("s"))
+        .select("grp", "feature", "c", (F.col("r") + F.col("k.o")).alias("r"), "nr", (F.col("s") * F.col("k.w")).alias("s"))
         .filter("r between 0 and nr")
         .groupBy("grp", "feature", "c", "r")
-        .agg(F.sum("s").alias("s"), F.first("total").alias("total"))
+        .agg(F.sum("s").alias("s"))
     )
-    whole = F.sum("s").over(W.partitionBy("grp", "feature"))
-    scaled = over_rows.withColumn("smoothed", F.round(F.col("s") / whole * F.col("total"), PLATEAU_DECIMALS))
+    total = expr.groupBy("grp", "feature").agg(F.sum("value").alias("total"))
+    scale = over_rows.groupBy("grp", "feature").agg(F.sum("s").alias("whole")).join(total, ["grp", "feature"])
+    scaled = over_rows.join(scale, ["grp", "feature"]).withColumn("smoothed", F.round(F.col("s") / F.col("whole") * F.col("total"), PLATEAU_DECIMALS))
     places = spots.join(cols, ["grp", "array_col"]).join(rows, ["grp", "array_row"]).select("grp", "spot_id", "array_col", "array_row", "c", "r")
     return scaled.join(places, ["grp", "c", "r"]).select("grp", "feature", "spot_id", "array_col", "array_row", "smoothed")
 

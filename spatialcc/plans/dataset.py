@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spatialcc.functions.scalars import hex_x, hex_y
 from spatialcc.operators import celltype, components, grid, jaccard, pairs, permute, qc, smooth
 from spatialcc.plans.landing import land
+from spatialcc.sources.readers import read_lr_db
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,14 @@ class SpatialDataset:
             found = jaccard.jaccard_weighted(wanted, labels, self.weights(smoothed), self.spots)
         return live.join(found, ["grp", "feat_1", "feat_2"])
 
+    def lr_similarity(self, path: str, database: str, species: str = "human", jaccard_type: str = "default") -> DataFrame:
+        """The pairwise pipeline on the pairs of a ligand-receptor database that the dataset has (OP-T21): read, clean, resolve, run."""
+        wanted = land(read_lr_db(self.spots.sparkSession, path, database, species).distinct(), "lr")
+        names = lambda df: df.select(F.col("feature").alias("name"))
+        none = self.expr.limit(0) if self.obs is None else self.obs
+        live = pairs.resolve_pairs(wanted, names(none), names(self.expr))
+        return self.similarity(live.select("feat_1", "feat_2"), jaccard_type, "keep")
+
     def significance(self, results: DataFrame, wanted: DataFrame, n_perm: int = 1000, seed: int = 0, jaccard_type: str = "default") -> DataFrame:
         """Results of the wanted pairs with permutation p-values (OP-T19, T20); jaccard_type is the one of the results.
 

@@ -22,12 +22,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/spatialcc/{name}-{uuid.uuid4().hex}"
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back.
 
     Its lineage ends there, so a plan over it stays small and is not computed again for every use, and a lost executor
     loses nothing.
     """
-    path = f"{shared_root(df.sparkSession)}/spatialcc/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ def feature_map(spots: DataFrame, values: DataFrame, feature: str, vmin: float |
 def factor_map(spots: DataFrame, categories: DataFrame) -> DataFrame:
     """Every spot with the number of its category in order (OP-V03, survey 2.11 encoding)."""
     codes = categories.select("category").distinct().withColumn("code", (F.row_number().over(W.orderBy("category")) - 1).cast("int"))
-    return spots.join(categories, ["grp", "spot_id"], "left").join(F.broadcast(codes), "category", "left")
+    return spots.join(categories, ["grp", "spot_id"], "left").join(codes, "category", "left")
 
 
 def all_components_map(spots: DataFrame, labels: DataFrame, feat_1: str, feat_2: str, background: bool = True) -> DataFrame:

@@ -64,17 +64,17 @@ def pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b) for i, a in enumerate(TARGETS) for b in TARGETS[i + 1 :]], "feat_1 string, feat_2 string")
 
 
-def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = slides(spark, sf_dir)
+def smoothed(spark: SparkSession, sf_dir: str, data: SpatialDataset | None = None) -> DataFrame:
+    data = data or slides(spark, sf_dir)
     places = data.spots.select("grp", "spot_id", "array_col", "array_row")
     return land(smooth_grid(data.expr.join(places, ["grp", "spot_id"]), places, PARAMS.fwhm), "smoothed")
 
 
-def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask_labels(spark: SparkSession, sf_dir: str, data: SpatialDataset | None = None) -> DataFrame:
     """Components that SQL can state: spots whose smoothed value is above the mean, labelled by bands of five columns."""
     from pyspark.sql import Window as W
 
-    s = smoothed(spark, sf_dir)
+    s = smoothed(spark, sf_dir, data)
     above = s.withColumn("mean", F.avg("smoothed").over(W.partitionBy("grp", "feature"))).filter("smoothed > mean")
     return above.select("grp", "feature", "spot_id", (F.floor(F.col("array_col") / 5) + 1).cast("int").alias("cc_label"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,11 @@ class Registry:
             raise ValueError(f"no result '{name}'")
         return self.spark.read.parquet(f"{self.path}/{name}/{runs[-1]}")
 
-    def reset(self) -> None:
-        """Drop all results."""
+    def reset(self, pattern: str = "^J_") -> list[str]:
+        """Drop the results whose name a regular expression finds, by default those of similarity (OP-K05); returns their names."""
         fs, at = self._folder()
-        fs.delete(at, True)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        gone = [n for n in names if re.search(pattern, n)]
+        for name in gone:
+            fs.delete(self._folder(name)[1], True)
+        return gone

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialcc import catalog
+from spatialcc.functions.scalars import log_factorial
 from spatialcc.operators import annotate, diff, grid, jaccard, pairs, permute, qc, smooth
 from spatialcc.plans.dataset import Params, SpatialDataset, from_molecules
 from spatialcc.sources import readers, sinks
@@ -137,6 +138,8 @@ def test_names_and_pairs(spark):
     assert pairs.lr_omnipath(omni, dedupe=False).count() == 3
     names = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), ("x", 4)], "name string, o int")
     assert [r.unique_name for r in qc.make_unique(names, "name", "o").orderBy("o").collect()] == ["x", "x-1", "y", "x-2"]
+    names = spark.createDataFrame([("x", 1), ("x-1", 2), ("x", 3), ("x-1", 4), ("x", 5), ("x-3", 6)], "name string, o int")
+    assert [r.unique_name for r in qc.make_unique(names, "name", "o").orderBy("o").collect()] == ["x", "x-1", "x-2", "x-1-1", "x-4", "x-3"]
     with pytest.raises(ValueError):
         pairs.check_groups(spark.createDataFrame([("s",)], "grp string"), ["t"])
 
@@ -155,6 +158,8 @@ def test_log_ratio_and_over_representation(spark):
     sets = spark.createDataFrame([("t", i) for i in range(4)] + [("w", 9)], "term string, gene int")
     r = {x.term: x for x in diff.over_representation(sets, genes.filter("gene < 3"), genes).collect()}
     assert r["t"].p_value == pytest.approx(4 / 120) and set(r) == {"t"}
+    logs = spark.range(0, 300).select("id", log_factorial(F.col("id")).alias("x")).collect()
+    assert all(r.x == pytest.approx(math.lgamma(r.id + 1), abs=1e-11) for r in logs)
 
 
 def test_sources(spark, tmp_path):
@@ -193,12 +198,13 @@ def test_sinks(spark, tmp_path):
     assert tables["expr"].count() == expr.count() and params == {"fwhm": "2.5"}
     book = sinks.Registry(spark, f"file://{tmp_path}/runs")
     for i in range(11):
-        assert book.save("result", spark.range(i)) == i
-    assert book.latest("result").count() == 10
-    book.reset()
-    assert book.runs("result") == []
+        assert book.save("J_result", spark.range(i)) == i
+    book.save("tx_by_cell_grid", spark.range(3))
+    assert book.latest("J_result").count() == 10
+    assert book.reset() == ["J_result"]
+    assert book.runs("J_result") == [] and book.latest("tx_by_cell_grid").count() == 3
     with pytest.raises(ValueError):
-        book.latest("result")
+        book.latest("J_result")
     with pytest.raises(ValueError):
         sinks.save_labels_csv(spots, f"{tmp_path}/x")
 
