@@ -444,9 +444,17 @@ def pair_similarity_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.similarity(spark.createDataFrame([("size", "price"), ("size", "size")], "feat_1 string, feat_2 string"), on_empty="keep")
 
 
-@query()
+_TYPED = (
+    f"WITH RECURSIVE {P.BASE}, {P.GEXPR.replace('gx AS', 'g0 AS').replace('FROM gx', 'FROM g0')}, txc AS (SELECT * FROM txg JOIN cells USING (cell)), "
+    + ", ".join(f"o{k} AS (SELECT grp, array_col || '_' || array_row AS spot_id, array_col, array_row, '{t}: ' || target AS feature, ln(1 + 1000 * sum(fx)) AS value FROM txc WHERE celltype = '{t}' GROUP BY ALL)" for k, t in ((1, "1-URGENT"), (5, "5-LOW")))
+    + f", gx AS (FROM o1 UNION ALL FROM o5), {P.SMOOTH}, {P.TREE}, {P.sql_leaves(P.PARAMS.min_size)}, {P.PAIRS.replace('pairs(feat_1, feat_2)', 'p0(f1, f2)')}, pairs AS (SELECT '1-URGENT: ' || f1 AS feat_1, '5-LOW: ' || f2 AS feat_2 FROM p0)"
+)
+
+
+@query(f"{_TYPED}, {_AVERAGES}, {_SET} {_WITH_AVERAGES}")
 def celltype_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.slides(spark, sf_dir).celltype_pair_similarity(P.pairs(spark), "1-URGENT", "5-LOW", on_empty="keep")
+    found = P.slides(spark, sf_dir).celltype_pair_similarity(P.pairs(spark), "1-URGENT", "5-LOW", on_empty="keep")
+    return found.select("grp", "feat_1", "feat_2", r6("avg_1"), r6("avg_2"), r6("j_comp"))
 
 
 @query()

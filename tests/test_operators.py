@@ -2,13 +2,15 @@
 
 import inspect
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spatialcc import catalog
 from spatialcc.functions.scalars import log_factorial
-from spatialcc.operators import annotate, diff, grid, jaccard, pairs, permute, qc, smooth
+from spatialcc.operators import annotate, diff, grid, jaccard, pairs, permute, qc, smooth, tree
 from spatialcc.plans.dataset import Params, SpatialDataset, from_molecules
 from spatialcc.sources import readers, sinks
 from spatialcc.streaming import counts
@@ -228,3 +230,75 @@ def test_annotation(spark):
     cells = spark.createDataFrame([(1, [0.0, 0.4]), (2, [5.0, 4.0])], "cell int, embedding array<double>")
     assert {r.cell: r.label for r in annotate.annotate(cells, ref).collect()} == {1: "x", 2: "y"}
     assert {r.cell: r.label for r in annotate.nearest_label(cells, ref, 1).collect()} == {1: "x", 2: "y"}
+
+
+def test_principal_components_equal_numpy(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 6)) @ rng.normal(size=(6, 6))
+    cells = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "cell int, embedding array<double>")
+    got = np.array([r.pcs for r in annotate.principal_components(cells, 3).orderBy("cell").collect()])
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    vectors = vectors[:, np.argsort(-values)[:3]]
+    vectors *= np.sign(vectors[np.abs(vectors).argmax(0), range(3)])
+    assert np.allclose(got, x @ vectors)
+
+
+def test_clusters_of_blobs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=2) * 0.1 + 10 * np.array([i % 3, i % 2])).tolist()) for i in range(60)]
+    found = annotate.clusters(spark.createDataFrame(rows, "cell int, pcs array<double>"), 6, 1).collect()
+    assert len({(r.cell % 6, r.cluster) for r in found}) == 6 == len({r.cluster for r in found})
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3)).round(1)
+    e = spark.createDataFrame([(i, f"l{i % 3}", v.tolist()) for i, v in enumerate(x)], "ref int, label string, embedding array<double>")
+    want = {}
+    for i in range(40):
+        near = sorted((((x[i] - x[j]) ** 2).sum(), j) for j in range(40))[:5]
+        votes = Counter(f"l{j % 3}" for _, j in near)
+        want[i] = min(votes, key=lambda k: (-votes[k], k))
+    for block in (1000, 7):
+        monkeypatch.setattr(annotate, "BLOCK", block)
+        assert {r.ref: r.label for r in annotate.nearest_label(e, e, cell="ref", ref="ref").collect()} == want
+
+
+def test_hexagonal_pipeline_by_brute_force(spark):
+    places = [(c, r) for r in range(10) for c in range(r % 2, 20, 2)]
+    order = sorted(range(len(places)), key=lambda i: (places[i][0], places[i][1]))
+    x, y = np.array([places[i][0] * 0.5 for i in order]), np.array([places[i][1] * 3**0.5 / 2 for i in order])
+    raw = {f: np.array([math.exp(-((a - 3 - 2 * k) ** 2 + (b - 4) ** 2) / 3) * 4 + math.exp(-((a - 8) ** 2 + (b - 2 - k) ** 2)) for a, b in zip(x, y, strict=True)]) for k, f in enumerate("ab")}
+    raw = {f: np.where(v > 0.4, v, 0) for f, v in raw.items()}
+    d = np.round(np.hypot(x[:, None] - x, y[:, None] - y), 4)
+    weight = np.where(d <= 2.5, np.exp(-(d**2) / (2 * (2.5 / 2.355) ** 2)), 0)
+    near = [np.flatnonzero((d[i] > 0) & (d[i] <= d[d > 0].min())).tolist() for i in range(len(x))]
+    held = {}
+    for f, v in raw.items():
+        s = weight @ v
+        held[f] = permute.footprint(np.round(s / s.sum() * v.sum(), 10), v, near, 5, 30)
+    rows = [("s", f"{places[i][0]}_{places[i][1]}", *places[i], f, float(v[k])) for f, v in raw.items() for k, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "grp string, spot_id string, array_col int, array_row int, feature string, value double")
+    data = SpatialDataset(df.select("grp", "spot_id", "array_col", "array_row").distinct(), df.select("grp", "spot_id", "feature", "value"), Params(min_size=5, lattice="hex"))
+    [found] = data.similarity(spark.createDataFrame([("a", "b")], "feat_1 string, feat_2 string")).collect()
+    assert found.j_comp == pytest.approx((held["a"] & held["b"]).sum() / (held["a"] | held["b"]).sum()) and 0 < found.j_comp < 1
+
+
+def test_bars_of_a_small_tree():
+    # Peaks 5, 4 and 6 of a path; 4 and 6 meet at 3, these and 5 at 1.
+    line = [[j for j in (i - 1, i + 1) if 0 <= j < 5] for i in range(5)]
+    t = tree.build([5, 1, 4, 3, 6], line)
+    found = {b["node"]: (b["layer"], b["place"], b["birth"], b["death"]) for b in tree.bars(t, tree.prune(t, 1))}
+    assert found == {0: (0, 0.0, 6, 3), 1: (0, 1.0, 5, 1), 2: (0, 2.0, 4, 3), 3: (1, 1.0, 3, 1), 4: (2, 1.0, 1, 0)}
+
+
+def test_ligand_receptor_entry(spark, tmp_path):
+    spots, expr = square(spark)
+    data = SpatialDataset(spots, expr, Params(min_size=4)).kept()
+    (tmp_path / "db.csv").write_text("source_genesymbol,target_genesymbol\na_z,b\na,none\n")
+    found = data.lr_similarity(f"{tmp_path}/db.csv", "omnipath").collect()
+    assert [(r.feat_1, r.feat_2) for r in found] == [("a", "b")]
+    [same] = data.similarity(spark.createDataFrame([("a", "b")], "feat_1 string, feat_2 string")).collect()
+    assert found[0].j_comp == pytest.approx(same.j_comp)
+    with pytest.raises(ValueError):
+        data.lr_similarity(f"{tmp_path}/db.csv", "omnipath", "cat")
