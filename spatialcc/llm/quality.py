@@ -2,9 +2,10 @@
 
 Every line of a text is a node with two states, bad (0) and good (1). Node scores come from features of the line and of
 its neighbours; edge scores tie neighbouring labels. Forward-backward gives each line's marginal, and the marginals,
-weighted by line length, give the document's quality. The field is fitted on a bounded sample of labelled documents by
-the likelihood of their labels, line by line without the chain (a document's lines all carry its label); a two-number calibration maps the weighted
-marginal to a probability.
+weighted by line length, give the document's quality. Node and edge weights are fitted together by the chain's
+regularised likelihood on a bounded sample of labelled documents. A document's lines all carry its label, so the sample's
+documents are strung together for it: labels change where documents meet, which gives edges a finite optimum. A
+two-number calibration maps the weighted marginal to a probability.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import text_or_empty
-from spatialcc.llm.wordhash import BLANK, LOWER, SLICE, buffers, word_bounds, word_hashes
+from spatialcc.llm.common import land, remove, text_or_empty, work_dir
+from spatialcc.llm.wordhash import BLANK, LOWER, SLICE, buffers, word_table
 
-#: Documents that the field is fitted on, at most: a bounded sample, even over all labelled training rows.
-SAMPLE = 4000
+#: Documents that the field is fitted on, at most, and bytes of their lines' features, at most: a bounded sample, even over
+#: all labelled training rows. Documents count whole.
+SAMPLE, SAMPLE_BYTES = 4000, 8_000_000
+#: Lines of a chain of the fit: the strung documents are cut into pieces of this length. The ridge on all weights.
+PIECE, RIDGE = 64, 1e-3
 #: Score from which a document is predicted good.
 THRESHOLD = 0.3
 
@@ -68,8 +72,8 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[order], first
 
 
-def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own features of every line, line lengths in bytes, and for each text the index of its first line."""
+def line_features(data: np.ndarray, at: np.ndarray, words: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features of every line, line lengths in bytes, and for each text the index of its first line. words: word_table(), if it is there."""
     starts, first = _lines(data, at)
     lo, hi = int(at[0]), int(at[-1])
     ends = np.append(starts[1:], hi)
@@ -81,10 +85,7 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     for k, cls in enumerate(_CLASSES):
         sums = np.concatenate([[0], np.cumsum(cls[piece], dtype=np.int64)])
         counts[:, k] = sums[ends - lo] - sums[starts - lo]
-    hashes, _ = word_hashes(data, at, LOWER)
-    bounds = [b[:2] for b in word_bounds(data, at)]
-    begin = np.concatenate([b[0] for b in bounds]) if bounds else np.zeros(0, np.int64)
-    stop = np.concatenate([b[1] for b in bounds]) if bounds else np.zeros(0, np.int64)
+    hashes, begin, stop, _ = word_table(data, at, LOWER) if words is None else words
     line = np.searchsorted(starts, begin, side="right") - 1
     n_words = np.bincount(line, minlength=len(starts)).astype(float)
     same = np.zeros(len(begin))
@@ -102,20 +103,20 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     odd = np.bincount(line, (_SYMBOL | _SHOUT | _MARKUP)[tail], minlength=len(starts)) if len(line) else np.zeros(len(starts))
     long = np.bincount(line, np.minimum((stop - begin) / 12.0, 5), minlength=len(starts)) if len(line) else np.zeros(len(starts))
     solid = np.maximum(size - counts[:, 7], 1)
-    words = np.maximum(n_words, 1)
+    per = np.maximum(n_words, 1)
     own = np.column_stack(
         [
             counts[:, 0] / np.maximum(counts[:, 1], 1),
             counts[:, 1] / solid,
             counts[:, 2] / solid,
-            np.minimum(counts[:, 3] / words, 2),
-            np.minimum(counts[:, 4] / words, 2),
-            np.minimum(counts[:, 5] / words, 2),
-            np.minimum(counts[:, 6] / words, 2),
-            again / words,
-            distinct / words,
-            odd / words,
-            long / words,
+            np.minimum(counts[:, 3] / per, 2),
+            np.minimum(counts[:, 4] / per, 2),
+            np.minimum(counts[:, 5] / per, 2),
+            np.minimum(counts[:, 6] / per, 2),
+            again / per,
+            distinct / per,
+            odd / per,
+            long / per,
             np.log1p(n_words) / 5,
             np.log1p(size) / 8,
             (n_words == 0).astype(float),
@@ -132,16 +133,16 @@ def node_features(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     heads = first[:-1]
     before[heads] = 0
     after[first[1:] - 1] = 0
-    at_edge = np.zeros((n, 2))
+    at_edge = np.zeros((n, 2), own.dtype)
     at_edge[heads, 0] = 1
     at_edge[first[1:] - 1, 1] = 1
-    return np.column_stack([own, before, after, at_edge, np.ones(n)])
+    return np.column_stack([own, before, after, at_edge, np.ones(n, own.dtype)])
 
 
-def marginals(score: np.ndarray, edge: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """P(good) of every line by forward-backward; texts advance together, one line at a time.
+def _passes(score: np.ndarray, edge: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log scores of all that comes before and after each line, by its state; chains advance together, one line at a time.
 
-    score: the good state's node score (the bad state's is 0). Texts are taken longest first, so a step costs only
+    score: the good state's node score (the bad state's is 0). Chains are taken longest first, so a step costs only
     what is still running.
     """
     sizes = np.diff(first)
@@ -150,7 +151,7 @@ def marginals(score: np.ndarray, edge: np.ndarray, first: np.ndarray) -> np.ndar
     fore = np.zeros((len(score), 2))
     back = np.zeros((len(score), 2))
     steps = int(sizes[0]) if len(sizes) else 0
-    running = np.searchsorted(-sizes, -np.arange(steps), side="left")  # texts with more lines than the step
+    running = np.searchsorted(-sizes, -np.arange(steps), side="left")  # chains with more lines than the step
     for t in range(steps):
         at = heads[: running[t]] + t
         if t == 0:
@@ -164,10 +165,37 @@ def marginals(score: np.ndarray, edge: np.ndarray, first: np.ndarray) -> np.ndar
         nxt, bonus = back[at + 1], score[at + 1]
         back[at, 0] = np.logaddexp(nxt[:, 0] + edge[0, 0], nxt[:, 1] + edge[0, 1] + bonus)
         back[at, 1] = np.logaddexp(nxt[:, 0] + edge[1, 0], nxt[:, 1] + edge[1, 1] + bonus)
+    return fore, back
+
+
+def _good(fore: np.ndarray, back: np.ndarray) -> np.ndarray:
     odds = fore[:, 1] + back[:, 1] - fore[:, 0] - back[:, 0]
     return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
+def marginals(score: np.ndarray, edge: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """P(good) of every line by forward-backward; score is the good state's node score, first has each chain's first line."""
+    return _good(*_passes(score, edge, first))
+
+
+def likelihood(score: np.ndarray, edge: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the log-likelihood of the labels y, and its gradients by node score and by edge."""
+    fore, back = _passes(score, edge, first)
+    last = first[1:] - 1
+    total = np.logaddexp(fore[last, 0], fore[last, 1])
+    inner = np.ones(len(score), bool)
+    inner[last] = False
+    a = np.flatnonzero(inner)
+    z = np.repeat(total, np.diff(first))[a]
+    by_edge, said = np.zeros((2, 2)), float(total.sum() - score[y == 1].sum())
+    for i in (0, 1):
+        for j in (0, 1):
+            seen = int(((y[a] == i) & (y[a + 1] == j)).sum())
+            by_edge[i, j] = np.exp(fore[a, i] + edge[i, j] + (score[a + 1] if j else 0.0) + back[a + 1, j] - z).sum() - seen
+            said -= seen * edge[i, j]
+    return said, _good(fore, back) - y, by_edge
+
+
 def _weighted(good: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Mean marginal of each text, lines weighted by their length; a text without characters counts its lines evenly."""
     weight = size.astype(float)
@@ -177,44 +205,50 @@ def _weighted(good: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.add.reduceat(weight * good, first[:-1]) / np.add.reduceat(weight, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def fit_field(texts: list[str], labels: list[int], rounds: int = 300) -> Field:
-    """Fit node weights by logistic regression of single lines (training ignores the chain), then calibrate on document level.
+def fit_field(own: np.ndarray, size: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 300, joint: int = 80) -> Field:
+    """Fit a field on the lines of labelled texts: own features, lengths, each text's first line, and the texts' labels.
 
-    With whole documents of one label, a line's neighbours carry its label; the node weights are therefore fitted with
-    the neighbours' features and the edge weights at the value that makes a change of label cost one nat.
+    Node weights start from a regression of single lines, every text and class of equal weight. Then node and edge
+    weights move together along the gradient of the chain's likelihood, which forward-backward gives, with a ridge.
+    Last, a two-number calibration is fitted on document level, each text a chain of its own as in scoring.
     """
-    data, at = buffers(pa.array(texts, pa.large_string()))
-    parts, lo = [], 0
-    while lo < len(at) - 1:  # a few texts at a time: only the lines' features are held for all
-        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
-        own, size, first = line_features(data, at[lo : hi + 1])
-        parts.append((node_features(own, first), size, np.diff(first)))
-        lo = hi
-    x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))])
-    y = np.repeat(np.asarray(labels, float), np.diff(first))
-    weight = np.sqrt(np.maximum(size, 1))
-    # Each text counts alike, each class too.
-    per_text = np.add.reduceat(weight, first[:-1])
-    weight = weight / np.repeat(per_text, np.diff(first))
-    good = max(float(np.mean(labels)), 1e-3)
+    z = node_features(own.astype(np.float32), first)
+    want = np.asarray(labels, float)
+    y = np.repeat(want, np.diff(first))
+    weight = np.sqrt(np.maximum(size, 1)).astype(float)
+    weight = weight / np.repeat(np.add.reduceat(weight, first[:-1]), np.diff(first))
+    good = max(float(want.mean()), 1e-3)
     weight *= np.where(y == 1, 0.5 / good, 0.5 / max(1 - good, 1e-3))
-    weight /= weight.sum()
-    center, spread = x.mean(0), x.std(0) + 1e-6
+    weight = (weight / weight.sum()).astype(np.float32)
+    center, spread = z.mean(0, dtype=float), z.std(0, dtype=float) + 1e-6
     center[-1], spread[-1] = 0, 1
-    z = (x - center) / spread
-    w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
+    z -= center.astype(np.float32)
+    z /= spread.astype(np.float32)
+    # The texts in the order of the sample are one string of lines, cut into pieces.
+    cuts = np.append(np.arange(0, len(y), PIECE), len(y))
+    w, edge = np.zeros(z.shape[1]), np.zeros((2, 2))
+    m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
+
+    def move(g: np.ndarray, step: int, rate: float) -> None:
+        m[:] = 0.9 * m + 0.1 * g
+        v[:] = 0.99 * v + 0.01 * g * g
+        change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        w[:] -= change[:-4]
+        edge[:] -= change[-4:].reshape(2, 2)
+
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -60, 60)))
-        g = z.T @ (weight * (p - y)) + 1e-4 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        p = 1 / (1 + np.exp(-np.clip(z @ w.astype(np.float32), -60, 60)))
+        move(np.append(z.T @ (weight * (p - y).astype(np.float32)) + 1e-4 * w, np.zeros(4)), step, 0.1)
+    m[:], v[:] = 0, 0
+    for step in range(1, joint + 1):
+        _, by_node, by_edge = likelihood((z @ w.astype(np.float32)).astype(float), edge, cuts, y)
+        by_line = np.append(z.T @ by_node.astype(np.float32), by_edge.ravel()) / len(y)
+        move(by_line + RIDGE * np.append(w, edge.ravel()), step, 0.05)
     node = w / spread
     node[-1] -= (w * center / spread).sum()
-    edge = np.array([[0.5, -0.5], [-0.5, 0.5]])
     field = Field(node, edge, 1.0, 0.0)
-    raw = np.clip(_weighted(marginals(x @ node, edge, first), size, first), 1e-4, 1 - 1e-4)
-    odds, want = np.log(raw / (1 - raw)), np.asarray(labels, float)
+    raw = np.clip(_weighted(marginals((z @ w.astype(np.float32)).astype(float), edge, first), size, first), 1e-4, 1 - 1e-4)
+    odds = np.log(raw / (1 - raw))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a two-parameter logistic fit
         p = 1 / (1 + np.exp(-(a * odds + b)))
@@ -246,21 +280,62 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def sample_features(docs: DataFrame, chosen: DataFrame, features, schema: str, most: int, doc_id: str, text: str) -> list:
+    """Features of the chosen labelled rows, made where the texts are; rows of a fit, in the order of a hash of their ids.
+
+    chosen: (_id, _label), a bounded number of rows. features: a text column to arrays of `schema`, whose last column
+    has the bytes of each row. Rows are taken in order as long as `most` bytes reach; only these come to the driver.
+    """
+    spark, place = docs.sparkSession, work_dir(docs.sparkSession, "sample")
+    chosen = F.broadcast(chosen.withColumn("_hash", F.xxhash64("_id")))
+    rows = docs.join(chosen, docs[doc_id] == chosen["_id"]).select("_hash", "_label", text_or_empty(text).alias("_text"))
+    names = ["_hash", "_label", *[x.split()[0] for x in schema.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([part.column("_hash"), part.column("_label"), *features(part.column("_text"))], names)
+
+    found = land(rows.mapInArrow(run, f"_hash bigint, _label int, {schema}"), place)
+    sizes = sorted((r["_hash"], r[1]) for r in found.select("_hash", names[-1]).collect())
+    sums = np.cumsum([0, *[n for _, n in sizes]])
+    keep = sizes[: max(1, int((sums[1:] <= most).sum()))]
+    kept = found.filter(F.col("_hash") <= keep[-1][0]).collect() if keep else []
+    remove(spark, place)
+    return sorted(kept, key=lambda r: tuple(r))
+
+
+def _line_arrays(column: pa.Array) -> list[pa.Array]:
+    """Line lengths and own features of each text as bytes, and how many."""
+    data, at = buffers(column)
+    sizes, owns, lo = [], [], 0
+    while lo < len(at) - 1:
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
+        own, size, first = line_features(data, at[lo : hi + 1])
+        sizes += [x.astype(np.int32).tobytes() for x in np.split(size, first[1:-1])]
+        owns += [x.astype(np.float32).tobytes() for x in np.split(own, first[1:-1])]
+        lo = hi
+    return [pa.array(sizes, pa.binary()), pa.array(owns, pa.binary()), pa.array(map(len, owns), pa.int64())]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
     """Fit the field on at most `sample` labelled rows that are not held out, the ones with the smallest hashes of their id.
 
-    Without usable labels, or with labels of one kind only, the field scores every document 0.5 or its class's share.
+    Features of lines are made where the texts are; the driver gets SAMPLE_BYTES of them at most. Without usable
+    labels, or with labels of one kind only, the field scores every document 0.5 or its class's share.
     """
     usable = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = F.broadcast(chosen)
-    rows = docs.join(chosen, docs[doc_id] == chosen["_id"]).select(chosen["_label"], text_or_empty(text).alias("_text"), chosen["_id"])
-    rows = sorted(rows.collect(), key=lambda r: (r["_id"], r["_text"]))
+    rows = sample_features(docs, chosen, _line_arrays, "sizes binary, own binary, n bigint", SAMPLE_BYTES, doc_id, text)
     kinds = {r["_label"] for r in rows}
     if len(kinds) < 2:
         share = 0.5 if not rows else (0.95 if kinds == {1} else 0.05)
         return Field(np.zeros(3 * OWN + 3), np.zeros((2, 2)), 1.0, float(np.log(share / (1 - share))))
-    return fit_field([r["_text"] for r in rows], [r["_label"] for r in rows])
+    size = np.frombuffer(b"".join(r["sizes"] for r in rows), np.int32)
+    own = np.frombuffer(b"".join(r["own"] for r in rows), np.float32).reshape(-1, OWN)
+    first = np.concatenate([[0], np.cumsum([len(r["sizes"]) // 4 for r in rows])])
+    return fit_field(own, size, first, np.array([r["_label"] for r in rows]))
 
 
 def score_documents(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ _BYTE = _SEEDED.integers(1 << 62, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _SEEDED.integers(1 << 62, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 _FAR = _SEEDED.integers(1 << 62, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 _STEP = _SEEDED.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_FARTHEST = _SEEDED.integers(1 << 62, 1 << 63, 2048, dtype=np.uint64) | np.uint64(1)
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -87,25 +88,31 @@ def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     values = values * _PLACE[place & 1023]
     if (long := place > 1023).any():
         values[long] *= _FAR[(place[long] >> 10) & 1023]
+        if (longest := place > 0xFFFFF).any():  # up to 2 GB, the largest string there is
+            values[longest] *= _FARTHEST[(place[longest] >> 20) & 2047]
     return mixed(np.add.reduceat(values, starts))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (bytes mapped by `fold`) and the number of words of each text."""
-    hashes, first = [], []
+def word_table(data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (bytes mapped by `fold`), start and end of each word, and the number of words of each text."""
+    hashes, first, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     weight = _BYTE[fold]
     weight[BLANK] = 0
-    for starts, _, _, hi in word_bounds(data, at):
+    for starts, ends, _, hi in word_bounds(data, at):
         if not len(starts):
             continue
         sizes = np.diff(np.append(starts, hi))
         hashes.append(_sums(weight[data[starts[0] : hi]], starts - starts[0], sizes))
         first.append(starts)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
+        last.append(ends)
     starts = np.concatenate(first)
-    edges = np.searchsorted(starts, at)
-    return np.concatenate(hashes), np.diff(edges)
+    return np.concatenate(hashes), starts, np.concatenate(last), np.diff(np.searchsorted(starts, at))
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and the number of words of each text."""
+    hashes, _, _, counts = word_table(data, at, fold)
+    return hashes, counts
 
 
 def bounded_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
