@@ -1,6 +1,6 @@
 """Similarity join of word shingle sets: a prefix join over groups.
 
-1. A fixed-size table of how common each shingle is, is built from exact document counts over all texts.
+1. A fixed-size table of how common each shingle is, is built from document counts over all texts.
 2. Shingles are ordered from rare to common; two sets with Jaccard >= 0.8 share one of the first n - ceil(0.8 n) + 1.
    Equal sets become one class; classes with the same prefix and size become one group.
 3. Groups that share a prefix shingle, with fitting sizes and positions, are candidates; they are expanded to their
@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import land, sized, text_or_empty, work_dir
+from spatialcc.llm.common import land, remove, sized, text_or_empty, work_dir
 from spatialcc.llm.components import components
 from spatialcc.llm.wordhash import mixed, shingle_sets
 
@@ -27,45 +27,43 @@ from spatialcc.llm.wordhash import mixed, shingle_sets
 SIZE = 5
 #: Two sets link when 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
-#: Log2 of the commonness table's entries, half a byte each: 32 MB, whatever the input.
-TABLE_BITS = 26
+#: Log2 of the cells that shingles are counted in, and of the parts that the cells are dealt in: a part is counted in 8 MB.
+CELL_BITS, PART_BITS = 32, 12
+#: Log2 of the commonness table's entries, half a byte each: 16 MB, whatever the input.
+TABLE_BITS = 25
 #: Shingles that a task gathers before it sends them on.
 GATHER = 1_000_000
 
 
-def _buckets(spark) -> int:
-    """Parts of the commonness table: a power of two above the number of shuffle partitions."""
-    return 1 << max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
+def _pieces(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of `values`, cut at the given places, as one binary value each."""
+    data = pa.py_buffer(np.ascontiguousarray(values))
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), data])
 
 
-def commonness(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """For each slot of shingle hashes floor(log2) of the largest document count in it, capped at 15, packed in half bytes.
+def commonness(docs: DataFrame) -> np.ndarray:
+    """For each slot of shingle hashes the log2 of the largest document count in it, from 0 to 15, packed in half bytes.
 
-    All shingles of all documents are counted, by 32 bits after their bucket's bits. Counts only order shingles, so
-    two shingles that share a count change no result. The table's size is fixed.
+    All shingles of all documents are counted, in cells by 32 bits of their hash. Counts only order shingles, so two
+    shingles that share a cell or slot change no result; 0 says that one document at most has a shingle. Cells are dealt
+    in parts that are counted one after the other, in memory that doesn't depend on the input. Where so many
+    shingles are counted that every cell is full, levels count from what an even spread gives.
     """
-    spark = docs.sparkSession
-    n_buckets = _buckets(spark)
-    bits = n_buckets.bit_length() - 1
-    part = 1 << (TABLE_BITS - bits)
+    spark, parts = docs.sparkSession, 1 << PART_BITS
+    cells, slots = 1 << (CELL_BITS - PART_BITS), 1 << (TABLE_BITS - PART_BITS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(sets: list[np.ndarray]) -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            cuts = np.searchsorted(values, (np.arange(1, n_buckets, dtype=np.uint64) << np.uint64(64 - bits)))
-            lows = ((values << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            ones, many, sums = [], [], []
-            for low, count in zip(np.split(lows, cuts), np.split(counts, cuts), strict=True):
-                more = count > 1
-                ones.append(low[~more].tobytes())
-                many.append(low[more].tobytes())
-                sums.append(count[more].astype(np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(n_buckets), pa.int32()), pa.array(ones, pa.binary()), pa.array(many, pa.binary()), pa.array(sums, pa.binary())], ["bucket", "ones", "many", "sums"])
+            cuts = np.searchsorted(values, np.arange(parts + 1, dtype=np.uint64) << np.uint64(CELL_BITS - PART_BITS))
+            # Ascending cells: their upper bits are runs of equal bytes, as are most counts, and take hardly any room.
+            low, high = (values & np.uint32(0xFFFF)).astype(np.uint16), ((values & np.uint32(cells - 1)) >> np.uint32(16)).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), _pieces(low, cuts), _pieces(high, cuts), _pieces(counts.astype(np.uint32), cuts)], ["part", "low", "high", "counts"])
 
         sets, size = [], 0
         for batch in batches:
             for one in shingle_sets(batch.column("text"), SIZE):
-                sets.append(one)
+                sets.append((one >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
                 size += len(one)
                 if size >= GATHER:
                     yield flush(sets)
@@ -73,43 +71,67 @@ def commonness(docs: DataFrame) -> tuple[np.ndarray, int]:
         if size:
             yield flush(sets)
 
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([np.frombuffer(b"".join(rows[c]), np.uint32) for c in ("ones", "many")])
-        counts = np.concatenate([np.ones(sum(map(len, rows["ones"])) // 4, np.int64), np.frombuffer(b"".join(rows["sums"]), np.int64)])
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
-        first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
-        totals = np.add.reduceat(counts, first) if len(first) else counts
-        slots = np.zeros(part, np.uint8)
-        common = totals > 1
-        where = (values[first[common]] >> np.uint32(32 - (TABLE_BITS - bits))).astype(np.int64)
-        np.maximum.at(slots, where, np.minimum(np.log2(totals[common]).astype(np.uint8), 15))
-        return pd.DataFrame({"bucket": [int(key[0])], "slots": [(slots[0::2] | (slots[1::2] << 4)).tobytes()]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def level(part: int, held: np.ndarray) -> pa.RecordBatch:
+            most = held.reshape(slots, -1).max(1)
+            levels = np.where(most > 1, np.log2(np.maximum(most, 1)), 0).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary()), pa.array([int(held.sum())], pa.int64())], ["part", "levels", "total"])
 
+        now, held = None, np.zeros(cells, np.int64)
+        for batch in batches:
+            for part, low, high, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield level(now, held)
+                    now = part
+                    held[:] = 0
+                at = np.frombuffer(low, np.uint16) | (np.frombuffer(high, np.uint8).astype(np.int32) << 16)
+                held[at] += np.frombuffer(counts, np.uint32)  # a row names a cell once
+        if now is not None:
+            yield level(now, held)
+
+    place = work_dir(spark, "commonness")
     texts = docs.select(text_or_empty().alias("text"))
-    parts = texts.mapInArrow(gather, "bucket int, ones binary, many binary, sums binary").groupBy("bucket").applyInPandas(count, "bucket int, slots binary")
-    table = np.zeros((n_buckets, part // 2), np.uint8)
-    for row in parts.collect():  # n_buckets rows, of a fixed size together
-        table[row["bucket"]] = np.frombuffer(row["slots"], np.uint8)
-    return table.reshape(-1), TABLE_BITS
-
+    dealt = texts.mapInArrow(gather, "part int, low binary, high binary, counts binary").repartition("part").sortWithinPartitions("part")
+    levels = land(dealt.mapInArrow(count, "part int, levels binary, total bigint"), place)
+    total = levels.agg(F.sum("total")).first()[0] or 0
+    full = max(0, int(np.log2(max(total, 1))) - CELL_BITS)
 
-def _classes_of(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
-    slot = (values >> np.uint64(64 - bits)).astype(np.int64)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for raw in batch.column("levels").to_pylist():
+                one = np.frombuffer(raw, np.uint8).astype(np.int16)
+                one = np.where(one > 0, np.clip(one - full, 1, 15), 0).astype(np.uint8)
+                packed.append((one[0::2] | (one[1::2] << 4)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    table = np.zeros((parts, slots // 2), np.uint8)
+    for row in levels.mapInArrow(pack, "part int, packed binary").toLocalIterator():  # 4096 rows of 4 KB
+        table[row["part"]] = np.frombuffer(row["packed"], np.uint8)
+    remove(spark, place)
+    return table.reshape(-1)
+
+
+def _classes_of(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = (values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
     return (table[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8)) & 15
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """How many of the first elements of a set of n one of a similar set must share."""
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
+def prefixes(docs: DataFrame, held: Broadcast) -> DataFrame:
     """For each document: n, two fingerprints of its set, its group key, and the shared shingles of its prefix.
 
     Shingles that only one document has (class 0) are not listed: they can't join anything.
     """
-    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
@@ -119,7 +141,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
                 n.append(len(one))
                 high.append(int(mixed(one).sum(dtype=np.uint64).astype(np.int64)))
                 low.append(int(mixed(one ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                kind = _classes_of(table, bits, one)
+                kind = _classes_of(table, one)
                 order = np.argsort(kind, kind="stable")[: prefix_length(len(one))] if len(one) else np.zeros(0, int)
                 chosen, common = one[order], kind[order] > 0
                 key.append(int(mixed(chosen).sum(dtype=np.uint64).astype(np.int64)))
@@ -128,7 +150,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(key, pa.int64()), pa.array(shared, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "high", "low", "gkey", "shared", "places"])
 
-    schema = "doc_id bigint, n bigint, high bigint, low bigint, gkey bigint, shared array<bigint>, places array<int>"
+    schema = f"doc_id {_kind(docs)}, n bigint, high bigint, low bigint, gkey bigint, shared array<bigint>, places array<int>"
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
@@ -147,7 +169,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
             if sets:
                 yield pa.RecordBatch.from_arrays([ids.slice(lo), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {_kind(docs)}, shingles array<bigint>")
 
 
 def _fits(a: str = "l", b: str = "r"):
@@ -167,18 +189,20 @@ def _may_fit():
     return (F.col("n") - F.col("place")) * (100 + PERCENT) >= PERCENT * (F.col("n") + other) - 1e-6
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class representatives whose whole sets link."""
+def verified(pairs: DataFrame, docs: DataFrame, place: str) -> DataFrame:
+    """The pairs (a, b) of class representatives whose whole sets link, written below `place`."""
     spark = docs.sparkSession
-    named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    named = land(named, work_dir(spark, "candidates"))
-    named = sized(named)
-    texts = docs.join(named, docs["doc_id"] == named["_id"], "left_semi")
-    sets = land(shingle_table(texts).dropDuplicates(["doc_id"]), work_dir(spark, "sets"))
+    named = land(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), f"{place}-named")
+    texts = docs.join(sized(named), F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = land(shingle_table(texts).dropDuplicates(["doc_id"]), f"{place}-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = land(links, f"{place}-links")
+    for part in ("named", "sets"):
+        remove(spark, f"{place}-{part}")
+    return links
 
 
 def _unsettled(rows: DataFrame, key: str) -> DataFrame:
@@ -208,14 +232,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    table, bits = commonness(docs)
     place = work_dir(spark, "ngram")
-    sets = land(prefixes(docs, table, bits), f"{place}/prefixes")
+    held = spark.sparkContext.broadcast(commonness(docs))
+    sets = land(prefixes(docs, held), f"{place}/prefixes")
+    held.destroy()
 
     # Classes of equal sets, each named by its smallest document.
     named = sets.filter("n > 0 and doc_id is not null")
     classes = land(named.groupBy("high", "low", "n").agg(F.min("doc_id").alias("cid")), f"{place}/classes")
-    linked = sets.select("doc_id", "high", "low", "n").join(classes, ["high", "low", "n"], "left")
     reps = named.filter(F.size("shared") > 0).join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
     reps = land(reps.dropDuplicates(["doc_id"]), f"{place}/reps")
 
@@ -226,7 +250,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     entries = heads.select(F.col("doc_id").alias("gid"), "n", F.explode(F.arrays_zip("shared", "places")).alias("e"))
     entries = entries.select("gid", "n", F.col("e.shared").alias("shingle"), F.col("e.places").alias("place"))
     firsts = entries.groupBy("shingle").agg(F.min(F.struct("gid", "n", "place")).alias("first"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    index = land(entries.join(firsts, "shingle").filter(_may_fit()), f"{place}/index")
+    firsts = land(firsts, f"{place}/firsts")
+    index = land(entries.join(sized(firsts), "shingle").filter(_may_fit()), f"{place}/index")
 
     # Round 1: each entry against the smallest group of its list, and each member against its group's smallest.
     starred = index.filter("gid <> first.gid").select(F.col("first").alias("l"), F.struct("gid", "n", "place").alias("r")).filter(_fits())
@@ -235,8 +260,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     back = pairs.join(members.filter("cid <> gid").select(F.col("gid").alias("gl"), F.col("cid").alias("b")), "gl").select(F.col("gr").alias("a"), "b")
     within = members.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     tried = land(across.unionByName(back).unionByName(within).distinct(), f"{place}/tried")
-    links = land(verified(tried, docs), f"{place}/links1")
-    found = land(components(links), f"{place}/components1")
+    links = verified(tried, docs, f"{place}/1")
+    found = components(links)
 
     # Round 2: what shares a list, or a group, and is still apart. Only entries of different components meet.
     at = members.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp"))
@@ -251,10 +276,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = land(more.join(done, ["a", "b"], "left_anti"), f"{place}/more")
     if not more.isEmpty():
-        links = links.unionByName(land(verified(more, docs), f"{place}/links2"))
-        found = land(components(links), f"{place}/components2")
-    result = linked.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id")).alias("component_id"))
+        found = components(links.unionByName(verified(more, docs, f"{place}/2")))
+    for part in ("reps", "groups", "members", "firsts", "index", "tried", "at", "open", "more", "1-links", "2-links"):
+        remove(spark, f"{place}/{part}")
+    # Only texts with words have a class.
+    result = sets.filter("n > 0").select("doc_id", "high", "low", "n").join(classes, ["high", "low", "n"], "left")
+    result = result.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("doc_id", "n", F.coalesce("component", "cid", "doc_id").alias("component"))
+    result = result.unionByName(sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
