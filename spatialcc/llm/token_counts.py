@@ -7,6 +7,7 @@ their counts are appended to the cache.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
 import re
@@ -56,9 +57,12 @@ def _byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in added}
 
 
+@functools.lru_cache(maxsize=1)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function that counts the tokens of texts as the library for the file does, without added special tokens.
 
+    It is made once in a process: tables of a tokenizer take some hundred megabytes while they are built.
+
     .json: tokenizers; .model: sentencepiece; .tiktoken: tiktoken. A plain byte-level .json is counted with the faster
     merges of tiktoken wherever a text has only characters that both libraries class alike and no special string;
     the other texts go through tokenizers itself.
@@ -75,22 +79,27 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         encoding = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(encoding.encode_ordinary(x)) for x in texts]
-    import tokenizers
 
-    library = tokenizers.Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
+    @functools.lru_cache(maxsize=1)
+    def library():
+        import tokenizers
+
+        held = tokenizers.Tokenizer.from_file(path)
+        held.no_truncation()
+        held.no_padding()
+        return held
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     ranks = _byte_level_ranks(spec)
     if ranks is None:
-        return lambda texts: [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [len(x.ids) for x in library().encode_batch(texts, add_special_tokens=False)]
     encoding = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
     special = [t["content"] for t in spec["added_tokens"]]
 
     def count(texts: list[str]) -> list[int]:
         return [
-            len(library.encode(x, add_special_tokens=False).ids) if _SURE.search(x) or any(s in x for s in special) else len(encoding.encode_ordinary(x))
+            len(library().encode(x, add_special_tokens=False).ids) if _SURE.search(x) or any(s in x for s in special) else len(encoding.encode_ordinary(x))
             for x in texts
         ]
 
@@ -134,7 +143,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, doc_id: s
     rows = visit_once(docs, versions.select("doc_id", "digest"), misses)
     fresh = encode_counts(rows.select(content_digest(F.col("text")).alias("digest"), "text"), path).dropDuplicates(["digest"])
     fresh.write.mode("append").parquet(place)
-    stored = spark.read.schema(schema).parquet(place).dropDuplicates(["digest"])  # a run that was cut short may have been repeated
+    # A run that was cut short may have been repeated. Landed, so that the join may split the rows of one digest.
+    stored = spark.read.schema(schema).parquet(place).join(versions.select("digest"), "digest", "left_semi") if cache else spark.read.schema(schema).parquet(place)
+    stored = land(stored.dropDuplicates(["digest"]), work_dir(spark, "stored"))
     return versions.join(stored, "digest", "left")
 
 
