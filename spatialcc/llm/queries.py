@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spatialcc.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, secrets, token_counts
 from spatialcc.llm.common import documents
 
-#: The tokenizer of the registered queries; every operator takes the path as a parameter.
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+def tokenizer() -> str:
+    """The tokenizer of the registered queries; every operator takes the path as a parameter. Only queries that count tokens need it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +56,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
     )
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_chats(turns.unionByName(forged), TOKENIZER))
+    return chat.read_back(chat.format_chats(turns.unionByName(forged), tokenizer()))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates at which each document enters a mixture with the target domain shares."""
-    return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), tokenizer=tokenizer())
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of each document, through a cache that starts empty."""
-    return token_counts.contract_columns(token_counts.count_tokens(documents(spark, sf_dir), TOKENIZER))
+    return token_counts.contract_columns(token_counts.count_tokens(documents(spark, sf_dir), tokenizer()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
