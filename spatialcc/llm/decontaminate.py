@@ -1,8 +1,9 @@
 """Benchmark decontamination on templates.
 
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same template.
-Windows of template tokens are hashed and looked up among the benchmark's windows; matched windows of one alignment
-must fill the placeholders consistently (equal values stay equal, different ones different), which catches
+Windows of template tokens are hashed and joined with the benchmark's windows; of documents only windows that a bitmap of
+the benchmark's lets pass take part, so one pass over the documents does for a benchmark of any size. Pairs of a document
+and an item that share a window are then compared: matched windows of one alignment must fill the placeholders consistently (equal values stay equal, different ones different), which catches
 re-parameterised questions and leaves chance matches of templates alone. Windows of plain lower-cased tokens find
 verbatim copies whatever their length, place in a sentence, or share of names and numbers.
 """
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from spatialcc.llm.common import land, text_or_empty, work_dir
-from spatialcc.llm.wordhash import SLICE, bounded_hashes, buffers, windows, word_bounds
+from spatialcc.llm.common import BROADCAST_ROWS, fresh, land, remove, sized, text_or_empty, work_dir
+from spatialcc.llm.wordhash import SLICE, bounded_hashes, buffers, mixed, windows, word_bounds
 
 #: Template tokens of a window; a shorter item is one window of its own length.
 WINDOW = 8
@@ -27,8 +29,12 @@ WINDOW = 8
 LEAST = 4
 #: Share of an item's tokens, or else number of tokens, that a document must cover to count as contaminated.
 COVER_SHARE, COVER_TOKENS = 0.5, 25
-#: Benchmark windows that are looked up in one pass; a larger benchmark is searched in several passes over the documents.
-BLOCK = 1_000_000
+#: Log2 of the bits that tell which windows the benchmark has, two for each: 4 MB, whatever the benchmark; and of their parts.
+BITMAP_BITS, PART_BITS = 25, 8
+#: Items that are compared with a document at once.
+TOGETHER = 256
+#: Bytes of item texts up to which they are broadcast.
+BROADCAST_BYTES = 8_000_000
 
 # Units, where they follow a number.
 UNITS = (
@@ -304,47 +310,147 @@ def matches(index: Index, t: Templates, data: np.ndarray) -> dict[int, list[tupl
     return {text: [(i, share, changed) for i, (share, changed) in found.items()] for text, found in out.items()}
 
 
-_FOUND = "items array<struct<item_id:bigint,coverage:double,changed:boolean>>"
+def _key(hashes: np.ndarray, size: int, plain: bool) -> np.ndarray:
+    """Keys of windows, apart by size and by what they are windows of."""
+    return mixed(hashes + np.uint64(2 * size + plain) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _search(column: pa.Array, index: Index) -> list[list[dict]]:
-    """Matches of each text, a few megabytes of texts at a time."""
-    data, at = buffers(column)
-    out, lo = [], 0
-    while lo < len(at) - 1:
-        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
-        found = matches(index, templates(data, at[lo : hi + 1]), data)
-        out += [[{"item_id": i, "coverage": c, "changed": ch} for i, c, ch in found.get(k, [])] for k in range(hi - lo)]
-        lo = hi
-    return out
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """The two bits of each key: both in the part that the key's first bits name."""
+    part = (keys >> np.uint64(64 - PART_BITS)).astype(np.int64) << (BITMAP_BITS - PART_BITS)
+    inner = (1 << (BITMAP_BITS - PART_BITS)) - 1
+    return np.stack([part | ((keys >> np.uint64(s)).astype(np.int64) & inner) for s in (0, BITMAP_BITS - PART_BITS)])
+
+
+def _item_keys(items: DataFrame) -> DataFrame:
+    """(item, window, key) of the rows (item, text): all windows of an item by which it can be found."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                index = benchmark_index([(item, text)])
+                for plain, by_size in ((False, index.by_size), (False, index.inside), (True, index.plain)):
+                    for size, (hashes, _, _) in by_size.items():
+                        keys = np.unique(_key(hashes, size, plain))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), item)), pa.array(np.full(len(keys), 2 * size + plain, np.int32)), pa.array(keys.astype(np.int64))], ["item", "window", "key"])
 
-def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in blocks of at most about `block` windows, which bounds what is broadcast."""
-    rows, size = [], 0
-    for row in benchmark.select("item_id", text_or_empty().alias("text")).toLocalIterator():
-        rows.append((row["item_id"], row["text"]))
-        size += 2 * (len(row["text"].split()) + sum(c > "\u2fff" for c in row["text"]) + 1)  # windows of templates and of plain tokens
-        if size >= block:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+    return items.select("item", "text").mapInArrow(run, "item bigint, window int, key bigint")
 
 
-def _matched(found: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-    """(row, items) for the rows (row, text), searched for one block of the benchmark, which is broadcast."""
-    index = found.sparkSession.sparkContext.broadcast(benchmark_index(block))
+def _bitmap(keyed: DataFrame) -> np.ndarray:
+    """The bits of all keys. Parts are made one after the other on the executors; 256 rows of 16 KB come to the driver."""
+    size = 1 << (BITMAP_BITS - PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(size, bool)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
         for batch in batches:
-            held = pa.array(_search(batch.column("text"), index.value), pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("changed", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), held], ["row", "items"])
+            parts, keys = batch.column("part").to_numpy(), batch.column("key").to_numpy().astype(np.uint64)
+            cuts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(parts)], strict=True):
+                if parts[lo] != now:
+                    if now is not None:
+                        yield row()
+                    now = int(parts[lo])
+                    held[:] = False
+                held[_bits(keys[lo:hi]).ravel() & (size - 1)] = True
+        if now is not None:
+            yield row()
+
+    dealt = keyed.select(F.shiftrightunsigned("key", 64 - PART_BITS).cast("int").alias("part"), "key").repartition("part").sortWithinPartitions("part")
+    table = np.zeros((1 << PART_BITS, size // 8), np.uint8)
+    for made in dealt.mapInArrow(run, "part int, bits binary").toLocalIterator():
+        table[made["part"]] = np.frombuffer(made["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _passing(data: np.ndarray, at: np.ndarray, table: np.ndarray, kinds: list[int]) -> list[np.ndarray]:
+    """For each text the keys of its windows that the bitmap lets pass."""
+    t = templates(data, at)
+    texts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for kind in kinds:
+        size, plain = kind >> 1, bool(kind & 1)
+        tokens, first = (t.plain, t.plain_first) if plain else (t.seen, t.first)
+        own = windows(tokens, size)
+        if not len(own):
+            continue
+        own = _key(own, size, plain)
+        p = np.arange(len(own))
+        for bits in _bits(own):
+            p = p[(table[bits[p] >> 3] >> (bits[p] & 7).astype(np.uint8)) & 1 > 0]
+        text = np.searchsorted(first, p, "right") - 1
+        fits = p + size <= first[text + 1]
+        texts.append(text[fits])
+        keys.append(own[p[fits]])
+    texts, keys = np.concatenate(texts), np.concatenate(keys)
+    order = np.argsort(texts, kind="stable")
+    return [np.unique(part) for part in np.split(keys[order], np.searchsorted(texts[order], np.arange(1, len(at) - 1)))]
+
+
+def _matched(rows: DataFrame, items: DataFrame, place: str) -> DataFrame:
+    """(row, items) of the rows (row, text) that have a match, written below `place`; equal rows once."""
+    spark = rows.sparkSession
+    row_kind, item_kind = rows.schema["row"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    keyed = land(_item_keys(items), f"{place}/keys")
+    kinds = sorted(r["window"] for r in keyed.select("window").distinct().collect())  # sizes up to WINDOW
+    held = spark.sparkContext.broadcast(_bitmap(keyed))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = buffers(batch.column("text"))
+            keys, lo = [], 0
+            while lo < len(at) - 1:  # a few slices at a time
+                hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 2 * SLICE))), len(at) - 1)
+                keys += _passing(data, at[lo : hi + 1], held.value, kinds)
+                lo = hi
+            on = pa.array([len(k) > 0 for k in keys], pa.bool_())
+            found = pa.array([k.astype(np.int64) for k in keys if len(k)], pa.list_(pa.int64()))
+            kept = batch.filter(on)
+            yield pa.RecordBatch.from_arrays([kept.column("row"), kept.column("text"), found], ["row", "text", "keys"])
+
+    hits = land(rows.mapInArrow(look, f"row {row_kind}, text string, keys array<bigint>"), f"{place}/hits")
+    held.destroy()
+    keys = keyed.select("item", "key").distinct()
+    pairs = land(hits.select("row", F.explode("keys").alias("key")).join(sized(keys), "key").select("row", "item").distinct(), f"{place}/pairs")
+    # Items of a document are compared with it some at a time, so none meets an unbounded number in one row.
+    many = pairs.groupBy("row").agg(F.floor(F.count(F.lit(1)) / TOGETHER).alias("more"))
+    split = pairs.join(many, "row").withColumn("part", F.pmod(F.xxhash64("item"), F.col("more") + 1))
+    small = (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) <= BROADCAST_BYTES
+    lists = split.join(F.broadcast(items) if small else items, "item").groupBy("row", "part").agg(F.collect_list(F.struct("item_id", F.col("text").alias("said"))).alias("some"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("item_id", id_kind), ("coverage", pa.float64()), ("changed", pa.bool_())]))
+        for batch in batches:
+            out = []
+            for text, some in zip(batch.column("text"), batch.column("some").to_pylist(), strict=True):
+                data, at = buffers(pa.array([text.as_py()], pa.large_string()))
+                found = matches(benchmark_index([(x["item_id"], x["said"]) for x in some]), templates(data, at), data).get(0, [])
+                out.append([{"item_id": i, "coverage": c, "changed": ch} for i, c, ch in found])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], ["row", "items"])
+
+    id_kind = to_arrow_type(items.schema["item_id"].dataType)
+    compared = lists.join(hits.select("row", "text"), "row").select("row", "text", "some").mapInArrow(compare, f"row {row_kind}, items array<struct<item_id:{item_kind},coverage:double,changed:boolean>>")
+    found = compared.filter(F.size("items") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = land(found, f"{place}/found")
+    for part in ("keys", "hits", "pairs"):
+        remove(spark, f"{place}/{part}")
+    return found
+
+
+def _tables(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, str]:
+    """Rows (row, text) of the documents, the distinct items (item, item_id, text), and a folder."""
+    place = work_dir(docs.sparkSession, "decontamination")
+    # A row is told by its id and text; rows that agree in both have the same matches.
+    rows = docs.select(_row(doc_id, text).alias("row"), text_or_empty(text).alias("text"))
+    items = benchmark.filter("item_id is not null").select("item_id", text_or_empty().alias("text")).distinct()
+    return rows, land(items.withColumn("item", F.monotonically_increasing_id()), f"{place}/items"), place
 
-    return found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, {_FOUND}")
 
+def _row(doc_id: str, text: str):
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("hash"))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, contaminated, n_items, items, coverage, n_reparameterised.
 
     An item counts if aligned windows with consistent placeholders cover at least half of its template tokens, or 25 of
@@ -355,43 +461,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, doc
     items lists the ids, ascending, joined by a comma; coverage is the largest covered share (0 without items);
     n_reparameterised counts items whose placeholders have other values. Null and empty texts match nothing, nor do
     items with a null id or without letters and digits; repeated rows of either table count each on their own (repeated items once).
-    Empty tables give no matches. The search runs where the texts are; nothing is shuffled. Repeated ids in a benchmark
-    of several blocks are kept apart by block.
+    Empty tables give no matches.
     """
-    # A row is told by its id and text; rows that agree in both have the same matches.
-    found = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("hash")).alias("row"), text_or_empty(text).alias("text"))
-    blocks = benchmark_blocks(benchmark.filter("item_id is not null"), block)
-    rows = _matched(found, next(blocks, []))
-    for more in blocks:  # a further pass for each further block, of which only rows with a match are kept
-        hits = land(_matched(found, more).filter(F.size("items") > 0).distinct(), work_dir(docs.sparkSession, "block"))
-        both = rows.join(hits.select(F.col("row").alias("_row"), F.col("items").alias("_more")), F.col("row").eqNullSafe(F.col("_row")), "left")
-        rows = land(both.select("row", F.concat("items", F.coalesce("_more", F.array().cast(_FOUND.split(" ", 1)[1]))).alias("items")), work_dir(docs.sparkSession, "blocks"))
-    rows = rows.select(F.col("row.id").alias("doc_id"), "items")
+    rows, items, place = _tables(docs, benchmark, doc_id, text)
+    found = _matched(rows, items, place).select(F.col("row").alias("_row"), "items")
+    few = (found.agg(F.sum(F.size("items") + 2)).first()[0] or 0) <= BROADCAST_ROWS
+    rows = rows.select("row").join(F.broadcast(found) if few else found, F.col("row") == F.col("_row"), "left")
     ids = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item_id"])))
     return rows.select(
-        "doc_id",
-        (F.size("items") > 0).alias("contaminated"),
-        F.size(ids).alias("n_items"),
-        F.array_join(ids.cast("array<string>"), ",").alias("items"),
+        F.col("row.id").alias("doc_id"),
+        F.col("items").isNotNull().alias("contaminated"),
+        F.coalesce(F.size(ids), F.lit(0)).alias("n_items"),
+        F.coalesce(F.array_join(ids.cast("array<string>"), ","), F.lit("")).alias("items"),
         F.round(F.coalesce(F.array_max(F.transform("items", lambda x: x["coverage"])), F.lit(0.0)), 6).alias("coverage"),
-        F.size(F.filter("items", lambda x: x["changed"])).alias("n_reparameterised"),
+        F.coalesce(F.size(F.array_distinct(F.transform(F.filter("items", lambda x: x["changed"]), lambda x: x["item_id"]))), F.lit(0)).alias("n_reparameterised"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` without a match, with all their columns; matched where the rows are, so nothing is joined.
-
-    A benchmark of several blocks takes a pass for each; what a pass leaves is written to the shared folder.
-    """
-    spark, fields, left, passes = docs.sparkSession, docs.schema, docs, 0
-    for block in benchmark_blocks(benchmark.filter("item_id is not null")):
-        index = spark.sparkContext.broadcast(benchmark_index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [not x for x in _search(batch.column(fields.names.index(text)), index.value)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        left = (land(left, work_dir(spark, "passes")) if passes else left).mapInArrow(run, fields)
-        passes += 1
-    return left
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without a match, with all their columns."""
+    rows, items, place = _tables(docs, benchmark, doc_id, text)
+    found = _matched(rows, items, place).select(F.col("row").alias(fresh(docs, "_row")))
+    own = fresh(docs, "_own")
+    marked = docs.withColumn(own, _row(doc_id, text))
+    return marked.join(sized(found), F.col(own) == F.col(found.columns[0]), "left_anti").drop(own)
