@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spatialcc-"))
     return root.rstrip("/")
 
@@ -37,6 +40,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this run."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,11 +95,13 @@ def visit_once(docs: DataFrame, versions: DataFrame, wanted: DataFrame, doc_id:
     skip, or else of the rows to visit, are broadcast if a count shows that they are few; else the rows are shuffled
     by id.
     """
+    spark = docs.sparkSession
     chosen = versions.groupBy("digest").agg(F.min(doc_id).alias("_chosen")).join(wanted, "digest", "left_semi").withColumn("_wanted", F.lit(True))
+    chosen = land(chosen, work_dir(spark, "chosen"))  # so that the join below has no aggregate beside it and may split a digest's rows
     marked = versions.join(chosen, "digest", "left").select(
         F.col(doc_id).alias("_id"), (F.coalesce("_wanted", F.lit(False)) & F.col(doc_id).eqNullSafe(F.col("_chosen"))).alias("_visit")
     )
-    marked = land(marked, work_dir(docs.sparkSession, "visits"))
+    marked = land(marked, work_dir(spark, "visits"))
     counts = {row["_visit"]: row["count"] for row in marked.groupBy("_visit").count().collect()}
     visit = marked.filter("_visit").select("_id").distinct()
     others = marked.filter("not _visit").select(F.col("_id").alias("_other")).distinct()

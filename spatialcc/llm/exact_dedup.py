@@ -2,7 +2,8 @@
 
 A Structured Streaming aggregation keeps, in a RocksDB state store without expiry, for every content digest how often
 it was seen and the stable identifier and content locator of the row that stays. Hits (digests seen more than once)
-are then checked on their full bytes, so that a digest collision can't merge two texts. DataFrame functions only.
+are then checked on their full bytes, so that a digest collision can't merge two texts; of texts of earlier runs the
+bytes are read at the locator. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import BLANKS, content_digest, fresh, land, sized, text_or_empty, work_dir
+from spatialcc.llm.common import BLANKS, content_digest, fresh, land, names_in, sized, text_or_empty, work_dir
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -31,25 +32,23 @@ def normalised(text: Column) -> Column:
 
 
 def _rank() -> Column:
-    """What orders the rows of one text: the smallest doc_id, null ids last, then the row."""
-    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("locator").alias("locator"))
+    """What orders the rows of one text: the first run, in it the smallest doc_id, null ids last, then the row."""
+    return F.struct("run", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "locator")
 
 
 def update_state(spark: SparkSession, arrivals: str, schema, checkpoint: str) -> DataFrame:
-    """Run the stream over all files of `arrivals` that it hasn't seen and return the state: digest, n, keeper.
+    """Run the stream over all files below `arrivals` that it hasn't seen and return the state: digest, n, keeper.
 
-    With the same checkpoint, a later call takes only the files that have come since; the state never expires.
+    With the same checkpoint, a later call takes only the files that have come since; the state never expires. Its
+    settings hold for a session of the stream's own.
     """
-    before = {key: spark.conf.get(key, None) for key in _STATE}
-    for key, value in _STATE.items():
-        spark.conf.set(key, value)
-    try:
-        seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).parquet(arrivals)
-        state = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(_rank()).alias("keeper"))
-        state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    own = spark.newSession()
+    for key, value in (spark.conf.getAll | _STATE).items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    seen = own.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).parquet(f"{arrivals}/*")
+    state = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(_rank()).alias("keeper"))
+    state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     kept = spark.read.format("statestore").load(checkpoint)
     n, keeper = kept.schema["value"].dataType.names
     return kept.select(F.col("key")["digest"].alias("digest"), F.col("value")[n].alias("n"), F.col("value")[keeper].alias("keeper"))
@@ -61,44 +60,86 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Texts are equal when they are identical after replacing each run of ASCII white space by one space; null counts as
     empty, and empty texts equal each other. Of equal texts the row with the smallest doc_id stays; null ids come
     last. Of rows that repeat an id and its text exactly one stays. An empty table gives an empty result; extra columns
-    are ignored. `digest` is applied to the normalised text; collisions are found by comparing full texts. state_dir
-    keeps the stream's state between runs (rows of earlier runs then count as seen).
+    are ignored. `digest` is applied to the normalised text; collisions are found by comparing full texts.
+
+    state_dir is a folder that all machines share and that keeps the stream's state between runs. Rows of earlier runs
+    then count as seen: a text stays where it came first, group_size counts all runs so far, and the result has the rows
+    of this run. The folder keeps one copy of each distinct text, to which the state's locators point. One run uses the
+    folder at a time. Its state has as many partitions as spark.sql.shuffle.partitions says at the first run.
     """
     spark = docs.sparkSession
-    root = state_dir or work_dir(spark, "dedup")
-    source = docs.select(F.col(doc_id).alias("doc_id"), normalised(text_or_empty(text)).alias("text"))
+    root = state_dir.rstrip("/") if state_dir else work_dir(spark, "dedup")
+    run = max((int(x) for x in names_in(spark, f"{root}/arrivals")), default=-1) + 1
+    source = docs.select(F.col(doc_id).alias("doc_id"), normalised(text_or_empty(text)).alias("text")).withColumn("digest", digest(F.col("text")))
     arriving = docs.select(
         F.col(doc_id).alias("doc_id"),
+        F.lit(run).alias("run"),
         F.monotonically_increasing_id().alias("row"),
         digest(normalised(text_or_empty(text))).alias("digest"),
-        F.input_file_name().alias("locator"),
+        F.lit(f"content/{run}").alias("locator") if state_dir else F.input_file_name().alias("locator"),
     )
-    arrivals = work_dir(spark, "arrivals")
-    arrived = land(arriving, arrivals)
-    state = land(update_state(spark, arrivals, arrived.schema, f"{root}/state"), work_dir(spark, "state"))
-
-    hits = state.filter("n > 1").select("digest")
-    texts = source.select(digest(F.col("text")).alias("digest"), "text").join(sized(hits), "digest", "left_semi")
+    arrived = land(arriving, f"{root}/arrivals/{run}")
+    state = land(update_state(spark, f"{root}/arrivals", arrived.schema, f"{root}/state"), work_dir(spark, "state"))
+    if run:  # of the state only what this run has brought
+        state = state.join(arrived.select("digest").distinct(), "digest", "left_semi")
+
+    hits = sized(state.filter("n > 1").select("digest"))
+    texts = source.select("digest", "text").join(hits, "digest", "left_semi")
+    earlier = state.filter(F.col("keeper.run") < run)
+    for place in earlier.select("keeper.locator").distinct().collect() if run else []:  # one folder for each earlier run at most
+        texts = texts.unionByName(spark.read.schema(_CONTENT).parquet(f"{root}/{place[0]}").join(earlier, "digest", "left_semi"))
     # min = max over full texts says that all texts of a digest are the same bytes; it is combined before the shuffle.
-    collided = land(
-        texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("digest"),
-        work_dir(spark, "collided"),
-    )
+    several = texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("digest")
+    known = [f"{root}/collided/{x}" for x in names_in(spark, f"{root}/collided")]
+    if known:  # digests that stood for several texts before
+        several = several.union(spark.read.schema(_known(arrived)).parquet(*known).select("digest").join(state, "digest", "left_semi")).distinct()
+    collided = land(several, work_dir(spark, "collided"))
+    odd = not collided.isEmpty()
+    if state_dir:
+        new = state.filter(F.col("keeper.run") == run).select(F.col("digest").alias("_digest"), F.col("keeper.doc_id").alias("_id"))
+        new = new.join(collided, F.col("_digest") == F.col("digest"), "left_anti") if odd else new
+        first = source.join(sized(new), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        first.select("digest", "text").write.parquet(f"{root}/content/{run}")
     found = arrived.join(state, "digest").select(
-        "doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keeper.row")).alias("kept"), "digest"
+        "doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("run") == F.col("keeper.run")) & (F.col("row") == F.col("keeper.row"))).alias("kept"), "digest"
     )
-    if collided.isEmpty():
+    if not odd:
         return found
-    return found.join(collided, "digest", "left_anti").unionByName(_by_text(source, digest, collided))
+    return found.join(collided, "digest", "left_anti").unionByName(_by_text(source, arrived, state, collided, known, root, run, bool(state_dir)))
+
+
+_CONTENT = "digest binary, text string"
+
+
+def _known(arrived: DataFrame) -> str:
+    """The schema of what is kept on texts whose digest is another text's, too."""
+    kind = arrived.schema["doc_id"].dataType.simpleString()
+    return f"digest binary, text string, n bigint, keeper struct<run:int,unnamed:boolean,doc_id:{kind},row:bigint,locator:string>, run int"
 
 
-def _by_text(source: DataFrame, digest: Callable[[Column], Column], collided: DataFrame) -> DataFrame:
+def _by_text(source: DataFrame, arrived: DataFrame, state: DataFrame, collided: DataFrame, known: list[str], root: str, run: int, keep: bool) -> DataFrame:
     """Classes of the rows whose digest stands for several texts, by the texts themselves."""
-    rows = source.withColumn("digest", digest(F.col("text"))).join(collided, "digest", "left_semi")
-    rows = land(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("locator", F.lit("")), work_dir(source.sparkSession, "by-text"))
+    spark = source.sparkSession
+    rows = source.join(collided, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id())
+    rows = land(rows.withColumn("run", F.lit(run)).withColumn("locator", F.lit(f"collided/{run}")), work_dir(spark, "by-text"))
     classes = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.min(_rank()).alias("keeper"))
-    return rows.join(classes, ["digest", "text"]).select(
-        "doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keeper.row")).alias("kept"), "digest"
+    if run:
+        before = spark.createDataFrame([], _known(arrived))
+        if known:  # counts so far, of the latest run that brought the digest
+            log = spark.read.schema(_known(arrived)).parquet(*known).join(collided, "digest", "left_semi")
+            before = log.join(log.groupBy("digest").agg(F.max("run").alias("run")), ["digest", "run"], "left_semi")
+        # A digest that stood for one text until now: its text is at the locator, and all earlier rows had it.
+        here = arrived.join(collided, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("here"))
+        plain = state.filter(F.col("keeper.run") < run).join(here, "digest").join(before.select("digest").distinct(), "digest", "left_anti")
+        plain = land(plain.select("digest", (F.col("n") - F.col("here")).alias("n"), "keeper"), work_dir(spark, "plain"))
+        classes = classes.unionByName(before.select("digest", "text", "n", "keeper"))
+        for place in plain.select("keeper.locator").distinct().collect():
+            held = spark.read.schema(_CONTENT).parquet(f"{root}/{place[0]}").dropDuplicates(["digest"])
+            classes = classes.unionByName(held.join(plain.filter(F.col("keeper.locator") == place[0]), "digest").select("digest", "text", "n", "keeper"))
+        classes = classes.groupBy("digest", "text").agg(F.sum("n").alias("n"), F.min("keeper").alias("keeper"))
+    classes = land(classes.withColumn("run", F.lit(run)), f"{root}/collided/{run}" if keep else work_dir(spark, "classes"))
+    return rows.drop("run").join(classes, ["digest", "text"]).select(
+        "doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("keeper.run") == run) & (F.col("row") == F.col("keeper.row"))).alias("kept"), "digest"
     )
 
 

@@ -105,7 +105,9 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, doc_id: str = "doc_
     unseen = visit_once(docs, versions, wanted)
     found = unseen.select(content_digest(F.col("text")).alias("digest"), spans_of(F.col("text"), kinds).alias("spans")).dropDuplicates(["digest"])
     found.write.mode("append").parquet(place)
-    seen = spark.read.schema(schema).parquet(place).dropDuplicates(["digest"])  # a run that was cut short may have been repeated
+    # A run that was cut short may have been repeated. Landed, so that the join may split the rows of one digest.
+    seen = spark.read.schema(schema).parquet(place).join(versions.select("digest"), "digest", "left_semi") if ledger else spark.read.schema(schema).parquet(place)
+    seen = land(seen.dropDuplicates(["digest"]), work_dir(spark, "seen"))
     return versions.join(seen, "digest", "left").select("doc_id", "digest", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 
 
