@@ -3,7 +3,7 @@
 Turns are laid out in a template whose control strings can't appear in escaped texts. Prefix sums of turn tokens choose
 turn-aligned windows within a budget; each window keeps the system turn, repeats a limited history, and puts every
 assistant turn under the loss mask exactly once. Rows are streamed in order, so memory holds one window, not one
-conversation; long conversations are dealt out in chunks of turn numbers.
+conversation; long conversations are dealt out in chunks of rows.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spatialcc.llm.common import land, sized, work_dir
 from spatialcc.llm.token_counts import counter
 
 #: Tokens of a window, and of the history that it repeats. A turn that is larger than the budget has a window to itself.
 BUDGET, HISTORY = 1024, 256
-#: Turn numbers of a chunk: windows don't cross its edges, so one conversation can be formatted by many tasks.
+#: Rows of a chunk: windows don't cross its edges, so one conversation can be formatted by many tasks.
 CHUNK = 4096
-#: Turns at a chunk's end that the next chunk may repeat as history.
-CARRY = 16
 
 # The template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -76,7 +76,7 @@ class _Windows:
         """A turn of an earlier chunk: the system turn that opens the conversation, or history."""
         if opening:
             self.system = turn
-        else:
+        elif turn != self.system:  # the system turn stands before the history, not in it
             self.past.append(turn)
 
     def _fixed(self) -> int:
@@ -138,23 +138,17 @@ def format_chats(turns: DataFrame, path: str | None = None, budget: int = BUDGET
     The first n_repeated turns of a window repeat earlier ones: the system turn (a first turn of that role) and as
     many of the latest turns as the history's tokens allow. loss_from and loss_to are code points of the formatted
     window: the escaped texts of its new assistant turns. Texts are never cut: a turn beyond the budget has a window
-    of its own. Windows don't cross multiples of `chunk` in turn numbers. Extra columns are ignored; an empty table
-    gives no windows.
+    of its own. Conversations of more than `chunk` rows are cut after about every `chunk` rows, wherever their turn numbers
+    lie; rows of one turn number stay together. Windows don't cross the cuts, but repeat history across them like
+    anywhere else. Extra columns are ignored; an empty table gives no windows.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.floor(F.coalesce(F.col("turn").cast("bigint"), F.lit(0)) / chunk).alias("chunk"), F.lit(1).alias("new"),
+        F.lit(0).cast("bigint").alias("chunk"), F.lit(1).alias("new"),
     )
-    # What later chunks of long conversations repeat: the latest turns of the chunk before, and the system turn.
-    last = rows.filter(F.pmod(F.coalesce("turn", F.lit(0)), F.lit(chunk)) >= chunk - CARRY).withColumn("chunk", F.col("chunk") + 1)
-    later = rows.select("conv_id", "chunk").distinct()
-    carried = last.join(later, ["conv_id", "chunk"], "left_semi").withColumn("new", F.lit(0)).select(rows.columns)
-    beyond = later.groupBy("conv_id").agg(F.min("chunk").alias("_first"), F.max("chunk").alias("_last")).filter("_first < _last")
-    opening = rows.join(beyond.select("conv_id", F.col("_first").alias("chunk")), ["conv_id", "chunk"], "left_semi")
-    opening = opening.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("s")).filter("s.role = 'system'")
-    systems = later.join(opening, "conv_id").join(beyond, "conv_id").filter("chunk > _first").select("conv_id", F.col("s.turn").alias("turn"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), "chunk", F.lit(-1).alias("new"))
-    every = rows.unionByName(carried).unionByName(systems)
+    long = land(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select(F.col("conv_id").alias("_long")), work_dir(turns.sparkSession, "long"))
+    every = rows if long.isEmpty() else _in_chunks(rows, long, history, chunk)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Callable[[list[str]], list[int]] = counter(path) if path else lambda texts: [-(-len(x) // 4) for x in texts]
@@ -186,6 +180,37 @@ def format_chats(turns: DataFrame, path: str | None = None, budget: int = BUDGET
     return dealt.mapInPandas(run, _SCHEMA.format(kind=kind))
 
 
+def _in_chunks(rows: DataFrame, long: DataFrame, history: int, chunk: int) -> DataFrame:
+    """The rows with those of long conversations in chunks, and what later chunks may repeat of earlier ones.
+
+    A turn's place is the number of rows before it in its conversation: counts of turns are dealt by range, summed in
+    each range and over the ranges, so that no task needs a conversation's rows together. A turn costs a token at
+    least, so `history` rows before a cut are all that can be repeated after it.
+    """
+    spark, place = rows.sparkSession, work_dir(rows.sparkSession, "places")
+    same = lambda a, b: a["conv_id"].eqNullSafe(b["_conv"])
+    members = lambda how: rows.join(sized(long), rows["conv_id"].eqNullSafe(F.col("_long")), how)
+    counts = members("left_semi").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    ranged = land(counts.repartitionByRange("conv_id", "turn").withColumn("part", F.spark_partition_id()), f"{place}/ranged")
+    parts = ranged.groupBy(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")).agg(F.sum("n").alias("sum"))
+    before = F.sum("sum").over(W.partitionBy("_conv").orderBy("_part")) - F.col("sum")
+    starts = ranged.join(parts.select("_conv", "_part", before.alias("before")), same(ranged, parts) & (F.col("part") == F.col("_part")))
+    inside = F.sum("n").over(W.partitionBy("conv_id", "part").orderBy("turn")) - F.col("n")
+    at = starts.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "n", (F.col("before") + inside).alias("start"))
+    first, last = F.floor(F.col("start") / chunk), F.floor((F.col("start") + F.col("n") + history - 1) / chunk)
+    at = land(at.select("_conv", "_turn", first.alias("_chunk"), F.when(last > first, F.sequence(first + 1, last)).alias("_later")), f"{place}/at")
+    placed = members("left_semi").join(at, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")))
+    own = placed.withColumn("chunk", F.col("_chunk")).select(rows.columns)
+    carried = placed.filter("_later is not null").withColumn("chunk", F.explode("_later")).withColumn("new", F.lit(0)).select(rows.columns)
+    # Only chunks that have rows of their own repeat anything. Their number is the rows' over `chunk`.
+    chunks = land(at.select(F.col("_conv"), F.col("_chunk")).distinct(), f"{place}/chunks")
+    carried = carried.join(chunks, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")), "left_semi")
+    opening = own.filter("chunk = 0").groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("s")).filter("s.role = 'system'")
+    systems = opening.join(chunks.filter("_chunk > 0"), F.col("conv_id").eqNullSafe(F.col("_conv")))
+    systems = systems.select("conv_id", F.col("s.turn").alias("turn"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), F.col("_chunk").alias("chunk"), F.lit(-1).alias("new"))
+    return members("left_anti").unionByName(own).unionByName(carried).unionByName(systems)
+
+
 def read_back(windows: DataFrame) -> DataFrame:
     """The contract's digests, from formatted windows alone: a stream over the windows of a conversation in order.
 
