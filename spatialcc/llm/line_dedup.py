@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialcc.llm.common import BROADCAST_ROWS, fresh, land, sized, text_or_empty, work_dir
+from spatialcc.llm.common import fresh, land, sized, text_or_empty, work_dir
 
 #: A line on at least this many sites is boilerplate.
 MIN_SITES = 6
@@ -17,6 +17,8 @@ MIN_SITES = 6
 LOG_REGISTERS = 12
 #: Estimates within this share of the threshold get an exact count; about 15 standard errors.
 NEAR = 0.25
+#: Bad lines of all documents together (16 bytes each, and three more for each document) up to which they are broadcast.
+BROADCAST_LINES = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -34,18 +36,18 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), line_key), lambda x: x != "")
 
 
-def _sites(docs: DataFrame, text: str, source: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(F.transform(_lines(text_or_empty(text)), line_hash))).alias("line")
-    )
+def line_sites(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(_id, site, lines): the site and the distinct lines (hashes) of each row, written once, so that texts are split once."""
+    lines = F.array_distinct(F.transform(_lines(text_or_empty(text)), line_hash))
+    return land(docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("site"), lines.alias("lines")), work_dir(docs.sparkSession, "lines"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", source: str = "source") -> DataFrame:
-    """Lines (hashes) on at least min_sites sites, with the estimated and, near the threshold, the exact count."""
-    spark = docs.sparkSession
-    sites = _sites(docs, text, source)
+def spread_lines(held: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Lines (hashes) on at least min_sites sites, with the estimated and, near the threshold, the exact count; `held`: line_sites()."""
+    spark = held.sparkSession
+    sites = held.select("site", F.explode("lines").alias("line"))
     # A line on n sites is in n documents at least: most lines go before any sketch is made.
-    often = land(sites.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line"), work_dir(spark, "lines"))
+    often = land(sites.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line"), work_dir(spark, "often"))
     seen = sites.join(sized(often), "line", "left_semi")
     sketches = seen.groupBy("line").agg(F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"))
     estimated = land(sketches.select("line", F.hll_sketch_estimate("sketch").alias("estimate")), work_dir(spark, "spread"))
@@ -62,13 +64,15 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str =
     an id are all cleaned. If every line goes, the text is empty. Extra columns stay; n_lines and n_removed are replaced.
     """
     spark = docs.sparkSession
-    spread = land(spread_lines(docs, min_sites, text, source).select("line"), work_dir(spark, "boilerplate"))
-    named = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text"))
-    held = named.select("_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), line_hash))).alias("line")).join(sized(spread), "line", "left_semi")
+    lined = line_sites(docs, doc_id, text, source)
+    spread = land(spread_lines(lined, min_sites).select("line"), work_dir(spark, "boilerplate"))
+    held = lined.select("_id", F.explode("lines").alias("line")).join(sized(spread), "line", "left_semi")
     held = land(held.groupBy("_id").agg(F.collect_set("line").alias("_bad")), work_dir(spark, "held"))
     key, bad, left = fresh(docs, "_id"), fresh(docs, "_bad"), fresh(docs, "_left")
-    held = sized(held.select(F.col("_id").alias(key), F.col("_bad").alias(bad)), BROADCAST_ROWS // 4)
-    both = docs.join(held, docs[doc_id].eqNullSafe(held[key]), "left")
+    # A row holds all bad lines of its document: what is broadcast is bounded by their number, not the rows'.
+    size = held.agg(F.sum(F.size("_bad") + 3)).first()[0] or 0
+    held = held.select(F.col("_id").alias(key), F.col("_bad").alias(bad))
+    both = docs.join(F.broadcast(held) if size <= BROADCAST_LINES else held, docs[doc_id].eqNullSafe(held[key]), "left")
     lines = F.split(text_or_empty(text), "\n")
     kept = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(bad, line_hash(line_key(x)))))
     return (
