@@ -43,6 +43,7 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc_grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2_notice",
     "spdx license identifier mit": "mit_notice",
     "spdx license identifier apache 2 0": "apache2_notice",
@@ -73,6 +74,8 @@ RULES = [
 KEYWORDS = "licen[sc]e|copyright|permission|redistribut|warrant|rights|spdx"
 #: Where a sentence ends: marks followed by white space or the text's end. It may also begin and end with a line.
 SENTENCE_END, STOP = r"[.!?]+(?=[\x20\x09-\x0D]|\z)", "\x01"
+#: The point of a version ("v. 2.0") ends no sentence.
+VERSION_POINT = r"([^A-Za-z0-9][Vv](?:er|ers)?)\.([\x20\x09-\x0D]+[0-9])"
 #: What isn't of a wrapped sentence at a line's start, beside marks without letters and digits.
 LIST_MARK = r"(?:\A|\n)[^A-Za-z0-9\n\x01]*(?:[0-9]{1,2}\)|[A-Za-z]\)|[ivxIVX]{2,4}\)|(?:dnl|rem|REM)[\x20\x09])"
 
@@ -95,12 +98,14 @@ def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Colum
     if not longest:
         return F.lit("")
     # A line feed stays as a mark: a sentence may begin and end at it, and may run over it.
-    marked = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, STOP), LIST_MARK, "\n")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, VERSION_POINT, "$1 $2"), SENTENCE_END, STOP), LIST_MARK, "\n")
     plain = F.lower(F.regexp_replace(F.regexp_replace(marked, f"[^A-Za-z0-9\n{STOP}]+", " "), " ?([\n\\x01])[\n ]*", "$1"))
     whole = rf"(?<=\A ?|[\n{STOP}])(?:" + "|".join(k.replace(" ", "[ \n]") for k in longest) + rf")(?= ?\z|[\n{STOP}])"
     found = F.transform(F.regexp_extract_all(plain, F.lit(whole), F.lit(0)), lambda s: F.translate(s, "\n", " "))
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     ids = F.transform(found, lambda s: F.concat(F.element_at(lookup, s), F.lit(" ")))
+    if not all(re.search(KEYWORDS, k) for k in longest):  # sentences of the caller's own
+        return F.array_join(ids, "")
     return F.when(text.rlike(_any_case(KEYWORDS)), F.array_join(ids, "")).otherwise(F.lit(""))
 
 
@@ -110,7 +115,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str]
     Adds sentence_seq (identifiers in order), n_sentences, licenses (names in rule order, joined by a comma),
     n_licenses, primary_license (of the first rule that matched, null if none) and unclaimed (known sentences that no
     rule took). Null and empty texts have no sentences. Repeated rows are scanned each on its own. A column of `docs`
-    with one of the added names is replaced. Custom sentences must contain one of KEYWORDS.
+    with one of the added names is replaced.
     """
     seq, names, left = F.col("sentence_seq"), [], fresh(docs, "_left")
     df = docs.withColumn("sentence_seq", sentence_ids(text_or_empty(text), sentences)).withColumn(left, seq)
@@ -153,7 +158,7 @@ def oracle() -> str:
     return rf"""
 WITH cut AS (
   SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '{_any_case(KEYWORDS)}')
-    THEN string_split(regexp_replace(coalesce(text, ''), '[.!?]+([\x20\x09-\x0D]|\z)|\n', chr(10), 'g'), chr(10)) ELSE [] END AS cut FROM documents),
+    THEN string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{VERSION_POINT}', '\1 \2', 'g'), '[.!?]+([\x20\x09-\x0D]|\z)|\n', chr(10), 'g'), chr(10)) ELSE [] END AS cut FROM documents),
 plain AS (SELECT doc_id, list_transform(cut, lambda s: trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))) AS p FROM cut),
 found AS (SELECT doc_id, list_transform(list_filter(p, lambda s: s IN ({known})), lambda s: ({ids})[s]) AS f FROM plain),
 s0 AS (SELECT doc_id, coalesce(array_to_string(f, ' '), '') AS sentence_seq, len(f)::INT AS n_sentences,
