@@ -11,7 +11,9 @@ import pytest
 
 from spatialcc.llm import chat, decontaminate, mixing, ngram_join, quality, token_counts, wordhash
 from spatialcc.llm.components import components
-from spatialcc.llm.queries import TOKENIZER
+from spatialcc.llm.queries import tokenizer
+
+TOKENIZER = tokenizer()
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id bigint, shingle string, digest int"
 
@@ -82,6 +84,14 @@ def test_near_copies_equal_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_near_copies_with_other_ids(spark):
+    rows = near_rows(1)[:60]
+    named = spark.createDataFrame([(f"d{i:05}", t) for i, t in rows], "doc_id string, text string")
+    found = ngram_join.near_duplicates(named).collect()
+    want = sorted((f"d{i:05}", n, f"d{c:05}") for i, n, c in brute_components(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+
+
 def test_near_copies_of_nothing_and_rows_that_stay(spark):
     assert ngram_join.near_duplicates(table(spark, [])).count() == 0
     rows = near_rows(3) + ODD
@@ -112,10 +122,11 @@ def test_prefix_length_is_enough():
                 assert n - ngram_join.prefix_length(n) < need and m - ngram_join.prefix_length(m) < need
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_components(spark, small):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), small=small).collect()}
     near = {}
     for a, b in edges:
         if a != b:
@@ -173,25 +184,92 @@ def test_quality(spark):
     assert empty.count() == 0
 
 
+def weights_of_labellings(score, edge):
+    """Every labelling of one chain with its weight."""
+    n = len(score)
+    for bits in range(2**n):
+        y = [(bits >> k) & 1 for k in range(n)]
+        yield y, math.exp(sum(score[k] * y[k] for k in range(n)) + sum(edge[y[k], y[k + 1]] for k in range(n - 1)))
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     first = np.array([0, 4, 5, 8])
     score, edge = rng.normal(size=8), rng.normal(size=(2, 2))
     got = quality.marginals(score, edge, first)
     for a, b in zip(first[:-1], first[1:], strict=True):
-        n, total, good = b - a, 0.0, np.zeros(b - a)
-        for bits in range(2**n):
-            y = [(bits >> k) & 1 for k in range(n)]
-            w = math.exp(sum(score[a + k] * y[k] for k in range(n)) + sum(edge[y[k], y[k + 1]] for k in range(n - 1)))
-            total += w
-            good += w * np.array(y)
-        assert np.allclose(got[a:b], good / total)
+        every = list(weights_of_labellings(score[a:b], edge))
+        good = sum(w * np.array(y) for y, w in every)
+        assert np.allclose(got[a:b], good / sum(w for _, w in every))
+
+
+def test_likelihood_and_its_gradient():
+    rng = np.random.default_rng(2)
+    first, y = np.array([0, 4, 5, 8]), rng.integers(0, 2, 8)
+    score, edge = rng.normal(size=8), rng.normal(size=(2, 2))
+
+    def brute(score, edge):
+        total = 0.0
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            every = {tuple(k): w for k, w in weights_of_labellings(score[a:b], edge)}
+            total += math.log(sum(every.values())) - math.log(every[tuple(y[a:b])])
+        return total
+
+    said, by_node, by_edge = quality.likelihood(score, edge, first, y)
+    assert said == pytest.approx(brute(score, edge))
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        assert by_node[k] == pytest.approx((brute(score + step, edge) - brute(score - step, edge)) / 2e-5, abs=1e-6)
+    for k in range(4):
+        step = np.eye(4)[k].reshape(2, 2) * 1e-5
+        assert by_edge.ravel()[k] == pytest.approx((brute(score, edge + step) - brute(score, edge - step)) / 2e-5, abs=1e-6)
+
+
+def brute_line(text):
+    """The features of a line, one character at a time."""
+    raw = text.encode()
+    kind = lambda c: chr(c) if c < 128 else "é"
+    is_letter = lambda c: c.isalpha() or c == "é"
+    stop, shout, markup = set(".,;:"), set("!?"), set("<>{}[]|\\/=_")
+    chars = [kind(c) for c in raw]
+    symbol = lambda c: 33 <= ord(c) < 127 and not (c.isalnum() or c in stop | shout | markup)
+    n = lambda f: sum(1 for c in chars if f(c))
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    low = [w.lower() for w in words]
+    solid, per = max(n(lambda c: c not in " \t\n\v\f\r"), 1), max(len(words), 1)
+    return [
+        n(lambda c: "A" <= c <= "Z") / max(n(is_letter), 1), n(is_letter) / solid, n(str.isdigit) / solid,
+        *(min(n(lambda c, s=s: c in s) / per, 2) for s in (stop, shout, markup)), min(n(symbol) / per, 2),
+        sum(a == b for a, b in zip(low, low[1:], strict=False)) / per, len(set(low)) / per,
+        sum(symbol(kind(w[-1])) or kind(w[-1]) in shout | markup for w in words) / per,
+        sum(min(len(w) / 12, 5) for w in words) / per, math.log1p(len(words)) / 5, math.log1p(len(raw)) / 8, float(not words),
+    ]
+
+
+def test_document_scores_equal_brute_force():
+    rng = np.random.default_rng(4)
+    field = quality.Field(rng.normal(size=3 * quality.OWN + 3), rng.normal(size=(2, 2)), 1.3, -0.2)
+    texts = ["", "one", "A b b B!\n\n<x> $$$ 12, é\tend?", "x\n", "\n", " a|b = c.  d \r\nE;", "w " * 40 + "\nq_r"]
+    got = quality.scores(field, pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        lines = text.split("\n")
+        own = [brute_line(t + ("\n" if k < len(lines) - 1 else "")) for k, t in enumerate(lines)]
+        zero = [0.0] * quality.OWN
+        nodes = []
+        for k, line in enumerate(own):
+            near = line + (own[k - 1] if k else zero) + (own[k + 1] if k + 1 < len(own) else zero)
+            nodes.append(np.dot(field.node, near + [float(k == 0), float(k == len(own) - 1), 1.0]))
+        every = list(weights_of_labellings(nodes, field.edge))
+        good = sum(w * np.array(y) for y, w in every) / sum(w for _, w in every)
+        size = np.array([len((t + ("\n" if k < len(lines) - 1 else "")).encode()) for k, t in enumerate(lines)], float)
+        raw = np.clip(np.average(good, weights=size if size.sum() else None), 1e-4, 1 - 1e-4)
+        assert score == pytest.approx(1 / (1 + math.exp(-(field.scale * math.log(raw / (1 - raw)) + field.shift))))
 
 
 # Decontamination
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = np.random.default_rng(3)
     item = words(rng, 30)
     question = "Alice has 12 apples and gives 5 kg of them to Bob, then Alice buys 12 more pears for the party today."
@@ -205,8 +283,9 @@ def test_decontamination(spark):
         (6, question + " " + item),
         *ODD,
     ]
-    for block in (1_000_000, 10):
-        found = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench, block).collect() if r.doc_id is not None}
+    for together in (decontaminate.TOGETHER, 1):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        found = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench).collect() if r.doc_id is not None}
         assert {k: r["items"] for k, r in found.items() if r.contaminated} == {1: "1", 2: "2", 6: "1,2"}
         assert found[2].n_reparameterised and not found[1].n_reparameterised
     left = decontaminate.drop_contaminated(table(spark, rows), bench)
@@ -228,14 +307,53 @@ def test_decontamination_finds_copies_without_templates(spark):
         (21, "what is, love"), (22, "13 + 4 and 3 4"), (23, "What are The Capitals Of France"), (24, "12 + 35 * 8 = 292, 7 + 9 - 4 = 12"),
         (25, "法国的首都在哪儿？它有很多桥"), (26, "London is the king"), (27, "Q: Can Alice have 12 plums in her box"), *ODD,
     ]
-    for block in (1_000_000, 10):
-        found = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench, block).collect() if r.doc_id is not None}
-        assert {k: r["items"] for k, r in found.items() if r.contaminated} == {**{i: str(i) for i in range(1, len(items) + 1)}, 11: "7", 12: "7"}
-        assert all(found[i].coverage == 1 and not found[i].n_reparameterised for i in range(1, len(items) + 1)) and found[11].n_reparameterised == 1
+    found = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench).collect() if r.doc_id is not None}
+    assert {k: r["items"] for k, r in found.items() if r.contaminated} == {**{i: str(i) for i in range(1, len(items) + 1)}, 11: "7", 12: "7"}
+    assert all(found[i].coverage == 1 and not found[i].n_reparameterised for i in range(1, len(items) + 1)) and found[11].n_reparameterised == 1
     left = decontaminate.drop_contaminated(table(spark, rows), bench)
     assert sorted(r.doc_id for r in left.collect() if 0 < (r.doc_id or 0) < 900) == list(range(21, 28))
 
 
+def questions(rng, n):
+    """Word problems with slots, and how they read with some values."""
+    names, units, things = ["Alice", "Bob", "Carol", "Dave", "Erin", "Frank"], ["kg", "miles", "hours", "dollars"], ["apples", "pears", "books", "coins", "stamps"]
+    forms = [
+        "On Monday {a} had {x} {t} and gave {y} of them to {b} before the {f} fair. How many {t} does {a} have left?",
+        "A train with {x} {t} goes {y} {u} while {a} and {b} wait {z} {u} for the {f} ship. What did {a} pay for it?",
+        "If {a} buys {x} {u} of {t} at the {f} shop and {b} buys {y} {u} more of the same {t}, how much do they carry home together?",
+        "Every {f} morning {a} puts {x} {t} into a box that {b} empties after {y} {u}; after {z} {u} the box holds how many {t}?",
+    ]
+    for k in range(n):
+        form, t, f = forms[k % len(forms)], things[k % len(things)], words(rng, 1)
+        fill = lambda: form.format(t=t, f=f, u=rng.choice(units), **dict(zip("ab", rng.choice(names, 2, replace=False))), **dict(zip("xyz", rng.choice(np.arange(2, 99), 3, replace=False))))  # noqa: B023, E731
+        yield fill(), fill()
+
+
+def test_reparameterised_questions_are_found(spark):
+    rng = np.random.default_rng(12)
+    both = list(questions(rng, 60))
+    bench = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(both)], "item_id bigint, text string")
+    rows = [(i, f"{words(rng, 30)}. {b} {words(rng, 30)}") for i, (_, b) in enumerate(both)] + [(1000 + i, words(rng, 200)) for i in range(40)]
+    found = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench).collect()}
+    caught = [str(i) in found[i]["items"].split(",") and found[i].n_reparameterised > 0 for i in range(len(both))]
+    assert np.mean(caught) >= 0.9
+    assert not any(found[1000 + i].contaminated for i in range(40))
+
+
+def test_every_window_of_an_item_passes_the_bitmap(spark):
+    """Candidates of the join equal those of comparing every text with every item."""
+    rng = np.random.default_rng(13)
+    items = [a for a, _ in questions(rng, 8)] + [words(rng, k) for k in (1, 2, 3, 4, 7, 8, 30)] + ["12 + 35 * 7 = 257", "法国的首都是哪里？它有12座桥吗"]
+    texts = [f"{words(rng, 10)} {t} {words(rng, 10)}" for t in items] + [b for _, b in questions(rng, 8)] + [t for _, t in ODD] + [" ".join(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.contamination(table(spark, list(enumerate(texts))), bench).collect()}
+    index = decontaminate.benchmark_index(list(enumerate(items)))
+    for i, text in enumerate(texts):
+        data, at = wordhash.buffers(pa.array([text or ""], pa.large_string()))
+        want = sorted(k for k, *_ in decontaminate.matches(index, decontaminate.templates(data, at), data).get(0, []))
+        assert got[i] == ",".join(map(str, want))
+
+
 def test_one_conflict_does_not_hide_a_copy():
     rng = np.random.default_rng(8)
     parts = [words(rng, 15) for _ in range(4)]
@@ -282,6 +400,33 @@ def conversations():
     return rows
 
 
+def brute_windows(said, budget, history, chunk):
+    """Windows of one conversation by plain lists: (repeated turns, new turns), cut after about every `chunk` rows."""
+    size = lambda t: -(-len(chat.layout(*t)[0]) // 4)
+    turns = [(role, text) for *_, role, text in said]
+    system = turns[0] if turns[0][0] == "system" else None
+    cuts = [0]
+    for k in range(1, len(said)):
+        if said[k][:2] != said[k - 1][:2]:  # another turn number
+            if len(said) > chunk and k // chunk != cuts[-1] // chunk:
+                cuts.append(k)
+    out, lo = [], 0
+    while lo < len(turns):
+        end = min([c for c in cuts if c > lo], default=len(turns))
+        fixed = size(system) if system else 0
+        room, k = min(history, budget - fixed - size(turns[lo])), lo
+        while k - 1 >= (1 if system else 0) and sum(map(size, turns[k - 1 : lo])) <= room:
+            k -= 1
+        total, hi = (fixed if lo or not system else 0) + sum(map(size, turns[k:lo])) + size(turns[lo]), lo + 1
+        while hi < end and total + size(turns[hi]) <= budget:
+            total += size(turns[hi])
+            hi += 1
+        out.append(([system] if system and lo else []) + turns[k:lo])
+        out[-1] = (out[-1], turns[lo:hi])
+        lo = hi
+    return out
+
+
 @pytest.mark.parametrize("chunk", [chat.CHUNK, 7])
 def test_chat_round_trip(spark, chunk):
     rows = conversations()
@@ -299,14 +444,26 @@ def test_chat_round_trip(spark, chunk):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for *_, role, text in said).encode()).hexdigest()
         loss = "".join(text for *_, role, text in said if role == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for w in windows.collect():
+    shown = {}
+    for w in sorted(windows.collect(), key=lambda w: (w.chunk, w.window)):
         parts = chat.turns_of(w.formatted)
         assert w.n_tokens <= 150 or len(parts) - w.n_repeated == 1
-        if w.conv_id in (1, 3, 5) and (w.window or w.chunk):
-            assert parts[0][0] == "system" and w.n_repeated >= 1
+        shown.setdefault(w.conv_id, []).append((parts[: w.n_repeated], parts[w.n_repeated :]))
+    assert shown == {c: brute_windows(said, 150, 40, chunk) for c, said in by.items()}
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_turn_numbers_far_apart_change_no_window(spark):
+    rows = [(c, t, "system" if t == 0 else ("user" if t % 2 else "assistant"), f"turn {t} of it") for c in (1, None) for t in range(30)]
+    shown = []
+    for far in (1, 5000):
+        turns = spark.createDataFrame([(c, t * far, role, text) for c, t, role, text in rows], "conv_id bigint, turn bigint, role string, text string")
+        windows = chat.format_chats(turns, budget=90, history=30, chunk=8).collect()
+        shown.append(sorted((w.conv_id or 0, w.chunk, w.window, w.formatted, w.n_repeated) for w in windows))
+    assert shown[0] == shown[1]
+    assert all(n >= 2 for _, chunk, window, _, n in shown[0] if chunk or window)  # the system turn and history, across cuts too
+
+
 # Mixing
 
 
@@ -327,16 +484,53 @@ def test_rates_are_least_squares(spark):
     p = rng.dirichlet([0.3] * 4, 200)
     n = rng.integers(1, 50, 200)
     members = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(200)], "doc_id bigint, n_tokens bigint, p array<double>")
-    for shares in ([0.7, 0.1, 0.1, 0.1], [0.97, 0.01, 0.01, 0.01], [1.0, 0.0, 0.0, 0.0]):
+    for shares, looks in (([0.7, 0.1, 0.1, 0.1], 30), ([1.0, 0.0, 0.0, 0.0], 12)):
         want = np.array(shares) * n.sum()
-        steps = mixing.fit_rates(members, want)
-        rate = np.maximum(0, 1 - p @ steps)
+        fit = mixing.fit_rates(members, want, looks, written=2)
+        rate = np.array([r.rate for r in fit.members.orderBy("doc_id").collect()])
         gap = ((p * (n * rate)[:, None]).sum(0) - want) / n.sum()
         brute = np.ones(200)  # plain projected gradient, many steps
         for _ in range(4000):
             brute = np.maximum(0, brute - 0.5 * p @ (((p * (n * brute)[:, None]).sum(0) - want) / n.sum()))
         rest = ((p * (n * brute)[:, None]).sum(0) - want) / n.sum()
-        assert (gap**2).sum() <= (rest**2).sum() + 1e-6
+        start = ((p * n[:, None]).sum(0) - want) / n.sum()
+        # What can't be reached is approached slowly, and the result says that it isn't reached.
+        assert (rate >= 0).all() and (gap**2).sum() <= (rest**2).sum() + (1e-9 if shares[0] < 1 else 0.02 * (start**2).sum())
+        assert fit.residual == pytest.approx(np.abs(gap).max(), abs=1e-9) and fit.converged == (shares[0] < 1)
+
+
+def test_a_target_out_of_reach_is_said(spark):
+    members = spark.createDataFrame([(i, 5, [0.5, 0.5, 0.0, 0.0]) for i in range(20)], "doc_id bigint, n_tokens bigint, p array<double>")
+    fit = mixing.fit_rates(members, np.array([50.0, 0.0, 50.0, 0.0]))
+    assert not fit.converged and fit.residual == pytest.approx(0.5, abs=1e-3)
+
+
+def test_domains_of_held_out_rows(spark):
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(500):
+        toxic, junk = rng.random() < 0.2, rng.random() < 0.2
+        said = words(rng, 150).split()
+        if toxic:
+            said[10::40] = ["vile"] * len(said[10::40])
+        text = " ".join(said)
+        rows.append((i, text.upper().replace(" ", "!! ") if junk else text))
+        labels.append((i, int(not junk), int(toxic)))
+    learned = spark.createDataFrame(labels[:300], "doc_id bigint, quality int, toxic int")
+    model = mixing.train(table(spark, rows), learned)
+    p, _ = mixing.posteriors(model, pa.array([t for _, t in rows[300:]]))
+    truth = np.array([(0 if q else 2) + x for _, q, x in labels[300:]])
+    for k in (0, 1, 2):
+        assert np.mean(p.argmax(1)[truth == k] == k) > 0.8
+
+
+def test_tokens_of_a_mixture(spark):
+    rows, labels = quality_rows(30, 4)
+    held = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    out = mixing.mix(table(spark, rows + ODD), held, tokenizer=TOKENIZER).collect()
+    count = token_counts.counter(TOKENIZER)
+    want = sorted(count([t or "" for _, t in rows + ODD]))
+    assert sorted(r.n_tokens for r in out) == want and len({(r.residual, r.converged) for r in out}) == 1
 
 
 # Token counts

@@ -81,17 +81,49 @@ IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
 
 
+GPL2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+CC = """This work is licensed under a
+Creative Commons Attribution 4.0 International License."""
+NOTICES = {
+    APACHE: ("Apache-2.0", "apache2_notice apache2_link"), BSD: ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"), BSD3: ("BSD-3-Clause", "bsd_grant bsd_source bsd_binary bsd_endorse"),
+    GPL: ("GPL-3.0", "gpl3_grant"), GPL2: ("GPL-2.0", "gpl2_grant"), MIT: ("MIT", "mit_title mit_grant mit_condition mit_warranty"), ISC: ("ISC", "isc_grant"), MPL: ("MPL-2.0", "mpl2_notice"), CC: ("CC-BY-4.0", "ccby4_notice"),
+}
+
+
+def test_notices_without_a_sentence(spark):
+    """A notice whose known sentence is broken by a word in its middle declares nothing by that sentence."""
+    broken = [re.sub(r"(?i)(is free software|in source and binary forms|to use, copy|subject to the terms|licensed under|except in compliance)", r"\1 zebra", t) for t in NOTICES if t != MIT]
+    found = licenses.scan_licenses(table(spark, [(i, t, "s") for i, t in enumerate(broken)])).collect()
+    assert all(r.licenses == "" for r in found)
+    own = licenses.scan_licenses(table(spark, [(1, "Take it. It is yours.\nBye", "s")]), sentences={"it is yours": "gift"}, rules=[("Gift", "gift ")]).first()
+    assert (own.licenses, own.sentence_seq) == ("Gift", "gift")
+
+
 def test_published_licences(spark):
     want = {
-        APACHE: ("Apache-2.0", "apache2_notice apache2_link"), BSD: ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"),
-        GPL: ("GPL-3.0", "gpl3_grant"), MIT: ("MIT", "mit_title mit_grant mit_condition mit_warranty"),
+        **NOTICES,
         BSD.replace("1. ", "a) ").replace("2. ", "(b) "): ("BSD-2-Clause", "bsd_grant bsd_source bsd_binary"),
         "Terms:\nAll rights\nreserved, says\nthe MIT\nLicense": ("MIT", "mit_title"),
         "Released under the MIT License": ("MIT", "mit_notice"), " MIT License ": ("MIT", "mit_title"), "not the MIT License": ("", ""),
     }
     for mark in ("// ", "# ", " * ", "dnl "):
-        want |= {"\n".join(mark + line for line in t.split("\n")): want[t] for t in (APACHE, BSD, GPL, MIT)}
-        want |= {"\r\n".join(mark + line for line in t.split("\n")): want[t] for t in (APACHE, BSD, GPL, MIT)}
+        want |= {"\n".join(mark + line for line in t.split("\n")): want[t] for t in NOTICES}
+        want |= {"\r\n".join(mark + line for line in t.split("\n")): want[t] for t in NOTICES}
     found = licenses.scan_licenses(table(spark, [(i, t, "s") for i, t in enumerate(want)])).collect()
     assert {r.text: (r.licenses, r.sentence_seq) for r in found} == want
     assert all(r.unclaimed == 0 and r.n_sentences == len(r.sentence_seq.split()) for r in found)
@@ -178,16 +210,30 @@ def test_dedup_of_nothing_and_rows_that_stay(spark):
     assert sorted(norm(r.text) for r in left.collect()) == sorted(groups)
 
 
-def test_state_outlives_a_run(spark, tmp_path):
-    from spatialcc.llm.common import land
-
-    arrivals, state = f"file://{tmp_path}/arrivals", f"file://{tmp_path}/state"
-    row = lambda i: spark.range(1).select(F.lit(i).cast("bigint").alias("doc_id"), F.lit(i).cast("bigint").alias("row"), F.lit(b"k").alias("digest"), F.lit("f").alias("locator"))
-    first = land(row(5), arrivals)
-    exact_dedup.update_state(spark, arrivals, first.schema, state)
-    row(3).write.mode("append").parquet(arrivals)
-    kept = exact_dedup.update_state(spark, arrivals, first.schema, state).collect()
-    assert [(r.n, r.keeper.doc_id) for r in kept] == [(2, 3)]
+@pytest.mark.parametrize("weak", [False, True])
+def test_state_outlives_runs(spark, tmp_path, weak):
+    """Three runs with one state: copies across runs, equal row numbers, and digests that collide only with an earlier run's."""
+    digest = (lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 3), 2, "0"))) if weak else exact_dedup.content_digest
+    runs = [
+        [(7, "a  b", "s"), (6, "a\tb", "s"), (6, "a b", "s"), (9, "ab", "s"), (None, "xyz", "s"), *ODD],
+        [(1, "a b", "s"), (7, "a b", "s"), (10, "xyz", "s"), (11, "new", "s"), (12, "abcdef", "s"), (3, None, "s")],
+        [(0, "new", "s"), (5, "a b", "s"), (13, "uvw", "s"), (14, "uvw ", "s"), (2, "abcdef", "s"), (15, "xyz", "s")],
+        [],
+    ]
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    place, first, seen = f"file://{tmp_path}/state", {}, {}
+    for run in runs:
+        found = exact_dedup.exact_duplicates(table(spark, run), digest=digest, state_dir=place).collect()
+        for text in {norm(t) for _, t, _ in run}:
+            ids = [i for i, t, _ in run if norm(t) == text]
+            first.setdefault(text, min((i for i in ids if i is not None), default=None))
+        fresh = {norm(t) for _, t, _ in run} - set(seen)
+        for _, t, _ in run:
+            seen[norm(t)] = seen.get(norm(t), 0) + 1
+        key = lambda r: tuple((x is None, x) for x in r)
+        want = sorted(((i, first[norm(t)], seen[norm(t)]) for i, t, _ in run), key=key)
+        assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in found), key=key) == want
+        assert sum(r.kept for r in found) == len(fresh) and all(r.doc_id == r.keep_id for r in found if r.kept)
 
 
 def brute_lines(rows, least):
