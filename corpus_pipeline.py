@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spatialcc.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
 from spatialcc.llm.common import documents, land, work_dir
+from spatialcc.llm.queries import tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rate of each document in the mixture."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), tokenizer=tokenizer())
 
 
 STAGES = [
