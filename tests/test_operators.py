@@ -88,11 +88,11 @@ def test_draws_equal_datasets_of_permuted_values(spark, lattice, kind):
     wanted = spark.createDataFrame([("a", "b"), ("b", "b")], "feat_1 string, feat_2 string")
     smoothed = data.smoothed()
     values = data.weights(smoothed)
-    draws = permute.permutation_draws(values, data.spots, asked, 3, 1, 4, 30, lattice, 2.5, kind).collect()
-    moves = permute.shuffles(data.spots, 3, 1)
+    draws = permute.permutation_draws(values, data.spots, asked, 2, 1, 4, 30, lattice, 2.5, kind).collect()
+    moves = permute.shuffles(data.spots, 2, 1)
     got = {(r.perm, r.feat_1, r.feat_2): r.j_perm for r in draws}
-    assert len(draws) == 9
-    for p in range(3):
+    assert len(draws) == 6
+    for p in range(2):
         moved = values.withColumnRenamed("spot_id", "from_spot").join(moves.filter(F.col("perm") == p), ["grp", "from_spot"]).select("grp", "spot_id", "feature", "value")
         if lattice == "hex":
             batch = SpatialDataset(data.spots, moved, data.params).similarity(wanted, kind)
@@ -104,8 +104,8 @@ def test_draws_equal_datasets_of_permuted_values(spark, lattice, kind):
             assert got[p, r.feat_1, r.feat_2] == pytest.approx(r.j_comp)
     assert max(j for (_, one, two), j in got.items() if (one, two) == ("a", "b")) > 0.02
     observed = data.similarity(wanted, kind)
-    for r in data.significance(observed, wanted, n_perm=3, seed=1, jaccard_type=kind).collect():
-        assert r.p_value == pytest.approx(sum(got[p, r.feat_1, r.feat_2] >= r.j_comp for p in range(3)) / 3)
+    for r in data.significance(observed, wanted, n_perm=2, seed=1, jaccard_type=kind).collect():
+        assert r.p_value == pytest.approx(sum(got[p, r.feat_1, r.feat_2] >= r.j_comp for p in range(2)) / 2)
 
 
 def test_permutations_do_not_depend_on_blocks(spark, monkeypatch):
