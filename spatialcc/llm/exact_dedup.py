@@ -43,9 +43,11 @@ def update_state(spark: SparkSession, arrivals: str, schema, checkpoint: str) ->
     settings hold for a session of the stream's own.
     """
     own = spark.newSession()
-    for key, value in (spark.conf.getAll | _STATE).items():
+    for key, value in spark.conf.getAll.items():
         if own.conf.isModifiable(key):
             own.conf.set(key, value)
+    for key, value in _STATE.items():
+        own.conf.set(key, value)
     seen = own.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).parquet(f"{arrivals}/*")
     state = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(_rank()).alias("keeper"))
     state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
