@@ -12,7 +12,8 @@ def distance_join(spots: DataFrame, radius: float, keys: tuple[str, ...] = ("grp
     """Pairs src, dst of a group with distance (rounded) within radius, each spot with itself included (OP-J10).
 
     Space is cut into cells of side radius. A spot meets the nine cells around its own by equi-join, so work follows
-    the number of near pairs, not the square of the spots.
+    the number of near pairs, not the square of the spots. The join is a merge join: spots in a compressed file look small
+    enough to broadcast long after they are not.
     """
     cell = spots.select(*keys, F.col("spot_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / radius).alias("_cx"), F.floor(F.col(y) / radius).alias("_cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -21,7 +22,7 @@ def distance_join(spots: DataFrame, radius: float, keys: tuple[str, ...] = ("grp
     )
     right = cell.withColumnRenamed("spot_id", "dst")
     d = F.round(F.sqrt(F.pow(F.col("_x") - F.col("_x1"), 2) + F.pow(F.col("_y") - F.col("_y1"), 2)), decimals)
-    return left.join(right, [*keys, "_cx", "_cy"]).withColumn("d", d).filter(F.col("d") <= radius).select(*keys, "src", "dst", "d")
+    return left.join(right.hint("merge"), [*keys, "_cx", "_cy"]).withColumn("d", d).filter(F.col("d") <= radius).select(*keys, "src", "dst", "d")
 
 
 def min_distance_adjacency(pairs: DataFrame, keys: tuple[str, ...] = ("grp",)) -> DataFrame:

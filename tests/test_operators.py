@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spatialcc import catalog
 from spatialcc.functions.scalars import log_factorial
-from spatialcc.operators import annotate, diff, grid, jaccard, pairs, permute, qc, smooth, tree
+from spatialcc.operators import adjacency, annotate, diff, grid, jaccard, pairs, permute, qc, smooth, tree
 from spatialcc.plans.dataset import Params, SpatialDataset, from_molecules
 from spatialcc.sources import readers, sinks
 from spatialcc.streaming import counts
@@ -302,3 +302,23 @@ def test_ligand_receptor_entry(spark, tmp_path):
     assert found[0].j_comp == pytest.approx(same.j_comp)
     with pytest.raises(ValueError):
         data.lr_similarity(f"{tmp_path}/db.csv", "omnipath", "cat")
+
+
+def joins(df):
+    """The joins of a plan before it runs, each with its keys."""
+    return [x.strip(" :+-*()0123456789") for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
+
+
+def hex_places(spark, folder, groups=("a", "b")):
+    rows = [(g, f"{c}_{r}", c * 0.5 * k, r * 3**0.5 / 2 * k) for k, g in enumerate(groups, 1) for r in range(6) for c in range(r % 2, 12, 2)]
+    spark.createDataFrame(rows, "grp string, spot_id string, x double, y double").write.parquet(f"{folder}/places")
+    return spark.read.parquet(f"{folder}/places")
+
+
+def test_distance_join_does_not_trust_the_size_of_a_file(spark, tmp_path):
+    spots = hex_places(spark, tmp_path)
+    near = adjacency.distance_join(spots, 2.5)
+    assert all(x.startswith("SortMergeJoin") for x in joins(near))
+    rows = spots.collect()
+    want = {(p.grp, p.spot_id, q.spot_id, d) for p in rows for q in rows if p.grp == q.grp and (d := round(math.hypot(p.x - q.x, p.y - q.y), 4)) <= 2.5}
+    assert {tuple(r) for r in near.collect()} == want and near.count() == len(want)
