@@ -7,6 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatialcc.plans.landing import land
+
+#: Groups (a name and a distance each) up to which the least distances are broadcast; beyond it the join shuffles.
+BROADCAST_GROUPS = 100_000
+
 
 def distance_join(spots: DataFrame, radius: float, keys: tuple[str, ...] = ("grp",), x: str = "x", y: str = "y", decimals: int = 4) -> DataFrame:
     """Pairs src, dst of a group with distance (rounded) within radius, each spot with itself included (OP-J10).
@@ -26,9 +31,13 @@ def distance_join(spots: DataFrame, radius: float, keys: tuple[str, ...] = ("grp
 
 
 def min_distance_adjacency(pairs: DataFrame, keys: tuple[str, ...] = ("grp",)) -> DataFrame:
-    """Pairs at the smallest distance above zero of their group (OP-J11, A18); groups without such a pair have none."""
-    apart = pairs.filter("d > 0")
-    least = apart.groupBy(*keys).agg(F.min("d").alias("_least"))
+    """Pairs at the smallest distance above zero of their group (OP-J11, A18); groups without such a pair have none.
+
+    Pairs are written once, so that they are not joined again for the least distances, nor dealt by group.
+    """
+    apart = land(pairs.filter("d > 0"), "apart")
+    least = land(apart.groupBy(*keys).agg(F.min("d").alias("_least")), "least")
+    least = F.broadcast(least) if least.count() <= BROADCAST_GROUPS else least
     return apart.join(least, list(keys)).filter("d <= _least").drop("_least")
 
 

@@ -322,3 +322,11 @@ def test_distance_join_does_not_trust_the_size_of_a_file(spark, tmp_path):
     rows = spots.collect()
     want = {(p.grp, p.spot_id, q.spot_id, d) for p in rows for q in rows if p.grp == q.grp and (d := round(math.hypot(p.x - q.x, p.y - q.y), 4)) <= 2.5}
     assert {tuple(r) for r in near.collect()} == want and near.count() == len(want)
+
+
+def test_nearest_pairs_broadcast_distances_of_groups_only(spark, tmp_path):
+    found = adjacency.min_distance_adjacency(adjacency.distance_join(hex_places(spark, tmp_path), 2.5))
+    rows = [tuple(r) for r in found.collect()]
+    assert {r[0]: r[3] for r in rows} == {"a": 1.0, "b": 2.0} and all(r[3] == {"a": 1.0, "b": 2.0}[r[0]] for r in rows)
+    # Pairs are read back, so the join of spots isn't in the plan, and what is broadcast has a row a group.
+    assert len(joins(found)) == 1 and joins(found)[0].startswith("BroadcastHashJoin [grp")
