@@ -71,7 +71,8 @@ def neighbour_weights(spots: DataFrame, fwhm: float = 2.5) -> DataFrame:
 
 def smooth_over(expr: DataFrame, near: DataFrame, slide: str = "grp") -> DataFrame:
     """Values spread by weights of neighbours; `slide` is the column of expr that near calls grp, totals are kept by grp."""
-    spread = expr.filter("value <> 0").join(near.withColumnRenamed("grp", slide), [slide, "spot_id"])
+    # A merge join for the same reason as in distance_join: values of many spots can lie in a small file.
+    spread = expr.filter("value <> 0").join(near.withColumnRenamed("grp", slide).hint("merge"), [slide, "spot_id"])
     summed = spread.groupBy("grp", "feature", "dst").agg(F.sum(F.col("w") * F.col("value")).alias("s"))
     totals = expr.groupBy("grp", "feature").agg(F.sum("value").alias("total"))
     whole = summed.groupBy("grp", "feature").agg(F.sum("s").alias("whole"))

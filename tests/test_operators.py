@@ -330,3 +330,12 @@ def test_nearest_pairs_broadcast_distances_of_groups_only(spark, tmp_path):
     assert {r[0]: r[3] for r in rows} == {"a": 1.0, "b": 2.0} and all(r[3] == {"a": 1.0, "b": 2.0}[r[0]] for r in rows)
     # Pairs are read back, so the join of spots isn't in the plan, and what is broadcast has a row a group.
     assert len(joins(found)) == 1 and joins(found)[0].startswith("BroadcastHashJoin [grp")
+
+
+def test_smoothing_does_not_trust_the_size_of_a_file(spark, tmp_path):
+    spots = hex_places(spark, tmp_path)
+    expr = spots.select("grp", F.lit("f").alias("feature"), "spot_id", (F.col("x") + 1).alias("value"))
+    found = smooth.smooth_points(expr, spots)
+    assert all(x.startswith("SortMergeJoin") for x in joins(found) if "spot_id" in x)
+    total = {r.grp: r.s for r in expr.groupBy("grp").agg(F.sum("value").alias("s")).collect()}
+    assert {r.grp: pytest.approx(r.s) for r in found.groupBy("grp").agg(F.sum("smoothed").alias("s")).collect()} == total
