@@ -66,13 +66,22 @@ def scale_clip(expr: DataFrame, n_cells: int | None = None, cap: float = 10.0, f
     return expr.join(stats, feature).withColumn("scaled", F.least(F.lit(cap), scaled)).drop("_mean", "_sd")
 
 
+#: A name that ends in a number that could have been given: what stands before it, and the number.
+_NUMBERED = r"(?s)^(.*)-([1-9][0-9]{0,17})\z"
+
+
 def make_unique(names: DataFrame, name: str, order: str) -> DataFrame:
-    """Repeated names get -1, -2, ... in order, numbers that make a name which is there already left out (OP-P11)."""
-    base, number = F.regexp_extract(name, "^(.*)-([1-9][0-9]*)$", 1), F.regexp_extract(name, "^(.*)-([1-9][0-9]*)$", 2)
-    taken = names.filter(F.col(name).rlike("(?s)^.*-[1-9][0-9]{0,17}$")).groupBy(base.alias(name)).agg(F.collect_set(number.cast("bigint")).alias("_taken"))
-    k = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
-    held = names.withColumn("_k", k.cast("bigint")).join(taken, name, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
-    # The k-th number that isn't taken: as many are to be passed over as are taken at most.
-    free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("_k") + F.size("_taken")), F.col("_taken"))
-    made = F.concat_ws("-", F.col(name), F.get(free, (F.col("_k") - 1).cast("int")))
-    return held.withColumn("unique_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(made)).select(*names.columns, "unique_name")
+    """Repeated names get -1, -2, ... in order, numbers that make a name which is there already left out (OP-P11).
+
+    The k-th number that isn't taken is k and as many more as there are taken numbers with fewer than k free ones below
+    them. These are counted in one pass over a name's rows and taken numbers together. Null names stay null.
+    """
+    taken = names.filter(F.col(name).rlike(_NUMBERED)).select(F.regexp_extract(name, _NUMBERED, 1).alias(name), F.regexp_extract(name, _NUMBERED, 2).cast("bigint").alias("_n")).distinct()
+    free = F.col("_n") - F.row_number().over(W.partitionBy(name).orderBy("_n"))
+    rows = names.withColumn("_at", (F.row_number().over(W.partitionBy(name).orderBy(order)) - 1).cast("bigint")).withColumn("_taken", F.lit(0))
+    # Dealt anew: a union of equally partitioned sides claims their partitioning, which coalescing can break.
+    both = rows.unionByName(taken.select(name, free.cast("bigint").alias("_at"), F.lit(1).alias("_taken")), allowMissingColumns=True).repartition(name)
+    passed = F.sum("_taken").over(W.partitionBy(name).orderBy("_at", "_taken").rowsBetween(W.unboundedPreceding, W.currentRow))
+    made = F.concat(F.col(name), F.lit("-"), (F.col("_at") + F.col("_passed")).cast("string"))
+    counted = both.withColumn("_passed", passed).filter("_taken = 0")
+    return counted.withColumn("unique_name", F.when(F.col("_at") == 0, F.col(name)).otherwise(made)).select(*names.columns, "unique_name")
