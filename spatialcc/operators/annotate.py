@@ -5,6 +5,8 @@ Label transfer and clustering stand in for third-party packages; their labels ar
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -84,26 +86,98 @@ def argmax_label(probabilities: DataFrame, cell: str = "cell", label: str = "lab
     return probabilities.join(best, [cell, "probability"]).groupBy(cell).agg(F.min(label).alias(label), F.first("probability").alias("probability"))
 
 
-#: Reference rows that a cell meets at once.
-BLOCK = 1000
+#: Rows of a block of cells and of a block of the reference, at most, and numbers in it.
+BLOCK, NUMBERS = 8192, 2_000_000
+#: Cells of a block whose distances to a block of the reference are held at once.
+ROWS = 128
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray | None]:
+    """A matrix of the vectors as doubles, and which of its numbers are there; None if all are."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    if len(lists) and not lists.null_count and not flat.null_count and (sizes == sizes[0]).all():
+        return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), sizes[0]), None
+    rows = [x or [] for x in lists.to_pylist()]
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    there = np.zeros(out.shape, bool)
+    for row, mask, held in zip(out, there, rows, strict=True):
+        row[: len(held)] = [0.0 if x is None else x for x in held]
+        mask[: len(held)] = [x is not None for x in held]
+    return out, there
+
+
+def nearest_of_block(a: np.ndarray, b: np.ndarray, k: int, has_a: np.ndarray | None = None, has_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, squared distance, whether it has none) of the k nearest rows of b for each row of a, the first ones of equals.
+
+    A matrix product tells which rows can be among the nearest; their distances are then summed number by number, as SQL
+    does. Numbers that either side lacks (has_a, has_b) are left out; NaN, and then rows that share no number, come last.
+    """
+    dims, k = max(a.shape[1], b.shape[1]), min(k, len(b))
+    has_a, has_b = (np.ones(m.shape, bool) if has is None else has for m, has in ((a, has_a), (b, has_b)))
+    a, b, has_a, has_b = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (a, b, has_a, has_b))
+    whole_a, whole_b = (np.where(np.abs(m) < 1e150, m, 0.0) for m in (a, b))
+    odd_a, odd_b = (~(has & (np.abs(m) < 1e150)).all(axis=1) | (dims == 0) for m, has in ((a, has_a), (b, has_b)))
+    columns, has_columns, by_b = np.ascontiguousarray(b.T), np.ascontiguousarray(has_b.T), whole_b.T
+    norm_a, norm_b = (whole_a**2).sum(axis=1), (whole_b**2).sum(axis=1)
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(a), ROWS):
+        part = slice(lo, lo + ROWS)
+        rough = norm_a[part, None] + norm_b - 2 * (whole_a[part] @ by_b)
+        rough[:, odd_b] = np.inf
+        # Twice the largest error that both ways of summing can have together.
+        slack = 8 * (dims + 4) * np.finfo(float).eps * (norm_a[part] + norm_b.max(initial=0.0)) + 1e-300
+        most = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack if k else np.zeros(len(rough))
+        i, j = np.nonzero((rough <= most[:, None]) | odd_a[part, None] | odd_b)
+        rows, has_rows, d, none = np.ascontiguousarray(a[part].T), np.ascontiguousarray(has_a[part].T), np.zeros(len(i)), np.zeros(len(i), bool)
+        odd = odd_a[part].any() or odd_b.any()
+        none |= odd
+        with np.errstate(over="ignore", invalid="ignore"):
+            for n in range(dims):
+                gap = rows[n][i] - columns[n][j]
+                if odd:
+                    there = has_rows[n][i] & has_columns[n][j]
+                    none &= ~there
+                    gap = np.where(there, gap, 0.0)
+                d += gap * gap
+        order = np.lexsort((j, d, none, i))  # NaN is last of the numbers
+        i, j, d, none = i[order], j[order], d[order], none[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[first] + lo, j[first], d[first], none[first]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest_label(cells: DataFrame, reference: DataFrame, k: int = 5, cell: str = "cell", ref: str = "ref", label: str = "label", vector: str = "embedding") -> DataFrame:
     """Majority label of the k nearest reference rows (OP-M05, M07), the smallest label of equals.
 
-    The stated query set meets the reference in blocks: a cell keeps k rows of each block and then k of all, so what is
-    shuffled is k rows for each cell and block, and no task holds the reference.
+    Blocks of the cells meet blocks of the reference: a cell keeps k rows of each block and then k of all, so no task
+    holds more than two blocks, whatever the tables' sizes.
     """
-    n = max(1, -(-reference.count() // BLOCK))
-    point = F.struct(F.col(ref).alias("ref"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = reference.groupBy(F.pmod(F.xxhash64(ref), F.lit(n)).alias("block")).agg(F.collect_list(point).alias("points")).select("points")
-    both = cells.select(cell, F.col(vector).cast("array<double>").alias("_v")).crossJoin(blocks)
-    far = lambda p: F.aggregate(F.zip_with("_v", p["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    least = lambda points: F.slice(F.array_sort(points), 1, k)
-    near = both.select(cell, least(F.transform("points", lambda p: F.struct(far(p).alias("d"), p["ref"].alias("ref"), p["label"].alias("label")))).alias("near"))
-    kept = near.groupBy(cell).agg(least(F.flatten(F.collect_list("near"))).alias("near"))
-    votes = kept.select(cell, F.explode("near").alias("x")).groupBy(cell, F.col("x.label").alias("_label")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(cell).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col("_label").alias("label"))).alias("best"))
+    spark = cells.sparkSession
+    held = reference.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(1)).alias("dims")).first()
+    rows = max(1, min(BLOCK, NUMBERS // max(1, held.dims)))
+    n_refs, n_cells = max(1, -(-held.n // rows)), max(1, -(-cells.count() // rows))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    part = lambda key, n: F.pmod(F.xxhash64(F.col(key), F.col(vector)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = cells.select(F.col(cell).alias("cell"), F.col(vector).alias("v"), part(cell, n_cells).alias("_a"), every(n_refs).alias("_b")).repartition(tasks, "_a", "_b")
+    right = reference.select(F.col(ref).alias("ref"), F.col(label).alias("label"), F.col(vector).alias("v"), part(ref, n_refs).alias("_b"), every(n_cells).alias("_a")).repartition(tasks, "_a", "_b")
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("ref")
+        (va, has_a), (vb, has_b) = _vectors(a["v"]), _vectors(b["v"])
+        i, j, d, none = nearest_of_block(va, vb, k, has_a, has_b)
+        return pa.table({"cell": a["cell"].take(pa.array(i)), "d": pa.array(d, pa.float64(), none, from_pandas=False), "ref": b["ref"].take(pa.array(j)), "label": b["label"].take(pa.array(j))})
+
+    kinds = dict(left.dtypes) | {c: t for c, t in right.dtypes if c in ("ref", "label")}
+    pairs = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(near, f"cell {kinds['cell']}, d double, ref {kinds['ref']}, label {kinds['label']}")
+    kept = pairs.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.isnull("d").alias("none"), "d", F.isnull("ref").alias("last"), "ref", "label"))), 1, k).alias("near"))
+    votes = kept.select(F.col("cell").alias(cell), F.explode("near").alias("x")).groupBy(cell, F.col("x.label").alias("_label")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(cell).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.isnull("_label").alias("last"), F.col("_label").alias("label"))).alias("best"))
     return best.select(cell, F.col("best.label").alias(label), (-F.col("best.n")).alias("votes"))
 
 

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -265,6 +266,35 @@ def test_neighbours_by_blocks(spark, monkeypatch):
         assert {r.ref: r.label for r in annotate.nearest_label(e, e, cell="ref", ref="ref").collect()} == want
 
 
+def test_neighbours_of_odd_vectors_as_in_sql(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).round(1).tolist(), i % 4) for i in range(60)] + [(100 + i, [1.0, 2.0, 3.0, 4.0], i % 3) for i in range(20)]
+    rows += [(200, None, 1), (201, [], 2), (202, [1.0], 3), (203, [None, 1.0, None, 2.0], 0), (204, [math.nan, 1.0, 1.0, 1.0], 1), (205, [1e200, 0.0, 0.0, 0.0], None), (206, [math.inf, 0.0, 0.0, 0.0], 2)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = sorted(con.execute(catalog.ORACLES["label_transfer"]).fetchall())
+    for block in (8192, 9):
+        monkeypatch.setattr(annotate, "BLOCK", block)
+        found = catalog.label_transfer(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in found.collect()) == want
+    # Vectors are never gathered into an array that a row carries.
+    assert "collect_list(struct(ref" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_of_block_by_brute_force():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(300, 8)).round(1), np.repeat(rng.normal(size=(40, 8)).round(1), 5, axis=0)
+    i, j, d, none = annotate.nearest_of_block(a, b, 7)
+    gaps = np.zeros((300, 200))
+    for n in range(8):
+        gaps += (a[:, n, None] - b[:, n]) ** 2
+    for row in range(300):
+        assert j[i == row].tolist() == np.argsort(gaps[row], kind="stable")[:7].tolist()
+    assert not none.any() and (d == gaps[i, j]).all()
+
+
 def test_hexagonal_pipeline_by_brute_force(spark):
     places = [(c, r) for r in range(10) for c in range(r % 2, 20, 2)]
     order = sorted(range(len(places)), key=lambda i: (places[i][0], places[i][1]))
