@@ -6,7 +6,9 @@ exact distinct count; lines on enough sites are boilerplate and are removed. Dat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from spatialcc.llm.common import fresh, land, sized, text_or_empty, work_dir
@@ -17,7 +19,7 @@ MIN_SITES = 6
 LOG_REGISTERS = 12
 #: Estimates within this share of the threshold get an exact count; about 15 standard errors.
 NEAR = 0.25
-#: Bad lines of all documents together (16 bytes each, and three more for each document) up to which they are broadcast.
+#: Different bad lines (about 35 bytes each) up to which every task looks lines up in a table of them; beyond, texts are shuffled by id.
 BROADCAST_LINES = 100_000
 
 
@@ -56,6 +58,21 @@ def spread_lines(held: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return estimated.join(exact, "line", "left").filter(F.coalesce("exact", "estimate") >= min_sites)
 
 
+def among(spread: list[Row]) -> Callable[[Column], Column]:
+    """Whether a line's hash is one of those collected, as a look-up in a constant table of hash buckets."""
+    n = 2 * len(spread) + 1
+    buckets = [""] * n
+    for (line,) in spread:
+        buckets[line.a % n] += f",{line.a}:{line.b},"
+    table = F.split(F.lit("|".join(buckets)), r"\|")  # folded once to an array
+
+    def found(line: Column) -> Column:
+        a, b = F.xxhash64(line), F.hash(line)
+        return F.contains(F.get(table, F.pmod(a, F.lit(n)).cast("int")), F.concat(F.lit(","), a.cast("string"), F.lit(":"), b.cast("string"), F.lit(",")))
+
+    return found
+
+
 def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of `docs` with boilerplate lines taken from their texts, and n_lines and n_removed.
 
@@ -66,15 +83,18 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str =
     spark = docs.sparkSession
     lined = line_sites(docs, doc_id, text, source)
     spread = land(spread_lines(lined, min_sites).select("line"), work_dir(spark, "boilerplate"))
-    held = lined.select("_id", F.explode("lines").alias("line")).join(sized(spread), "line", "left_semi")
-    held = land(held.groupBy("_id").agg(F.collect_set("line").alias("_bad")), work_dir(spark, "held"))
     key, bad, left = fresh(docs, "_id"), fresh(docs, "_bad"), fresh(docs, "_left")
-    # A row holds all bad lines of its document: what is broadcast is bounded by their number, not the rows'.
-    size = held.agg(F.sum(F.size("_bad") + 3)).first()[0] or 0
-    held = held.select(F.col("_id").alias(key), F.col("_bad").alias(bad))
-    both = docs.join(F.broadcast(held) if size <= BROADCAST_LINES else held, docs[doc_id].eqNullSafe(held[key]), "left")
     lines = F.split(text_or_empty(text), "\n")
-    kept = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(bad, line_hash(line_key(x)))))
+    if spread.count() <= BROADCAST_LINES:
+        # What each task gets is bounded by the number of different bad lines, not by the documents that hold them.
+        is_bad = among(spread.collect())
+        both, kept = docs, F.filter(lines, lambda x: ~is_bad(line_key(x)))
+    else:
+        held = lined.select("_id", F.explode("lines").alias("line")).join(spread, "line", "left_semi")
+        held = land(held.groupBy("_id").agg(F.collect_set("line").alias("_bad")), work_dir(spark, "held"))
+        held = held.select(F.col("_id").alias(key), F.col("_bad").alias(bad))
+        both = docs.join(held, docs[doc_id].eqNullSafe(held[key]), "left")
+        kept = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(bad, line_hash(line_key(x)))))
     return (
         both.withColumn("n_lines", F.size(lines).cast("bigint"))
         .withColumn(left, kept)

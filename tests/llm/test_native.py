@@ -252,3 +252,16 @@ def test_lines(spark):
     assert sorted(r.text for r in cleaned.collect()) == sorted(brute_lines(rows, line_dedup.MIN_SITES))
     assert "near" in {r.text for r in cleaned.collect()}
     assert line_dedup.drop_spread_lines(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bound", [40, 0])
+def test_lines_of_many_documents_without_a_shuffle_of_texts(spark, monkeypatch, bound):
+    rows = [(i, f"top\nown {i}\n  foot  \n\nsame\n{'x' * (i % 3)}|,{i % 9}", f"s{i % 7}") for i in range(60)] + ODD
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
+    cleaned = line_dedup.drop_spread_lines(table(spark, rows))
+    assert sorted(r.text for r in cleaned.collect()) == sorted(brute_lines(rows, line_dedup.MIN_SITES))
+    plan = cleaned._jdf.queryExecution()
+    # Few different lines on many documents: texts stay where they are, and the table of lines is a constant.
+    assert ("Join" in plan.sparkPlan().toString()) == (bound == 0)
+    assert r"\|" in plan.analyzed().toString() or bound == 0
+    assert r"\|" not in plan.optimizedPlan().toString()
