@@ -439,7 +439,7 @@ def pair_similarity_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spots = P.hex_spots(spark, sf_dir)
     price = P.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("spot_id"), F.col("p_retailprice").alias("value"))
-    expr = spots.select("grp", "spot_id", F.lit("size").alias("feature"), "value").unionByName(spots.select("grp", "spot_id").join(price, "spot_id").withColumn("feature", F.lit("price")).select("grp", "spot_id", "feature", F.log1p("value").alias("value")))
+    expr = spots.select("grp", "spot_id", F.lit("size").alias("feature"), "value").unionByName(spots.select("grp", "spot_id").join(price.hint("merge"), "spot_id").withColumn("feature", F.lit("price")).select("grp", "spot_id", "feature", F.log1p("value").alias("value")))
     data = SpatialDataset(spots.select("grp", "spot_id", "array_col", "array_row"), expr, replace(P.PARAMS, lattice="hex")).kept()
     return data.similarity(spark.createDataFrame([("size", "price"), ("size", "size")], "feat_1 string, feat_2 string"), on_empty="keep")
 

@@ -6,6 +6,8 @@ comes after it is relational.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 from spatialcc.operators import tree
 
 
-def _neighbours(rows: pd.DataFrame, lattice: str, fwhm: float) -> list[list[int]]:
+def _neighbours(rows: pd.DataFrame, lattice: str, fwhm: float) -> Sequence[list[int]] | tree.Neighbours:
     if lattice == "grid":
         return tree.four_neighbours(rows["array_col"], rows["array_row"])
-    return tree.nearest_neighbours(rows["array_col"] * 0.5, rows["array_row"] * 3**0.5 / 2, fwhm)
+    return tree.nearest_of_spots(rows["array_col"] * 0.5, rows["array_row"] * 3**0.5 / 2, fwhm)
 
 
 def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +86,7 @@ def label_means(labels: DataFrame, values: DataFrame, spots: DataFrame) -> DataF
     group's totals and its number of spots.
     """
     n_spots = spots.groupBy("grp").agg(F.count(F.lit(1)).alias("n_spots"))
-    inside = labels.join(values, ["grp", "feature", "spot_id"], "left").groupBy("grp", "feature", "cc_label").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("n"))
+    inside = labels.join(values.hint("merge"), ["grp", "feature", "spot_id"], "left").groupBy("grp", "feature", "cc_label").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("n"))
     taken = inside.groupBy("grp", "feature").agg(F.sum("s").alias("s_in"), F.sum("n").alias("n_in"))
     total = values.groupBy("grp", "feature").agg(F.sum("value").alias("s_all"))
     outside = (

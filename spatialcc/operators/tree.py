@@ -255,22 +255,64 @@ def four_neighbours(cols: Sequence[int], rows: Sequence[int]) -> list[list[int]]
     return [[at[c + i, r + j] for i, j in steps if (c + i, r + j) in at] for c, r in ((int(c), int(r)) for c, r in zip(cols, rows, strict=True))]
 
 
-def nearest_neighbours(x: Sequence[float], y: Sequence[float], fwhm: float, decimals: int = 4) -> list[list[int]]:
-    """Spots at the smallest distance within fwhm that any two spots have; none if no two are that near."""
+#: Pairs of spots whose distances are held at once.
+PAIRS = 2_000_000
+
+
+class Neighbours:
+    """Neighbours of each spot, held as numbers of 4 or 8 bytes and given as a list when asked for."""
+
+    def __init__(self, starts: np.ndarray, others: np.ndarray) -> None:
+        self.starts, self.others = starts, others
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, spot: int) -> list[int]:
+        if not 0 <= spot < len(self):
+            raise IndexError(spot)
+        return self.others[self.starts[spot] : self.starts[spot + 1]].tolist()
+
+
+def nearest_of_spots(x: Sequence[float], y: Sequence[float], fwhm: float, decimals: int = 4) -> Neighbours:
+    """Spots at the smallest distance within fwhm that any two spots have; none if no two are that near.
+
+    Spots are sorted by cells of side fwhm; three runs of cells hold all that can be near a spot. Only pairs at the
+    smallest distance so far are kept.
+    """
     x, y = np.asarray(x, float), np.asarray(y, float)
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i, key in enumerate(zip(np.floor(x / fwhm).astype(int).tolist(), np.floor(y / fwhm).astype(int).tolist(), strict=True)):
-        cells.setdefault(key, []).append(i)
-    near, least = [], np.inf
-    for (cx, cy), own in cells.items():
-        around = np.array([k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in cells.get((cx + i, cy + j), ())])
-        for a in own:
-            d = np.round(np.hypot(x[around] - x[a], y[around] - y[a]), decimals)
-            fits = (d > 0) & (d <= fwhm)
-            if fits.any():
-                least = min(least, d[fits].min())
-                near.append((a, around[fits], d[fits]))
-    out: list[list[int]] = [[] for _ in range(len(x))]
-    for a, others, d in near:
-        out[a] = others[d <= least].tolist()
-    return out
+    n = len(x)
+    kind = np.int32 if n < 2**31 else np.int64
+    cx, cy = (np.floor(v / fwhm).astype(np.int64) for v in (x, y))
+    cx, cy = (v - v.min() + 1 if n else v for v in (cx, cy))
+    wide = int(cy.max()) + 2 if n else 1
+    key = cx * wide + cy
+    order = np.argsort(key, kind="stable")
+    held, least, found = key[order], np.inf, []
+    step = max(1, PAIRS // 64)
+    for lo in range(0, n, step):
+        spots = order[lo : lo + step]
+        for i in (-1, 0, 1):
+            first, last = np.searchsorted(held, key[spots] + i * wide - 1, "left"), np.searchsorted(held, key[spots] + i * wide + 1, "right")
+            counts = last - first
+            for part in np.split(np.arange(len(spots)), np.flatnonzero(np.diff(np.cumsum(counts) // PAIRS)) + 1):
+                c = counts[part]
+                a = np.repeat(spots[part], c)
+                b = order[np.repeat(first[part] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+                d = np.round(np.hypot(x[b] - x[a], y[b] - y[a]), decimals)
+                fits = (d > 0) & (d <= min(fwhm, least))
+                if fits.any():
+                    low = d[fits].min()
+                    if low < least:
+                        least, found = low, []
+                    near = fits & (d <= least)
+                    found.append((a[near].astype(kind), b[near].astype(kind)))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k in (0, 1))
+    by = np.argsort(a, kind="stable")
+    return Neighbours(np.searchsorted(a[by], np.arange(n + 1)), b[by])
+
+
+def nearest_neighbours(x: Sequence[float], y: Sequence[float], fwhm: float, decimals: int = 4) -> list[list[int]]:
+    """nearest_of_spots() as lists."""
+    near = nearest_of_spots(x, y, fwhm, decimals)
+    return [near[spot] for spot in range(len(near))]

@@ -69,7 +69,7 @@ class SpatialDataset:
         if self.params.lattice == "grid":
             return smooth.smooth_grid(values.join(places, ["grp", "spot_id"]), places, self.params.fwhm)
         at = self.spots.select("grp", "spot_id", hex_x().alias("x"), hex_y().alias("y"))
-        return smooth.smooth_points(values.select("grp", "feature", "spot_id", "value"), at, self.params.fwhm).join(places, ["grp", "spot_id"])
+        return smooth.smooth_points(values.select("grp", "feature", "spot_id", "value"), at, self.params.fwhm).join(places.hint("merge"), ["grp", "spot_id"])
 
     def components(self, smoothed: DataFrame) -> DataFrame:
         """Filtered component labels (OP-T14). Means are of smoothed values on grids, of raw ones on hexagonal lattices."""

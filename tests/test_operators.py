@@ -389,3 +389,10 @@ def test_unique_names_by_brute_force(spark):
     assert {r.o: r.unique_name for r in found.collect()} == want and found.columns == ["o", "name", "unique_name"]
     # The work of a row doesn't grow with the number it gets.
     assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hexagonal_pipeline_does_not_trust_the_size_of_a_file(spark, tmp_path):
+    spots = spark.createDataFrame([("s", f"{c}_{r}", c, r) for r in range(6) for c in range(r % 2, 12, 2)], "grp string, spot_id string, array_col int, array_row int")
+    data = SpatialDataset(spots, spots.select("grp", "spot_id", F.lit("f").alias("feature"), (F.col("array_col") + 1.0).alias("value")), Params(min_size=2, lattice="hex")).kept()
+    smoothed = data.smoothed()
+    assert smoothed.count() == spots.count() and all(x.startswith("SortMergeJoin") for x in joins(smoothed) if "spot_id" in x)

@@ -126,3 +126,17 @@ def test_nearest_neighbours_of_a_hexagonal_lattice():
     near = tree.nearest_neighbours(col * 0.5, row * 3**0.5 / 2, 2.5)
     assert max(map(len, near)) == 6 and min(map(len, near)) >= 2
     assert tree.nearest_neighbours([0, 10], [0, 0], 2.5) == [[], []]
+
+
+def test_nearest_of_spots_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        n = int(rng.integers(0, 60))
+        x, y = rng.integers(-8, 8, n) * 0.5, rng.integers(-8, 8, n) * 0.5
+        d = np.round(np.hypot(x[:, None] - x, y[:, None] - y), 4)
+        apart = (d > 0) & (d <= 2.5)
+        want = [np.flatnonzero(apart[i] & (d[i] <= d[apart].min())).tolist() if apart.any() else [] for i in range(n)]
+        for pairs in (2_000_000, 64, 10):
+            monkeypatch.setattr(tree, "PAIRS", pairs)
+            found = tree.nearest_of_spots(x, y, 2.5)
+            assert [sorted(found[i]) for i in range(len(found))] == want
